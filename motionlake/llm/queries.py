@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_feistel_shards": sharding.op3_feistel_shards,
+    "op4_warc_chunks": warc.op4_warc_chunks,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
+    "op3_feistel_shards": sharding.oracle(),
+    "op4_warc_chunks": warc.oracle(),
 }
