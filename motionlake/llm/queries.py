@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding, warc
+from . import quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_chunks": warc.op4_warc_chunks,
+    "op9_randomness_tests": secrets.op9_randomness_tests,
 }
 
 ORACLE_SQL: dict[str, str] = {
