@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, sharding, warc
+from . import decontaminate, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_chunks": warc.op4_warc_chunks,
     "op9_randomness_tests": secrets.op9_randomness_tests,
+    "op10_positional_index": decontaminate.op10_positional_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op3_feistel_shards": sharding.oracle(),
     "op4_warc_chunks": warc.oracle(),
+    "op10_positional_index": decontaminate.oracle(),
 }
