@@ -6,7 +6,8 @@ carries the digest along, so neither side of the Python boundary ever holds a wh
 record; the reader streams archives block by block and gives chunk rows back, each with
 the digest of the payload so far. The last chunk's digest is the payload's.
 
-Archives go to the shared folder through pyarrow's file systems. A task writes under a
+Each record is a gzip member of its own, as is usual for WARC, so archives can be joined
+end to end. Archives go to the shared folder through pyarrow's file systems. A task writes under a
 name of its own attempt and hands the name back as a row; only names in that committed
 manifest are read, so a lost executor or a repeated task leaves nothing behind that is
 read twice.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +34,8 @@ from .common import shared_dir, stored, table
 
 CHUNK = 256 * 1024
 REVISIT_BYTES = 1000
-BLOCK = 1 << 20
+BLOCK = 1 << 16
+GZIP = 31  # zlib's window bits for gzip members
 RECORD_SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, chunk_start long, chunk_bytes long, running_digest string, last boolean"
 
 
@@ -113,24 +116,24 @@ def _head(row: dict) -> bytes:
 
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, name, records, size, digest = None, None, 0, 0, None
+        out, name, records, size, digest, pack = None, None, 0, 0, None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     files, root = pafs.FileSystem.from_uri(folder)
                     files.create_dir(root, recursive=True)
-                    name = f"{root}/{uuid.uuid4().hex}.warc"
+                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out = files.open_output_stream(name, buffer_size=BLOCK)
                 if row["chunk_no"] == 0:
                     digest = hashlib.sha1()
-                    head = _head(row)
-                    size += out.write(head)
-                size += out.write(row["data"])
+                    pack = zlib.compressobj(1, zlib.DEFLATED, GZIP)
+                    size += out.write(pack.compress(_head(row)))
+                size += out.write(pack.compress(row["data"]))
                 digest.update(row["data"])
                 if row["last"]:
                     if row["record_type"] == "response" and digest.hexdigest() != row["payload_digest"]:
                         raise ValueError(f"payload of page {row['page_id']} changed on its way to the archive")
-                    size += out.write(b"\r\n\r\n")
+                    size += out.write(pack.compress(b"\r\n\r\n") + pack.flush())
                     records += 1
         if out is not None:
             out.close()
@@ -149,15 +152,31 @@ def write_archives(pages: DataFrame, payload: str = "html", chunk: int = CHUNK)
 
 
 class _Stream:
-    """A byte stream read in blocks: lines and pieces of bounded size."""
+    """The bytes of a gzipped or plain archive, read in blocks: heads and pieces of bounded size."""
 
     def __init__(self, source) -> None:
-        self.source, self.held = source, b""
+        self.source, self.held, self.packed, self.unpack = source, b"", b"", None
+        self.plain = None
 
     def more(self) -> bool:
-        block = self.source.read(BLOCK)
-        self.held += block
-        return bool(block)
+        if not self.packed:
+            self.packed = self.source.read(BLOCK)
+        if not self.packed:
+            if self.unpack is not None:
+                raise ValueError("archive ends inside a gzip member")
+            return False
+        if self.plain is None:
+            self.plain = self.packed[:2] != b"\x1f\x8b"
+        if self.plain:
+            self.held, self.packed = self.held + self.packed, b""
+            return True
+        self.unpack = self.unpack or zlib.decompressobj(GZIP)
+        self.held += self.unpack.decompress(self.packed, BLOCK)
+        if self.unpack.eof:
+            self.packed, self.unpack = self.unpack.unused_data, None
+        else:
+            self.packed = self.unpack.unconsumed_tail
+        return True
 
     def head(self) -> bytes | None:
         """Up to and without the next blank line; None at the end."""
