@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, secrets, sharding, warc
+from . import decontaminate, near_dedup, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_lsh_forest": near_dedup.op2_lsh_forest,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_chunks": warc.op4_warc_chunks,
     "op9_randomness_tests": secrets.op9_randomness_tests,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
+    "op2_lsh_forest": near_dedup.oracle(),
     "op3_feistel_shards": sharding.oracle(),
     "op4_warc_chunks": warc.oracle(),
     "op10_positional_index": decontaminate.oracle(),
