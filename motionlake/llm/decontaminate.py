@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, split_words, stored, table
+from .common import digest_column, lower_ascii, split_words, stored, table
 
 #: What separates words: ASCII other than digits and lower-case letters.
 BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -44,6 +44,11 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: in
     return words.withColumns({"length": length, "h": hashed, "i": F.explode(starts)}).select("item", F.slice("h", F.col("i"), F.col("length")).alias("terms"))
 
 
+def row_of(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart, also those that repeat a key."""
+    return F.xxhash64(F.col(key).cast("string"), F.col(text))
+
+
 def postings(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """(row, key, place, term) for the terms that items use, and an end mark for each row."""
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
@@ -52,8 +57,7 @@ def postings(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     terms = terms.withColumn("term", F.xxhash64("word"))
     if size <= BROADCAST_BYTES:
         terms = F.broadcast(terms)
-    row = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    spread = docs.select(row.alias("row"), F.col(key).alias("key"), F.posexplode(F.concat(tokens(F.col(text)), F.array(F.lit(END)))).alias("place", "word"))
+    spread = docs.select(row_of(key, text).alias("row"), F.col(key).alias("key"), F.posexplode(F.concat(tokens(F.col(text)), F.array(F.lit(END)))).alias("place", "word"))
     return spread.join(terms, "word").select("row", "key", "place", "term")
 
 
@@ -123,6 +127,13 @@ def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that hold no window of an item."""
+    mark = digest_column("_row", docs.columns)
+    hit = judged(docs.select(key, text), items, key, text).filter("contaminated").select(F.col("row").alias(mark))
+    return docs.withColumn(mark, row_of(key, text)).join(hit, mark, "left_anti").select(*docs.columns)
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality, secrets, sharding, warc
+from . import decontaminate, langid, near_dedup, pieces, quality, secrets, sharding, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_lsh_forest": near_dedup.op2_lsh_forest,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_chunks": warc.op4_warc_chunks,
+    "op6_output_codes": langid.op6_output_codes,
+    "op7_suffix_pieces": pieces.op7_suffix_pieces,
+    "op8_link_trust": url_filters.op8_link_trust,
     "op9_randomness_tests": secrets.op9_randomness_tests,
     "op10_positional_index": decontaminate.op10_positional_index,
 }
@@ -22,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_lsh_forest": near_dedup.oracle(),
     "op3_feistel_shards": sharding.oracle(),
     "op4_warc_chunks": warc.oracle(),
+    "op8_link_trust": url_filters.oracle(),
     "op10_positional_index": decontaminate.oracle(),
 }

@@ -203,6 +203,14 @@ def redacted(text: Column, found: Column, by: str = "[secret]") -> Column:
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 
+def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with all spans of the text replaced; the columns stay as they are."""
+    work = docs.select(F.struct(*docs.columns).alias("_all"), F.col(text).alias("_text"))
+    found = spans(stored(scanned(work, "_text"), "secrets"))
+    clean = F.when(F.col("_text").isNotNull(), redacted(F.col("_text"), F.col("spans"))).alias(text)
+    return found.select(*(clean if c == text else F.col("_all")[c].alias(c) for c in docs.columns))
+
+
 def op9_randomness_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = stored(scanned(docs).drop("text"), "secrets")
