@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, near_dedup, pieces, quality, secrets, sharding, url_filters, warc
+from . import decontaminate, langid, near_dedup, pieces, quality, secrets, sharding, suffix_dedup, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_lsh_forest": near_dedup.op2_lsh_forest,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_chunks": warc.op4_warc_chunks,
+    "op5_column_suffixes": suffix_dedup.op5_column_suffixes,
     "op6_output_codes": langid.op6_output_codes,
     "op7_suffix_pieces": pieces.op7_suffix_pieces,
     "op8_link_trust": url_filters.op8_link_trust,
@@ -25,6 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_lsh_forest": near_dedup.oracle(),
     "op3_feistel_shards": sharding.oracle(),
     "op4_warc_chunks": warc.oracle(),
+    "op5_column_suffixes": suffix_dedup.oracle(),
     "op8_link_trust": url_filters.oracle(),
     "op10_positional_index": decontaminate.oracle(),
 }
