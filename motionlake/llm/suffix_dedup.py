@@ -243,22 +243,37 @@ def _cutter(folder: str, buckets: int):
 
 
 class _External:
-    """The transform and the common prefixes of a collection, as two sequential files."""
+    """The transform and the common prefixes of a collection, each as two files in turn: one is read, the next written."""
 
     def __init__(self, folder: str, size: int) -> None:
-        self.folder, self.round = folder, 0
+        self.files = [[open(f"{folder}/{what}{k}", "w+b", buffering=0) for k in (0, 1)] for what in ("transform", "prefix")]
+        self.round, self.size = 0, size
         self.write(np.zeros(size, np.uint8), np.zeros(size, np.uint8))
 
-    def _path(self, what: str, number: int) -> str:
-        return f"{self.folder}/{what}{number % 2}"
-
     def write(self, transform: np.ndarray, prefix: np.ndarray) -> None:
         self.round += 1
-        transform.tofile(self._path("transform", self.round))
-        prefix.tofile(self._path("prefix", self.round))
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self._path("transform", self.round), np.uint8), np.fromfile(self._path("prefix", self.round), np.uint8)
+        self.size = len(transform)
+        for pair, values in zip(self.files, (transform, prefix)):
+            pair[self.round % 2].seek(0)
+            view = memoryview(values)
+            while len(view):
+                view = view[pair[self.round % 2].write(view) :]
+
+    def read(self) -> list[np.ndarray]:
+        out = []
+        for pair in self.files:
+            values = np.empty(self.size, np.uint8)
+            pair[self.round % 2].seek(0)
+            view = memoryview(values)
+            while len(view):
+                view = view[pair[self.round % 2].readinto(view) :]
+            out.append(values)
+        return out
+
+    def close(self) -> None:
+        for pair in self.files:
+            for f in pair:
+                f.close()
 
 
 def _least_between(values: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -305,8 +320,8 @@ def build(text: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray,
         grown, common = np.zeros(total, np.uint8), np.zeros(total, np.uint8)
         grown[old] = transform
         common[old] = prefix
-        touched = np.unique(np.concatenate([place, place + 1]))
-        touched = touched[touched < len(source)]
+        new = np.concatenate([new[:1], new[1:] | new[:-1]])
+        touched = np.flatnonzero(new)  # new ones and those behind them
         symbol = transform[source[touched]]
         with_one = (touched > 0) & (transform[source[np.maximum(touched - 1, 0)]] == symbol)
         common[m + touched] = 0
@@ -323,7 +338,9 @@ def build(text: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray,
             next_piece[at], next_before[at] = who, (size[who] - t).astype(np.uint8)
             piece, before = next_piece, next_before
         files.write(grown, common)
-    return piece, before, files.read()[1]
+    prefix = files.read()[1]
+    files.close()
+    return piece, before, prefix
 
 
 def owners(text: np.ndarray, size: np.ndarray, doc: np.ndarray, folder: str) -> np.ndarray:
