@@ -13,8 +13,8 @@ it, and every other document's places are repeats.
 
 Texts are read once into compressed slices in the shared folder, named by the partition
 they come from, so that a repeated task writes the same again. What is shuffled are packed
-arrays: anchors, verdicts on them, pieces and spans. An anchor with more than HOT places
-is dealt out again string by string, so no key gathers in one task.
+arrays: anchors, verdicts on them, pieces and spans. An anchor that has more than a share of
+its bucket is dealt out again string by string, so no key gathers in one task.
 
 Defined results for odd input: null texts are empty; rows without doc_id lose nothing and
 take nothing from others; rows that repeat a doc_id take nothing from each other; texts
@@ -43,7 +43,8 @@ from .common import shared_dir, table
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM + 1  # grams in a string, and the most strings in a piece
-HOT = 1024
+#: A key with more places than this, and than this share of its bucket, is dealt out again.
+HOT, HOT_SHARE = 1024, 0.25
 #: Bytes of text in a slice, in a bucket, windows that are hashed at a time, and suffixes of one collection.
 SLICE = 4 << 20
 BUCKET = 16 << 20
@@ -197,7 +198,7 @@ def _judge(group: pa.Table) -> pa.Table:
     size = np.diff(head, append=len(key))
     owner = owner[order]
     flag = (np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)).astype(np.uint8)
-    flag[(flag > 0) & (size > HOT)] = 2
+    flag[(flag > 0) & (size > max(HOT, HOT_SHARE * len(key)))] = 2
     flags = np.empty(len(key), np.uint8)
     flags[order] = np.repeat(flag, size)
     cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
