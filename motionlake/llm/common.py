@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    for made in _OPEN:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside the block go at its end; the given function stores one that stays."""
+    made: list[str] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        made.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        discard(spark, made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; the quick way serves texts of one byte per character."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_column, lower_ascii, split_words, stored, table
+from .common import digest_column, lower_ascii, scratch, split_words, stored, table
 
 #: What separates words: ASCII other than digits and lower-case letters.
 BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -104,27 +104,29 @@ def matches(index: DataFrame, wins: DataFrame, slop: int = SLOP, near: int = NEA
 
 def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per document row: row, key, n_words, n_hit, n_items, items (sorted), n_near, contaminated."""
-    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
-    index = stored(postings(docs, items, key, text), "postings")
-    wins_of = windows(items, item_key).withColumn("window", F.xxhash64("terms"))
-    wins = wins_of.select("window", "terms").distinct()
-    found = stored(matches(index, wins, small=small), "matches")
-    phrases = found.filter("phrase")
-    hit = phrases.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    owners = phrases.select("row", "window").distinct().join(wins_of.select("window", "item").distinct(), "window")
-    owners = owners.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    close = found.filter("near AND NOT phrase").select("row", "window").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
-    ends = index.filter(F.col("term") == F.xxhash64(F.lit(END))).select("row", "key", F.col("place").cast("long").alias("n_words"))
-    zero = F.lit(0).cast("long")
-    out = ends.join(hit, "row", "left").join(owners, "row", "left").join(close, "row", "left")
-    return out.select(
-        "row", "key", "n_words",
-        F.coalesce("n_hit", zero).alias("n_hit"),
-        F.when(F.col("items").isNull(), zero).otherwise(F.size("items").cast("long")).alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("n_near", zero).alias("n_near"),
-        (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
-    )
+    with scratch(docs.sparkSession) as keep:
+        small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
+        index = stored(postings(docs, items, key, text), "postings")
+        wins_of = windows(items, item_key).withColumn("window", F.xxhash64("terms"))
+        wins = wins_of.select("window", "terms").distinct()
+        found = stored(matches(index, wins, small=small), "matches")
+        phrases = found.filter("phrase")
+        hit = phrases.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+        owners = phrases.select("row", "window").distinct().join(wins_of.select("window", "item").distinct(), "window")
+        owners = owners.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+        close = found.filter("near AND NOT phrase").select("row", "window").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
+        ends = index.filter(F.col("term") == F.xxhash64(F.lit(END))).select("row", "key", F.col("place").cast("long").alias("n_words"))
+        zero = F.lit(0).cast("long")
+        out = ends.join(hit, "row", "left").join(owners, "row", "left").join(close, "row", "left")
+        out = out.select(
+            "row", "key", "n_words",
+            F.coalesce("n_hit", zero).alias("n_hit"),
+            F.when(F.col("items").isNull(), zero).otherwise(F.size("items").cast("long")).alias("n_items"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            F.coalesce("n_near", zero).alias("n_near"),
+            (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+        )
+        return keep(out, "judged")
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import stored, table
+from .common import scratch, stored, table
 
 SHINGLE = 4
 SIMILARITY = 80  # per cent
@@ -199,12 +199,13 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
 
 
-def linked(nodes: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
-    """(id, label) for the nodes that have links."""
+def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """(id, label) for the nodes that have links; texts has id, class and body of at least all nodes."""
     members = regions(nodes)
     pairs = stored(offered(members, nodes), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter(F.col("size") > ALL_PAIRS).select("id")).distinct()
-    bodies = stored(nodes.select("id", "n_shingles", "body").join(ends, "id", "left_semi"), "bodies")
+    ends = ends.join(nodes.select("id", "class", "n_shingles"), "id")
+    bodies = stored(texts.select("id", "class", "body").join(ends, ["id", "class"]).select("id", "n_shingles", "body").dropDuplicates(["id"]), "bodies")
 
     ways = pairs.select(F.col("a").alias("from"), F.col("b").alias("to"), "weight").unionByName(pairs.select(F.col("b").alias("from"), F.col("a").alias("to"), "weight"))
     rank = F.row_number().over(Window.partitionBy("from").orderBy(F.desc("weight"), "to"))
@@ -232,16 +233,17 @@ def linked(nodes: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY)
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per document."""
-    every = stored(signed(docs, key, text, shingle), "signed")
-    first = every.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("class").agg(F.min("id").alias("id"))
-    first = stored(first, "classes")
-    nodes = every.join(first.select("id", "class"), ["id", "class"], "left_semi").dropDuplicates(["id"])
-    nodes = stored(nodes.select("id", "n_shingles", "signature", "body"), "nodes")
-    labels = linked(nodes, shingle, percent)
-    classes = first.join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
-    out = every.select("id", "n_shingles", "class").join(classes, "class", "left")
-    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")))
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        every = stored(signed(docs, key, text, shingle), "signed")
+        first = every.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("class").agg(F.min("id").alias("id"))
+        first = stored(first, "classes")
+        nodes = every.select("id", "class", "n_shingles", "signature").join(first.select("id", "class"), ["id", "class"], "left_semi").dropDuplicates(["id"])
+        nodes = stored(nodes, "nodes")
+        labels = linked(nodes, every, shingle, percent)
+        classes = first.join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
+        out = every.select("id", "n_shingles", "class").join(classes, "class", "left")
+        out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")))
+        return keep(out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
 
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
