@@ -22,8 +22,8 @@ SHINGLE = 5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and not ambiguous."""
-    found = langid.predicted(docs.withColumn("_all", F.struct(*docs.columns)), langid.train(docs), keep=["_all"])
-    return found.filter(~F.col("ambiguous") & (F.col("lang_pred") != langid.UNKNOWN)).select("_all.*")
+    found = langid.predicted(docs, langid.train(docs))
+    return found.filter(~F.col("ambiguous") & (F.col("lang_pred") != langid.UNKNOWN)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

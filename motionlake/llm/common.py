@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Regular-expression body of the ASCII white space that separates words.
 SPACE = r"\x20\x09-\x0D"
+ARROW_ROWS = 2500
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows, so that a batch of long texts stays small; a setting of the caller's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 _OPEN: list[list[str]] = []
 
 

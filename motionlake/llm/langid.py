@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import table
+from .common import small_batches, table
 
 TRAIN_PER_LANGUAGE = 400
 DIMENSIONS = 4096
@@ -166,14 +166,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return _fit(x, np.array([languages.index(r.lang) for r in rows]), languages)
 
 
-def _predictor(model: Model, text_at: int, keep: int):
-    """The first `keep` columns stay; behind the text comes whether it has a letter."""
+def _predictor(model: Model, text: str, keep: int):
+    """The first `keep` columns stay; the last tells whether the text has a letter. The text is the
+    last but one, or a field of the first column if that is a struct of everything."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            letters = batch.column(text_at + 1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, x in vectors(batch.column(text_at)):
+            texts = batch.column(keep) if batch.num_columns > keep + 1 else batch.column(0).field(text)
+            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, x in vectors(texts):
                 known = letters[i:j] & bool(model.languages)
                 best, score, unsure = np.full(j - i, len(model.languages)), np.zeros(j - i), np.ones(j - i, bool)
                 if known.any():
@@ -186,14 +188,15 @@ def _predictor(model: Model, text_at: int, keep: int):
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all, if none are named) with lang_pred, score and ambiguous.
-
-    A column of the caller with one of these names is replaced.
-    """
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score", "ambiguous")]
-    source = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(keep)])
-    return source.mapInArrow(_predictor(model, len(keep), len(keep)), f"{kinds}lang_pred string, score double, ambiguous boolean")
+    """The columns `keep` with lang_pred, score and ambiguous; without `keep` one column `row`, the whole row."""
+    small_batches(docs.sparkSession)
+    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    if keep is None:
+        source, count = docs.select(F.struct(*docs.columns).alias("row"), letter), 1
+    else:
+        source, count = docs.select(*keep, F.col(text).alias("_text"), letter), len(keep)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:count])
+    return source.mapInArrow(_predictor(model, text, count), f"{kinds}lang_pred string, score double, ambiguous boolean")
 
 
 def op6_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import scratch, stored, table
+from .common import scratch, small_batches, stored, table
 
 SHINGLE = 4
 SIMILARITY = 80  # per cent
@@ -89,6 +89,7 @@ def _signer(shingle: int):
 
 def signed(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, class, signature, body): class is equal for equal word sequences."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(_signer(shingle), SIGNED)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import table
+from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are encoded at a time, bytes of new parts that are indexed at a time,
@@ -352,6 +352,7 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 def encoded(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """df with `pieces`, the piece ids of the text."""
+    small_batches(df.sparkSession)
     df = df.drop("pieces")
     return df.mapInArrow(_encoder(model_bytes(model), df.columns.index(text)), _with(df, "pieces", "array<int>"))
 
