@@ -88,9 +88,10 @@ def write_recordings(messages: DataFrame, folder: str, batch: int = 500) -> Data
     return messages.select("bag", "id", "topic", "us", F.col("data").cast("binary").alias("data")).groupBy("bag").applyInPandas(save, f"bag {kind}, path string, messages long, first_us long, last_us long")
 
 
-def little_endian(data: Column, at: int, size: int = 4) -> Column:
+def little_endian(data: Column, at: Column | int, size: int = 4) -> Column:
     """An unsigned whole number in a payload, `at` counted from 0."""
-    return F.conv(F.hex(F.reverse(F.substring(data, at + 1, size))), 16, 10).cast("long")
+    digits = F.hex(F.substring(data, F.lit(at) + 1, F.lit(size)))
+    return F.conv(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size)))), 16, 10).cast("long")
 
 
 def stamp(data: Column) -> Column:
@@ -101,5 +102,5 @@ def stamp(data: Column) -> Column:
 def image_size(data: Column, mark: str = "mono8") -> Column:
     """struct(width, height), found before the encoding's name; null without it."""
     at = F.instr(F.decode(data, "ISO-8859-1"), F.lit(mark))
-    number = lambda back: F.conv(F.hex(F.reverse(F.substring(data, at - back, F.lit(4)))), 16, 10).cast("long")
+    number = lambda back: little_endian(data, at - 1 - back)
     return F.when(at > 12, F.struct(number(8).alias("width"), number(12).alias("height")))
