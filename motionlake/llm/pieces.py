@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are encoded at a time, bytes of new parts that are indexed at a time,
 #: texts that are decoded at a time, and slots for judged pairs of pieces in a worker.
 BATCH = 8 << 20
-INDEXED = 1 << 19
+INDEXED = 1 << 18
 ROWS = 256
 PAIRS = 1 << 20
 MARK = "▁"
