@@ -38,6 +38,26 @@ def ray_cells(rays: DataFrame) -> DataFrame:
     return r.select(at("ax", "bx").alias("gx"), at("ay", "by").alias("gy")).distinct()
 
 
+def line_cells(rays: DataFrame) -> DataFrame:
+    """Distinct (gx, gy) of the unbroken lines (ax, ay) -> (bx, by), both ends included.
+
+    Lines run from their left end; the short side moves by what has been gone of it,
+    rounded, halves down.
+    """
+    back = F.col("bx") < F.col("ax")
+    r = rays.select(
+        F.least("ax", "bx").alias("x0"), F.when(back, F.col("by")).otherwise(F.col("ay")).alias("y0"), F.abs(F.col("bx") - F.col("ax")).alias("w"),
+        F.when(back, F.col("ay") - F.col("by")).otherwise(F.col("by") - F.col("ay")).alias("rise"),
+    ).withColumns({"h": F.abs("rise")}).withColumns({"n": F.greatest("w", "h"), "short": F.least("w", "h")})
+    r = r.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    moved = F.when(F.col("n") > 0, F.expr("(2L * i * short + n - 1) div (2L * n)")).otherwise(F.lit(0))
+    steep = F.col("h") > F.col("w")
+    return r.withColumn("m", moved).select(
+        (F.col("x0") + F.when(steep, F.col("m")).otherwise(F.col("i"))).cast("int").alias("gx"),
+        (F.col("y0") + F.signum("rise").cast("int") * F.when(steep, F.col("i")).otherwise(F.col("m"))).cast("int").alias("gy"),
+    ).distinct()
+
+
 def disc_cells(centres: DataFrame, radius: int) -> DataFrame:
     """Distinct cells within a whole-number radius of the centres (gx, gy)."""
     span = F.sequence(F.lit(-radius), F.lit(radius))
