@@ -5,9 +5,10 @@ sorted orders of that signature, each read from another position on; texts that
 prefix of an order are a region. A region that holds many texts is cut by a longer prefix
 (adaptive depth). Small regions offer all their pairs, large ones the neighbours in their
 sorted order, which have the longest common prefixes. Offered pairs are confirmed on the
-full sets: first each text's two best, then every pair whose ends are still apart, then
-every pair of a large region that is still apart. Only links inside a component, which
-change nothing, are left unlooked at.
+full sets: first each text's two best, then every pair whose ends are still apart. Cutting
+and neighbours may miss links, so all members of the shortest-prefix regions that are not
+of one component then meet in an exact join on their rarest shingles. Only links inside a
+component, which change nothing, are left unlooked at.
 
 Equal texts are one node, so a group of copies costs one row. Components come from
 alternating star contraction over confirmed links, in Spark, with written tables between
@@ -41,6 +42,8 @@ ALL_PAIRS = 16
 NEIGHBOURS = 2
 BEST = 2
 SEED = 11
+TALLY_BITS = 20
+SPLIT = 2000
 
 SIGNED = "id long, n_shingles long, class binary, signature binary, body binary"
 
@@ -93,6 +96,12 @@ def signed(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> Data
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(_signer(shingle), SIGNED)
 
 
+def _found(body: bytes, shingle: int) -> np.ndarray:
+    """The shingles of a stored text."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(body), np.uint8)
+    return bytescan.shingles(bytescan.word_hashes(data, np.array([0, len(data)]))[0], shingle)
+
+
 def _confirmer(shingle: int, percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -101,8 +110,7 @@ def _confirmer(shingle: int, percent: int):
             if key not in kept:
                 if len(kept) >= 256:
                     kept.clear()
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(body), np.uint8)
-                kept[key] = bytescan.shingles(bytescan.word_hashes(data, np.array([0, len(data)]))[0], shingle)
+                kept[key] = _found(body, shingle)
             return kept[key]
 
         for batch in batches:
@@ -131,8 +139,11 @@ def _prefix(depth: int):
     return F.xxhash64("tree", F.substring(turned, start + 1, F.lit(4 * depth)))
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(region, id, size): regions of 2 to LARGE_REGION nodes, or the deepest ones whatever their size."""
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, id, size): regions of 2 to LARGE_REGION nodes, or the deepest ones whatever their size.
+
+    And (region, id) of the shortest-prefix regions that don't offer all their pairs.
+    """
     rows = nodes.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     parts, large, above = [], None, 0
     for depth in DEPTHS:
@@ -143,6 +154,8 @@ def regions(nodes: DataFrame) -> DataFrame:
         sizes = stored(keyed.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{depth}")
         final = sizes if depth == DEPTHS[-1] else sizes.filter(F.col("size") <= LARGE_REGION)
         parts.append(keyed.join(final, "region"))
+        if large is None:
+            wide = stored(keyed.join(sizes.filter(F.col("size") > ALL_PAIRS).select("region"), "region", "left_semi"), "wide")
         large = sizes.filter(F.col("size") > LARGE_REGION).select(F.col("region").alias("above"))
         above = depth
         if large.isEmpty():
@@ -150,7 +163,7 @@ def regions(nodes: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return stored(out, "regions")
+    return stored(out, "regions"), wide
 
 
 def offered(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,11 +213,74 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
 
 
+def _tally(shingle: int):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << TALLY_BITS, np.int64)
+        for batch in batches:
+            found = [_found(body, shingle) for body in batch.column(0).to_pylist()]
+            if found:
+                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - TALLY_BITS)).astype(np.int64), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        for i in range(0, len(some), 1 << 16):
+            at = some[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    return tally
+
+
+def _rarest(shingle: int, percent: int, counts):
+    """The shingles of which two texts that are links share at least one, rarest first by their slot's count."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels, bodies = (c.to_pylist() for c in batch.columns)
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for id_, label, body in zip(ids, labels, bodies):
+                found = _found(body, shingle)
+                n = len(found)
+                rank = counts.value[(found >> np.uint64(64 - TALLY_BITS)).astype(np.int64)]
+                first = np.lexsort((found, rank))[: n - (percent * n + 99) // 100 + 1]
+                place = np.flatnonzero(rank[first] > 1)  # no other text has one that counts once
+                for to, column in zip(out, (found[first[place]].view(np.int64), np.full(len(place), id_), np.full(len(place), label), np.full(len(place), n), place)):
+                    to.append(column)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["shingle", "id", "label", "n", "place"])
+
+    return rarest
+
+
+def crossing(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): pairs of members (id, label, body) of different labels, among them all that are links.
+
+    Texts are links only if they share one of their rarest shingles, in any order of all
+    shingles that is the same for both; the place of the first shared one bounds how much
+    they can share. Of a shingle's texts, those outside its commonest label meet all,
+    which are dealt out if there are many.
+    """
+    spark = members.sparkSession
+    slots = members.select("body").mapInArrow(_tally(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << TALLY_BITS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    rare = members.select("id", "label", "body").mapInArrow(_rarest(shingle, percent, spark.sparkContext.broadcast(counts)), "shingle long, id long, label long, n long, place long")
+    rare = stored(rare, "rarest")
+    per = rare.groupBy("shingle", "label").agg(F.count("*").alias("rows"))
+    per = per.groupBy("shingle").agg(F.max_by("label", F.struct("rows", "label")).alias("common"), F.sum("rows").alias("rows"), F.count("*").alias("labels")).filter("labels > 1")
+    per = stored(per.select("shingle", "common", F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")), "shared")
+    both = rare.join(per, "shingle")
+    x = both.filter("label <> common").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.select("shingle", "part", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n").alias("n"), F.col("place").alias("i"))
+    y = both.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    y = y.select("shingle", "part", F.col("id").alias("b"), F.col("label").alias("q"), F.col("n").alias("m"), F.col("place").alias("j"))
+    fits = (F.col("p") != F.col("q")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    fits = fits & ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m")))
+    return x.join(y, ["shingle", "part"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """(id, label) for the nodes that have links; texts has id, class and body of at least all nodes."""
-    members = regions(nodes)
+    members, wide = regions(nodes)
     pairs = stored(offered(members, nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter(F.col("size") > ALL_PAIRS).select("id")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id")).distinct()
     ends = ends.join(nodes.select("id", "class", "n_shingles"), "id")
     bodies = stored(texts.select("id", "class", "body").join(ends, ["id", "class"]).select("id", "n_shingles", "body").dropDuplicates(["id"]), "bodies")
 
@@ -220,14 +296,13 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     links = links.unionByName(more)
     labels = stored(components(links), "labels")
 
-    large = members.filter(F.col("size") > ALL_PAIRS).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(bodies.select("id", "n_shingles"), "id")
-    mixed = large.groupBy("region").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("region")
+    wide = wide.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = stored(wide.groupBy("region").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("region"), "mixed")
     if not mixed.isEmpty():
-        x = large.join(mixed, "region", "left_semi").select("region", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n_shingles").alias("n"))
-        y = x.select("region", F.col("a").alias("b"), F.col("p").alias("q"), F.col("n").alias("m"))
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q"))
-        last = x.join(y, "region").filter(fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(stored(confirmed(stored(last, "last"), bodies, shingle, percent), "links"))
+        apart = wide.join(mixed, "region", "left_semi").select("id", "label").distinct()
+        apart = stored(apart.join(bodies.select("id", "body"), "id"), "apart")
+        last = stored(crossing(apart, shingle, percent).join(pairs, ["a", "b"], "left_anti"), "last")
+        links = links.unionByName(stored(confirmed(last, bodies, shingle, percent), "links"))
         labels = stored(components(links), "labels")
     return labels
 

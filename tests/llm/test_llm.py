@@ -157,3 +157,43 @@ def test_pipeline_against_single_stages(spark, tables):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
     assert 1 not in out and 3 not in out and 7 not in out and 6 not in out and 5 not in out
     assert corpus_pipeline.run(spark, tables["empty"]).count() == 0
+
+
+def plain_components(texts, percent=near_dedup.SIMILARITY, size=near_dedup.SHINGLE):
+    """The smallest id that each text reaches over links, by looking at all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = t.split()
+        sets[k] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+    label = {k: k for k in texts}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in texts:
+        for b in texts:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {k: root(k) for k in texts}
+
+
+def test_near_duplicates_of_large_regions(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE_REGION", 8)
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 2)
+    monkeypatch.setattr(near_dedup, "SPLIT", 7)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(203)]
+    texts = {0: " ".join(base)}
+    for k in range(1, 81):
+        words = list(base)
+        for i in rng.sample(range(3, 195), rng.choice([5, 5, 6])):
+            words[i] = f"x{k}y{i}"
+        texts[k] = " ".join(words)
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = plain_components(texts)
+    assert len(set(want.values())) > 1 and sum(v == 0 for v in want.values()) > 20
+    assert got == want
