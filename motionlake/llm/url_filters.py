@@ -4,7 +4,8 @@ Hosts that an allow rule names are trusted seeds, hosts that a block rule names
 blocked seeds. Trust is personalised PageRank from the trusted seeds along links; distrust
 is the same from the blocked seeds along reversed links, so hosts that link to blocked
 ones take their share. A page without a rule is blocked if its host's distrust is at
-least THRESHOLD and more than its trust.
+least THRESHOLD, or with many blocked seeds a SEED_PART of what one of them starts with,
+and more than its trust.
 
 Ranks are whole numbers (shares of SCALE), so sums don't depend on their order and every
 run gives the same verdicts. Links are counted per pair of hosts before anything is
@@ -24,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, lower_ascii, stored, table
+from .common import UPPER, digest_column, lower_ascii, stored, table
 
 ROUNDS = 10
 WRITE_EVERY = 5
@@ -33,6 +34,8 @@ SCALE = 10**12
 PARTS = 10**6
 #: A ten-thousandth of all distrust.
 THRESHOLD = SCALE // 10_000
+#: Seeds share SCALE, so that a fixed part of all is out of reach once there are many of them.
+SEED_PART = 100
 LINK = r"""(?i)\s(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -126,9 +129,12 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", ht
     seeds = named.filter(F.col("ruled").isNotNull() & (F.col("host") != "")).select(kind.alias("kind"), "host").distinct()
     rank = ranks(host_edges(pages, url, html), seeds)
     rank = rank.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0)).alias(k) for k in ("trust", "distrust")))
-    out = named.join(rank, "host", "left").fillna(0, ["trust", "distrust"])
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
-    return out.withColumn("verdict", F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))).drop("ruled")
+    least = digest_column("_least", named.columns)
+    blocked = seeds.filter("kind = 'distrust'").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    blocked = blocked.select(F.least(F.lit(threshold), F.call_function("div", F.lit(SCALE), F.col("n") * SEED_PART)).alias(least))
+    out = named.join(rank, "host", "left").fillna(0, ["trust", "distrust"]).crossJoin(F.broadcast(blocked))
+    bad = (F.col("distrust") >= F.col(least)) & (F.col("distrust") > F.col("trust"))
+    return out.withColumn("verdict", F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))).drop("ruled", least)
 
 
 def op8_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:

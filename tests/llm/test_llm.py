@@ -143,6 +143,15 @@ def test_distrust_follows_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_distrust_of_many_blocked_hosts(spark):
+    n = 10_050
+    pages = [(i, f"http://h{i}.org/es/1", "") for i in range(n)] + [(n + i, f"http://h{i}.org/x", "") for i in range(n)]
+    pages += [(2 * n, "http://friend.info/x", "<a href='http://h7.org/'>"), (2 * n + 1, "http://other.info/x", "<a href='http://far.info/'>")]
+    out = url_filters.judged(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r.page_id: r.verdict for r in out.collect()}
+    assert all(got[i] == "block" for i in range(2 * n + 1)) and got[2 * n + 1] == "allow"
+
+
 def test_words_of_a_slice():
     ((_, _, data, offsets),) = bytescan.text_slices(pa.array([" a  bc", None, "d"]))
     starts, ends, first = bytescan.words(data, offsets)
