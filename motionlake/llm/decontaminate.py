@@ -2,13 +2,13 @@
 
 Postings (row, place, term) of the terms that the test set uses are stored once, with an
 end mark per row whose place is the row's length. Each window of test words asks the
-index from its rarest term: postings of the rarest and of the second rarest, moved back
-by their offsets, are intersected, and only the few places that survive are held against
-the whole window. Joins are on equal keys throughout; a window costs as much as its
-rarest terms have postings, not as there are documents.
+index from its rarest terms, two more than a proximity match may miss: their postings,
+moved back by their offsets, are sorted together, and only places where two agree
+are held against the whole window. Joins are on equal keys throughout; a window costs as
+much as its rarest terms have postings, not as there are documents.
 
 Exact phrases have every word of the window in its place; proximity matches have at
-least NEAR percent of its terms within SLOP words of their places.
+least NEAR percent of its terms within SLOP words of their places, from a common start.
 
 Defined results for odd input: null and empty texts have no words; rows that repeat a
 doc_id with another text are judged apart; equal rows each get the same result; items
@@ -17,7 +17,7 @@ without words match nothing; empty tables give no rows or no matches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import digest_column, lower_ascii, scratch, split_words, stored, table
@@ -61,49 +61,50 @@ def postings(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     return spread.join(terms, "word").select("row", "key", "place", "term")
 
 
-def alignments(index: DataFrame, wins: DataFrame, slop: int = SLOP, small: bool = True) -> DataFrame:
-    """(row, window, start, terms): places where a window's two rarest terms agree within slop."""
+def alignments(index: DataFrame, wins: DataFrame, slop: int = SLOP, near: int = NEAR, small: bool = True) -> DataFrame:
+    """(row, window, start, terms): places where two of a window's rarest terms agree, each within slop of one start."""
     hint = F.broadcast if small else (lambda x: x)
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    each = wins.select("window", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    # a window with a word that no document has can have no phrase; its other words may still be near
-    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("by"))
-    ranked = ranked.withColumn("by", F.filter("by", lambda x: x["n"] > 0)).filter(F.size("by") > 0)
-    first, second = F.get("by", F.lit(0)), F.get("by", F.least(F.lit(1), F.size("by") - 1))
-
-    def at(pick: Column) -> DataFrame:
-        wanted = ranked.select("window", pick["term"].alias("term"), pick["offset"].alias("offset"))
-        return index.join(hint(wanted), "term").select("row", "window", (F.col("place") - F.col("offset")).alias("start"))
-
-    step = slop + 1
-    near = at(second).withColumn("other", F.col("start")).withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("start") / step) + d))).drop("start")
-    found = at(first).withColumn("cell", F.floor(F.col("start") / step)).join(near, ["row", "window", "cell"])
-    found = found.filter(F.abs(F.col("start") - F.col("other")) <= slop).select("row", "window", "start").distinct()
+    each = wins.select("window", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term", "left")
+    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("by")).withColumn("distinct", F.size("by"))
+    # of so many at least two are there, also if all that a match may miss are among them
+    lists = F.call_function("div", F.col("distinct") * (100 - near), F.lit(100)).cast("int") + 2
+    asked = ranked.select("window", "distinct", F.explode(F.slice("by", 1, lists)).alias("by")).filter("by.n > 0").select("window", "distinct", "by.term")
+    asked = asked.join(wins.select("window", F.posexplode("terms").alias("offset", "term")), ["window", "term"])
+    single = (F.col("distinct") == 1).alias("single")
+    at = index.join(hint(asked), "term").select("row", "window", "term", single, (F.col("place") - F.col("offset")).cast("int").alias("start"))
+    # between two that agree, there are also two next to each other that do
+    by = Window.partitionBy("row", "window").orderBy("start", "term")
+    found = at.withColumns({"other": F.lag("start").over(by), "second": F.lag("term").over(by)})
+    two = F.col("single") | ((F.col("term") != F.col("second")) & (F.col("start") - F.col("other") <= 2 * slop))
+    found = found.filter(two).select("row", "window", "start").distinct()
     return found.join(hint(wins), "window")
 
 
 def matches(index: DataFrame, wins: DataFrame, slop: int = SLOP, near: int = NEAR, small: bool = True) -> DataFrame:
     """(row, window, start, length, phrase, near): what survives a look at the whole window."""
-    found = stored(alignments(index, wins, slop, small), "alignments")
+    found = stored(alignments(index, wins, slop, near, small), "alignments")
     length = F.size("terms")
-    looked = found.withColumn("place", F.explode(F.sequence(F.col("start") - slop, F.col("start") + length - 1 + slop)))
+    looked = found.withColumn("place", F.explode(F.sequence(F.col("start") - 2 * slop, F.col("start") + length - 1 + 2 * slop)))
     there = index.join(found.select("row").distinct(), "row", "left_semi")
-    seen = looked.join(there, ["row", "place"])
-    inside = F.array_contains("terms", F.col("term"))
-    right = F.try_element_at("terms", F.when(F.col("place") >= F.col("start"), F.col("place") - F.col("start") + 1).otherwise(F.lit(1))) == F.col("term")
-    right = right & (F.col("place") >= F.col("start"))
-    agg = seen.filter(inside).groupBy("row", "window", "start").agg(
+    seen = looked.join(there, ["row", "place"]).filter(F.array_contains("terms", F.col("term")))
+    from_ = F.transform("terms", lambda t, i: F.when(t == F.col("term"), F.col("place") - i))
+    seen = seen.withColumn("from", F.explode(F.filter(from_, lambda y: F.abs(y - F.col("start")) <= 2 * slop)))
+    agg = seen.groupBy("row", "window", "start").agg(
         F.first(length).alias("length"),
         F.first(F.size(F.array_distinct("terms"))).alias("distinct"),
-        F.count_distinct(F.when(right, F.col("place"))).alias("right"),
-        F.count_distinct("term").alias("terms_near"),
+        F.count_distinct(F.when(F.col("from") == F.col("start"), F.col("place"))).alias("right"),
+        F.collect_set(F.struct("from", "term")).alias("spots"),
     )
+    begins = F.filter("spots", lambda s: (s["from"] <= F.col("start")) & (s["from"] >= F.col("start") - 2 * slop))
+    within = lambda s: F.filter("spots", lambda o: (o["from"] >= s["from"]) & (o["from"] <= s["from"] + 2 * slop))
+    agg = agg.withColumn("terms_near", F.array_max(F.transform(begins, lambda s: F.size(F.array_distinct(F.transform(within(s), lambda o: o["term"]))))))
     agg = agg.withColumns({"phrase": F.col("right") == F.col("length"), "near": 100 * F.col("terms_near") >= near * F.col("distinct")})
-    return agg.filter(F.col("phrase") | F.col("near")).drop("distinct")
+    return agg.filter(F.col("phrase") | F.col("near")).drop("distinct", "spots")
 
 
 def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """One row per document row: row, key, n_words, n_hit, n_items, items (sorted), n_near, contaminated."""
+    """One row per document row: row, key, n_words, n_hit, n_items, items (sorted), n_near, near_items (sorted), contaminated."""
     with scratch(docs.sparkSession) as keep:
         small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
         index = stored(postings(docs, items, key, text), "postings")
@@ -112,9 +113,11 @@ def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         found = stored(matches(index, wins, small=small), "matches")
         phrases = found.filter("phrase")
         hit = phrases.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-        owners = phrases.select("row", "window").distinct().join(wins_of.select("window", "item").distinct(), "window")
+        owned = wins_of.select("window", "item").distinct()
+        owners = phrases.select("row", "window").distinct().join(owned, "window")
         owners = owners.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-        close = found.filter("near AND NOT phrase").select("row", "window").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
+        close = found.select("row", "window").distinct().join(phrases.select("row", "window").distinct(), ["row", "window"], "left_anti").join(owned, "window")
+        close = close.groupBy("row").agg(F.count_distinct("window").alias("n_near"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near_items"))
         ends = index.filter(F.col("term") == F.xxhash64(F.lit(END))).select("row", "key", F.col("place").cast("long").alias("n_words"))
         zero = F.lit(0).cast("long")
         out = ends.join(hit, "row", "left").join(owners, "row", "left").join(close, "row", "left")
@@ -124,6 +127,7 @@ def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
             F.when(F.col("items").isNull(), zero).otherwise(F.size("items").cast("long")).alias("n_items"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
             F.coalesce("n_near", zero).alias("n_near"),
+            F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"),
             (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
         )
         return keep(out, "judged")
@@ -145,6 +149,13 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact phrases and proximity matches; n_near counts windows that are near and nowhere exact."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.drop("row").withColumnRenamed("key", "doc_id")
+
+
 def oracle() -> str:
     words = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{BREAKS}]+')"
     return f"""

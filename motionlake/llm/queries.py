@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_link_trust": url_filters.op8_link_trust,
     "op9_randomness_tests": secrets.op9_randomness_tests,
     "op10_positional_index": decontaminate.op10_positional_index,
+    "op10_proximity": decontaminate.op10_proximity,
 }
 
 ORACLE_SQL: dict[str, str] = {

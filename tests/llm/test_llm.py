@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from motionlake.llm import bytescan, langid, near_dedup, pieces, secrets, suffix_dedup, url_filters
+from motionlake.llm import bytescan, decontaminate, langid, near_dedup, pieces, secrets, suffix_dedup, url_filters
 from motionlake.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -152,6 +152,39 @@ def test_distrust_of_many_blocked_hosts(spark):
     assert all(got[i] == "block" for i in range(2 * n + 1)) and got[2 * n + 1] == "allow"
 
 
+def plain_near(words, terms):
+    """Whether a window is near in a text, and whether it stands there as a phrase."""
+    spots = [(p - o, t) for p, w in enumerate(words) for o, t in enumerate(terms) if w == t]
+    most = max((len({t for y, t in spots if first <= y <= first + 2 * decontaminate.SLOP}) for first, _ in spots), default=0)
+    return 100 * most >= decontaminate.NEAR * len(set(terms)), any(words[i : i + len(terms)] == terms for i in range(len(words)))
+
+
+def test_near_windows_against_brute_force(spark):
+    rng = random.Random(8)
+    items = {k: [f"k{k}w{i}" for i in range(n)] for k, n in enumerate((12, 10, 3, 5))} | {4: ["a", "a", "b", "c", "d", "a"], 5: ["z"]}
+    texts = []
+    for _ in range(120):
+        words = list(items[rng.choice([0, 0, 0, 1, 2, 3, 4, 5])])
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(words) + 1)
+            words[i : i + rng.randrange(2)] = [rng.choice("abcdz")] * rng.randrange(8)
+        texts.append([rng.choice("bcdy") for _ in range(rng.randrange(6))] + words)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    out = decontaminate.judged(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
+    got = {r.key: (r.n_near, r.near_items, r.contaminated) for r in out.collect()}
+    for i, words in enumerate(texts):
+        near, owners, exact = set(), set(), False
+        for k, item in items.items():
+            size = min(len(item), decontaminate.WINDOW)
+            for j in range(len(item) - size + 1):
+                close, phrase = plain_near(words, item[j : j + size])
+                exact |= phrase
+                if close and not phrase:
+                    near.add(tuple(item[j : j + size]))
+                    owners.add(str(k))
+        assert got[i] == (len(near), sorted(owners), exact), words
+
+
 def test_words_of_a_slice():
     ((_, _, data, offsets),) = bytescan.text_slices(pa.array([" a  bc", None, "d"]))
     starts, ends, first = bytescan.words(data, offsets)
