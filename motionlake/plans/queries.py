@@ -343,6 +343,20 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""WITH {P.POINTS_SQL}, {P.POSES_SQL}, q AS (SELECT DISTINCT x, y FROM p)
+SELECT frame, seq FROM pt WHERE NOT EXISTS (SELECT 1 FROM q WHERE (pt.x - q.x) ** 2 + (pt.y - q.y) ** 2 < 0.25)""")
+def anti_proximity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.far_from(P.points(spark, sf_dir), P.poses(spark, sf_dir)).select("frame", "seq")
+
+
+@query(f"""WITH {P.POSES_SQL}, t AS (SELECT p.*, topic FROM p JOIN m USING (id)), k AS (SELECT DISTINCT x, y, z FROM t WHERE topic = '{P.LEFT}'), a AS (SELECT * FROM t WHERE topic <> '{P.LEFT}')
+SELECT id, round(sqrt(min((a.x - k.x) ** 2 + (a.y - k.y) ** 2 + (a.z - k.z) ** 2)), 6) AS distance FROM a, k GROUP BY id""")
+def nearest_point_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.poses(spark, sf_dir).join(P.messages(spark, sf_dir).select("id", "topic"), "id")
+    d = S.nearest_distance(p.filter(F.col("topic") != P.LEFT), p.filter(F.col("topic") == P.LEFT), 4.0, id_="id")
+    return d.select("id", F.round("distance", 6).alias("distance"))
+
+
 # -- poses ----------------------------------------------------------------------------------
 
 def _turn(a: int, b: int, c: int, d: int) -> str:

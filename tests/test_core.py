@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motionlake import proxies as P
 from motionlake.operators import timeseries as T
 from motionlake.operators import trajectory as R
 from motionlake.plans.queries import ORACLE_SQL, QUERIES
@@ -110,3 +111,16 @@ def test_files_there_and_back(spark, tmp_path):
     body = b"".join(bytes(r.pixels) for r in files.pgm_rows(cells, 2, 2).orderBy("row").collect())
     (tmp_path / "m.pgm").write_bytes(b"P5\n2 2\n255\n" + body)
     assert {tuple(r)[1:] for r in files.read_pgm(spark, str(tmp_path / "m.pgm")).collect()} == {(0, 0, "OCCUPIED"), (1, 1, "FREE")}
+
+
+def test_all_poses_and_points_count(spark):
+    p = P.poses(spark, SF).join(P.messages(spark, SF).select("id", "topic"), "id").toPandas()
+    pt = P.points(spark, SF).toPandas()
+    near = ((pt[["x", "y"]].to_numpy()[:, None] - p[["x", "y"]].drop_duplicates().to_numpy()) ** 2).sum(axis=2).min(axis=1) < 0.25
+    far = {(r.frame, r.seq) for r in QUERIES["anti_proximity_all"](spark, SF).collect()}
+    assert far == set(zip(pt.frame[~near].tolist(), pt.seq[~near].tolist()))
+    assert len(far) < QUERIES["anti_proximity"](spark, SF).count()
+    left = p.topic == P.LEFT
+    d = np.sqrt(((p[["x", "y", "z"]].to_numpy()[~left, None] - p[["x", "y", "z"]].to_numpy()[left]) ** 2).sum(axis=2).min(axis=1))
+    got = {r.id: r.distance for r in QUERIES["nearest_point_all"](spark, SF).collect()}
+    assert set(got) == set(p.id[~left].tolist()) and np.allclose([got[i] for i in p.id[~left]], d, atol=1e-5)
