@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir, which all machines of a cluster share.
 
-    Where the setting is absent (tests, local mode) a temporary folder is made and set.
+    Where the setting is absent in local mode (tests) a temporary folder is made and set;
+    machines of a cluster would not see each other's, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="motionlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    for made in _OPEN:
+    for made in _OPEN.get():
         made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,14 +55,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
-_OPEN: list[list[str]] = []
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work, after which the worker, which lives on, gives back the memory that it has freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+#: Lists of stored paths of the scratch blocks that are open around the running code.
+_OPEN: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open_scratch", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables stored inside the block go at its end; the given function stores one that stays."""
     made: list[str] = []
-    _OPEN.append(made)
+    token = _OPEN.set((*_OPEN.get(), made))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = stored(df, name)
@@ -66,7 +86,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     try:
         yield keep
     finally:
-        _OPEN.remove(made)
+        _OPEN.reset(token)
         discard(spark, made)
 
 

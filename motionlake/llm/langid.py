@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import small_batches, table
+from .common import releasing, small_batches, table
 
 TRAIN_PER_LANGUAGE = 400
 DIMENSIONS = 4096
@@ -158,7 +158,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     chance = F.create_map(*(F.lit(v) for k in languages for v in (k, min(1_000_000, -(-per_language * 1_000_000 // counts[k])))))
     sample = usable.filter(draw < F.try_element_at(chance, F.col(lang).cast("string"))).filter(F.col(text).rlike(r"\p{L}"))
     made = sample.select(F.col(lang).cast("string").alias("lang"), text, F.xxhash64(key).alias("draw"))
-    rows = sorted(made.mapInArrow(_features, "lang string, draw long, x binary").collect(), key=lambda r: (r.lang, r.draw, r.x))
+    rows = sorted(made.mapInArrow(releasing(_features), "lang string, draw long, x binary").collect(), key=lambda r: (r.lang, r.draw, r.x))
     languages = sorted({r.lang for r in rows})
     if not languages:
         return Model([], np.ones((0, 0)), np.zeros((DIMENSIONS, 0)), np.zeros(0), np.ones((0, 0)))
@@ -196,7 +196,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     else:
         source, count = docs.select(*keep, F.col(text).alias("_text"), letter), len(keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:count])
-    return source.mapInArrow(_predictor(model, text, count), f"{kinds}lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(releasing(_predictor(model, text, count)), f"{kinds}lang_pred string, score double, ambiguous boolean")
 
 
 def op6_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,15 @@ and neighbours may miss links, so all members of the shortest-prefix regions tha
 of one component then meet in an exact join on their rarest shingles. Only links inside a
 component, which change nothing, are left unlooked at.
 
-Equal texts are one node, so a group of copies costs one row. Components come from
-alternating star contraction over confirmed links, in Spark, with written tables between
-rounds.
+Equal word sequences are one node, so a group of copies costs one row. Nodes are numbered
+in the order of their smallest doc_id. Components come from alternating star contraction
+over confirmed links, in Spark, with written tables between rounds.
 
 Defined results for odd input: texts without words have an empty set and no links; a row
-without doc_id is its own component, with a null component_id; empty tables give none.
+without doc_id is its own component, with a null component_id; rows that repeat a doc_id
+are judged each by its own text, so two that are not linked can both bear their doc_id as
+component_id; of kept rows that are linked and repeat a doc_id `deduplicated` keeps one;
+columns of the caller stay, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import scratch, small_batches, stored, table
+from .common import digest_column, releasing, scratch, small_batches, stored, table
 
 SHINGLE = 4
 SIMILARITY = 80  # per cent
@@ -45,7 +48,7 @@ SEED = 11
 TALLY_BITS = 20
 SPLIT = 2000
 
-SIGNED = "id long, n_shingles long, class binary, signature binary, body binary"
+SIGNED = "id long, mark long, n_shingles long, class binary, signature binary, body binary"
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +71,7 @@ def _signer(shingle: int):
         a, b = _permutations()
         pack = zstandard.ZstdCompressor(3)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, marks, texts = batch.columns
             for i, j, data, offsets in bytescan.text_slices(texts):
                 data = bytescan.lower(data)
                 starts, ends, first = bytescan.words(data, offsets)
@@ -82,18 +85,18 @@ def _signer(shingle: int):
                     classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     signatures.append(_signature(found, a, b) if len(found) else None)
                     bodies.append(pack.compress(raw[offsets[k] : offsets[k + 1]]) if len(found) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bodies, pa.binary())],
-                    ["id", "n_shingles", "class", "signature", "body"],
-                )
+                made = [pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (classes, signatures, bodies))]
+                names = ["id", "mark", "n_shingles", "class", "signature", "body"]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), marks.slice(i, j - i), *made], names)
 
     return sign
 
 
 def signed(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, class, signature, body): class is equal for equal word sequences."""
+    """(id, mark, n_shingles, class, signature, body): mark tells texts apart, class word sequences."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(_signer(shingle), SIGNED)
+    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return source.mapInArrow(releasing(_signer(shingle)), SIGNED)
 
 
 def _found(body: bytes, shingle: int) -> np.ndarray:
@@ -128,7 +131,7 @@ def _confirmer(shingle: int, percent: int):
 def confirmed(pairs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are links on their full sets; nodes has id and body."""
     left, right = nodes.select(F.col("id").alias("a"), F.col("body").alias("x")), nodes.select(F.col("id").alias("b"), F.col("body").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmer(shingle, percent), "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(releasing(_confirmer(shingle, percent)), "a long, b long")
 
 
 def _prefix(depth: int):
@@ -177,7 +180,10 @@ def offered(members: DataFrame, nodes: DataFrame) -> DataFrame:
     few = members.filter(F.col("size") <= ALL_PAIRS)
     few = ahead(few, small, ALL_PAIRS - 1)
     many = members.filter(F.col("size") > ALL_PAIRS).join(nodes.select("id", "signature", "n_shingles"), "id")
-    sort = Window.partitionBy("region").orderBy("signature", "n_shingles", "id")
+    # the deepest regions can be of any size: their orders are cut into parts, other ones in each tree
+    cut = F.when(F.col("size") > LARGE_REGION, F.pmod(F.xxhash64("region", "id"), F.ceil(F.col("size") / LARGE_REGION))).otherwise(F.lit(0))
+    many = many.withColumn("part", cut)
+    sort = Window.partitionBy("region", "part").orderBy("signature", "n_shingles", "id")
     many = ahead(many, sort, NEIGHBOURS)
     both = few.unionByName(many).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     return both.groupBy("a", "b").agg(F.count("*").alias("weight"))
@@ -258,10 +264,11 @@ def crossing(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     which are dealt out if there are many.
     """
     spark = members.sparkSession
-    slots = members.select("body").mapInArrow(_tally(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slots = members.select("body").mapInArrow(releasing(_tally(shingle)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << TALLY_BITS, np.int64)
     counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    rare = members.select("id", "label", "body").mapInArrow(_rarest(shingle, percent, spark.sparkContext.broadcast(counts)), "shingle long, id long, label long, n long, place long")
+    rarest = releasing(_rarest(shingle, percent, spark.sparkContext.broadcast(counts)))
+    rare = members.select("id", "label", "body").mapInArrow(rarest, "shingle long, id long, label long, n long, place long")
     rare = stored(rare, "rarest")
     per = rare.groupBy("shingle", "label").agg(F.count("*").alias("rows"))
     per = per.groupBy("shingle").agg(F.max_by("label", F.struct("rows", "label")).alias("common"), F.sum("rows").alias("rows"), F.count("*").alias("labels")).filter("labels > 1")
@@ -277,12 +284,14 @@ def crossing(members: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
-    """(id, label) for the nodes that have links; texts has id, class and body of at least all nodes."""
+    """(id, label) for the nodes that have links. nodes has id, owner (a doc_id), class, n_shingles
+    and signature; texts has id, class and body of the owners at least."""
     members, wide = regions(nodes)
     pairs = stored(offered(members, nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id")).distinct()
-    ends = ends.join(nodes.select("id", "class", "n_shingles"), "id")
-    bodies = stored(texts.select("id", "class", "body").join(ends, ["id", "class"]).select("id", "n_shingles", "body").dropDuplicates(["id"]), "bodies")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(wide.select(F.col("id").alias("node"))).distinct()
+    ends = ends.join(nodes.select(F.col("id").alias("node"), F.col("owner").alias("id"), "class", "n_shingles"), "node")
+    bodies = texts.select("id", "class", "body").join(ends, ["id", "class"]).dropDuplicates(["id", "class"])
+    bodies = stored(bodies.select(F.col("node").alias("id"), "n_shingles", "body"), "bodies")
 
     ways = pairs.select(F.col("a").alias("from"), F.col("b").alias("to"), "weight").unionByName(pairs.select(F.col("b").alias("from"), F.col("a").alias("to"), "weight"))
     rank = F.row_number().over(Window.partitionBy("from").orderBy(F.desc("weight"), "to"))
@@ -308,23 +317,50 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per document."""
+    """(id, mark, n_shingles, component, component_id, kept), one row per row of docs.
+
+    mark is xxhash64 of the text; component numbers the groups of linked texts and is null
+    for rows that can have no links.
+    """
     with scratch(docs.sparkSession) as keep:
         every = stored(signed(docs, key, text, shingle), "signed")
         first = every.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("class").agg(F.min("id").alias("id"))
-        first = stored(first, "classes")
-        nodes = every.select("id", "class", "n_shingles", "signature").join(first.select("id", "class"), ["id", "class"], "left_semi").dropDuplicates(["id"])
-        nodes = stored(nodes, "nodes")
+        first = stored(first.orderBy("id", "class").withColumn("node", F.monotonically_increasing_id()), "classes")
+        nodes = every.select("id", "class", "n_shingles", "signature").join(first, ["id", "class"]).dropDuplicates(["id", "class"])
+        nodes = stored(nodes.select(F.col("node").alias("id"), F.col("id").alias("owner"), "class", "n_shingles", "signature"), "nodes")
         labels = linked(nodes, every, shingle, percent)
-        classes = first.join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
-        out = every.select("id", "n_shingles", "class").join(classes, "class", "left")
-        out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")))
-        return keep(out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
+        classes = first.select("class", "node").join(labels.select(F.col("id").alias("node"), "label"), "node", "left")
+        classes = classes.select("class", F.coalesce("label", "node").alias("component"))
+        classes = classes.join(first.select(F.col("node").alias("component"), F.col("id").alias("component_id")), "component")
+        out = every.select("id", "mark", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("class")).alias("class"))
+        out = out.join(classes, "class", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        return keep(out.select("id", "mark", "n_shingles", "component", "component_id", kept), "near-duplicates")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """One row of docs of each component, that with the smallest key, and all rows that have no links."""
+    found = near_duplicates(docs.select(key, text), key, text, shingle, percent)
+    mark = digest_column("_mark", docs.columns)
+    gone = found.filter(~F.col("kept")).select(F.col("id").alias(key), F.col("mark").alias(mark))
+    # kept rows that repeat a key within a component: one text stays, and one row of it
+    heads = found.filter("kept AND component IS NOT NULL").groupBy("component", "id").agg(F.count("*").alias("n"), F.min("mark").alias("least"))
+    heads = stored(heads.filter("n > 1"), "heads")
+    again = not heads.isEmpty()
+    if again:
+        more = found.filter("kept").join(heads, ["component", "id"]).filter(F.col("mark") != F.col("least"))
+        gone = gone.unionByName(more.select(F.col("id").alias(key), F.col("mark").alias(mark)))
+    out = docs.withColumn(mark, F.xxhash64(text)).join(gone.distinct(), [key, mark], "left_anti")
+    if again:
+        twice = heads.select(F.col("id").alias(key), F.col("least").alias(mark)).distinct()
+        once = out.join(twice, [key, mark], "left_semi").dropDuplicates([key, mark])
+        out = out.join(twice, [key, mark], "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).withColumnRenamed("id", "doc_id")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def oracle() -> str:

@@ -2,7 +2,7 @@
 
 A batch of texts is cut where a space follows another character, since no piece of the
 vocabulary holds a space behind another character; what two places share is encoded once.
-The distinct parts are put end to end and indexed by a suffix array. Every piece of the
+The distinct parts that recent batches did not hold are put end to end and indexed by a suffix array. Every piece of the
 vocabulary is searched in it by halving, which gives the range of its occurrences. The
 occurrences are edges over the text; sorted by position they are relaxed from left to
 right. The vocabulary is of the byte-pair kind, whose encodings are marked by one rule:
@@ -24,19 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import small_batches, table
+from .common import releasing, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are encoded at a time, bytes of new parts that are indexed at a time,
-#: texts that are decoded at a time, and slots for judged pairs of pieces in a worker.
-BATCH = 8 << 20
-INDEXED = 1 << 18
+#: texts that are decoded at a time, slots for judged pairs of pieces in a worker, and parts
+#: whose encoding it keeps for the next batches.
+BATCH = 1 << 20
+INDEXED = 1 << 17
 ROWS = 256
 PAIRS = 1 << 20
+PARTS = 1 << 17
 MARK = "▁"
 _MARK = MARK.encode()
 _STOP = b"\xff"  # in no UTF-8 text, so no piece reaches over it
@@ -79,6 +82,7 @@ class Vocabulary:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.forget()
+        self.forget_parts()
 
     def _packed(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per 8 bytes of a piece the lowest and the highest number that it can begin."""
@@ -95,6 +99,11 @@ class Vocabulary:
         self.pair_joins = np.zeros(PAIRS, bool)
         self.judged = 0
 
+    def forget_parts(self) -> None:
+        """No parts of earlier batches, their piece ids and how many each has."""
+        self.parts = pa.array([], pa.large_binary())
+        self.part_ids, self.part_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
     def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the joined text of pieces a and b gives these two again."""
         out = np.ones(len(a), bool)
@@ -107,11 +116,17 @@ class Vocabulary:
             if self.judged + len(fresh) > PAIRS // 2:
                 self.forget()
                 fresh = np.unique(pair)
-            for p in fresh.tolist():
+            found = np.empty(len(fresh), bool)
+            for k, p in enumerate(fresh.tolist()):
                 x, y = (self.text_of[i] for i in divmod(p, len(self.lengths)))
-                at = int(self._slots(np.array([p]))[0])
-                self.pair[at], self.pair_joins[at] = p, merged(x + y, self.rank) == [x, y]
+                found[k] = merged(x + y, self.rank) == [x, y]
             self.judged += len(fresh)
+            while len(fresh):  # of pairs that want one slot the first gets it
+                at, first = np.unique(self._slots(fresh), return_index=True)
+                self.pair[at], self.pair_joins[at] = fresh[first], found[first]
+                rest = np.ones(len(fresh), bool)
+                rest[first] = False
+                fresh, found = fresh[rest], found[rest]
             slot = self._slots(pair)
         out[both] = self.pair_joins[slot]
         return out
@@ -126,12 +141,14 @@ class Vocabulary:
 
 def merged(text: str, rank: dict[str, float]) -> list[str]:
     """Byte-pair merging of a short text: the best pair first, the leftmost of equals."""
-    parts = list(text)
-    while len(parts) > 1:
-        best, at = min((rank.get(parts[i] + parts[i + 1], np.inf), i) for i in range(len(parts) - 1))
-        if best == np.inf:
-            break
+    parts, never = list(text), float("inf")
+    ranks = [rank.get(a + b, never) for a, b in zip(parts, parts[1:])]
+    while ranks and (best := min(ranks)) != never:
+        at = ranks.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del ranks[at]
+        for i in range(max(at - 1, 0), min(at + 1, len(ranks))):
+            ranks[i] = rank.get(parts[i] + parts[i + 1], never)
     return parts
 
 
@@ -230,11 +247,18 @@ def relaxed(vocabulary: Vocabulary, found: tuple[np.ndarray, np.ndarray, np.ndar
     return came, back
 
 
-def _encode_parts(vocabulary: Vocabulary, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets into them) of a large binary column without nulls, as views of its buffers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _encode_parts(vocabulary: Vocabulary, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids of all parts, how many each part has)."""
-    data = np.frombuffer(_STOP.join(parts) + _STOP, np.uint8)
-    stops = np.cumsum([len(p) + 1 for p in parts])
-    begins = np.concatenate([[0], stops[:-1]])
+    kind = pa.large_binary()
+    data, ends = _bytes_of(pc.binary_join_element_wise(parts, pa.scalar(_STOP, kind), pa.scalar(b"", kind)))
+    begins, stops = ends[:-1], ends[1:]
     came, back = relaxed(vocabulary, edges(vocabulary, data), begins, len(data))
     at, part, taken = stops - 1, np.arange(len(parts)), []
     while len(at):
@@ -245,10 +269,10 @@ def _encode_parts(vocabulary: Vocabulary, parts: list[bytes]) -> tuple[np.ndarra
     count = np.zeros(len(parts), np.int64)
     for part, _ in taken:
         count[part] += 1
-    ends = np.cumsum(count)
-    ids = np.zeros(int(ends[-1]), np.int64)
+    last = np.cumsum(count)
+    ids = np.zeros(int(last[-1]), np.int32)
     for k, (part, came_by) in enumerate(taken):
-        ids[ends[part] - 1 - k] = came_by
+        ids[last[part] - 1 - k] = came_by
     return ids, count
 
 
@@ -260,46 +284,53 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(parts of all texts, first part of each text and the total); each text gets its leading blank."""
-    rows = [(MARK + t.replace(" ", MARK)).encode() if t else b"" for t in texts.to_pylist()]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    data = np.frombuffer(b"".join(rows), np.uint8)
+    texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), " ", MARK)
+    blank = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), pa.scalar(MARK, pa.large_string()))
+    data, offsets = _bytes_of(pc.binary_join_element_wise(blank, texts, pa.scalar("", pa.large_string())).cast(pa.large_binary()))
     n = len(data)
     begin = np.zeros(n + 1, bool)
-    if n:
-        mark = np.zeros(n, bool)
-        mark[: max(n - 2, 0)] = (data[: max(n - 2, 0)] == _MARK[0]) & (data[1 : max(n - 1, 1)] == _MARK[1])[: max(n - 2, 0)] & (data[2:] == _MARK[2])
-        inner = np.zeros(n, bool)
-        inner[3:] = mark[:-3]
-        begin[:n] = mark & ~inner
+    if n > 2:
+        begin[: n - 2] = (data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2])
+        begin[3:] &= ~begin[:-3].copy()
     begin[offsets] = True
     begin[n] = False
     starts = np.flatnonzero(begin)
-    edges = np.append(starts, n).astype(np.int64)
-    parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    cuts = np.append(starts, n).astype(np.int64)
+    parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
     return parts, np.searchsorted(starts, offsets)
 
 
+def _learn(vocabulary: Vocabulary, every: pa.Array) -> np.ndarray:
+    """The place of each part among the vocabulary's known parts; new ones are indexed and encoded."""
+    if len(vocabulary.parts) > PARTS:
+        vocabulary.forget_parts()
+    at = pc.index_in(every, value_set=vocabulary.parts)
+    new = every.filter(at.is_null())
+    ends = _bytes_of(new)[1] if len(new) else np.zeros(1, np.int64)
+    ids, sizes, i = [vocabulary.part_ids], [vocabulary.part_sizes], 0
+    while i < len(new):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + INDEXED, "right")) - 1)
+        found, count = _encode_parts(vocabulary, new.slice(i, j - i))
+        ids.append(found)
+        sizes.append(count)
+        i = j
+    out = at.fill_null(0).to_numpy().astype(np.int64)
+    out[np.asarray(at.is_null())] = len(vocabulary.parts) + np.arange(len(new))
+    vocabulary.parts = pa.concat_arrays([vocabulary.parts, new])
+    vocabulary.part_ids, vocabulary.part_sizes = np.concatenate(ids), np.concatenate(sizes)
+    return out
+
+
 def encode_texts(texts: pa.Array, vocabulary: Vocabulary) -> pa.Array:
     """A list of piece ids for each text."""
     parts, first = _parts(texts)
     coded = parts.dictionary_encode()
-    lists, sizes, group, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
-    for p in [*coded.dictionary.to_pylist(), None]:
-        if group and (p is None or held > INDEXED):
-            ids, count = _encode_parts(vocabulary, group)
-            lists.append(ids)
-            sizes.append(count)
-            group, held = [], 0
-        if p is not None:
-            group.append(p)
-            held += len(p) + 1
-    size, flat = np.concatenate(sizes), np.concatenate(lists)
-    index = coded.indices.to_numpy()
-    of_part = size[index] if len(index) else np.zeros(0, np.int64)
-    start = (np.cumsum(size) - size)[index] if len(index) else np.zeros(0, np.int64)
-    ids = flat[_ragged(start, of_part)].astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum(of_part)])[first]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    place = _learn(vocabulary, coded.dictionary)[coded.indices.to_numpy()] if len(parts) else np.zeros(0, np.int64)
+    del parts, coded
+    size = vocabulary.part_sizes[place]
+    start = (np.cumsum(vocabulary.part_sizes) - vocabulary.part_sizes)[place]
+    ends = np.concatenate([[0], np.cumsum(size)])[first]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(vocabulary.part_ids[_ragged(start, size)]))
 
 
 def decode_ids(ids: pa.Array, vocabulary: Vocabulary) -> pa.Array:
@@ -354,13 +385,13 @@ def encoded(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """df with `pieces`, the piece ids of the text."""
     small_batches(df.sparkSession)
     df = df.drop("pieces")
-    return df.mapInArrow(_encoder(model_bytes(model), df.columns.index(text)), _with(df, "pieces", "array<int>"))
+    return df.mapInArrow(releasing(_encoder(model_bytes(model), df.columns.index(text))), _with(df, "pieces", "array<int>"))
 
 
 def decoded(df: DataFrame, pieces: str = "pieces", model: str = MODEL) -> DataFrame:
     """df with `decoded`, the text of the piece ids."""
     df = df.drop("decoded")
-    return df.mapInArrow(_decoder(model_bytes(model), df.columns.index(pieces)), _with(df, "decoded", "string"))
+    return df.mapInArrow(releasing(_decoder(model_bytes(model), df.columns.index(pieces))), _with(df, "decoded", "string"))
 
 
 def op7_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .bytescan import U64
-from .common import shared_dir, table
+from .common import releasing, shared_dir, table
 
 LENGTH = 50
 GRAM = 16
@@ -452,7 +452,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     folder = shared_dir(spark, "slices")
-    sliced = docs.mapInArrow(_slicer(folder, buckets), PACKED)
+    sliced = docs.mapInArrow(releasing(_slicer(folder, buckets)), PACKED)
     verdicts = sliced.groupBy("bucket").applyInArrow(_judge, PACKED)
     pieces = verdicts.groupBy("slice").applyInArrow(_cutter(folder, buckets), PACKED)
     spans = pieces.groupBy("bucket").applyInArrow(_builder, PACKED)

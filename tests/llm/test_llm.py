@@ -239,3 +239,24 @@ def test_near_duplicates_of_large_regions(spark, monkeypatch):
     want = plain_components(texts)
     assert len(set(want.values())) > 1 and sum(v == 0 for v in want.values()) > 20
     assert got == want
+
+
+def near_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, _mark string")
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    docs = near_rows(spark, [(1, a, "x"), (1, b, "x"), (2, a + " end", "x"), (3, b + " end", "y"), (None, a, "y"), (7, c, "z"), (7, c, "z"), (8, "", "e"), (8, "", "e")])
+    got = sorted((r["id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert [(i, c_, k) for i, _, c_, k in got] == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True)]
+    left = sorted((r.doc_id or 0, r.text, r["_mark"]) for r in near_dedup.deduplicated(docs).collect())
+    assert left == sorted([(0, a, "y"), (1, a, "x"), (1, b, "x"), (7, c, "z"), (8, "", "e"), (8, "", "e")])
+
+
+def test_texts_of_one_doc_id_that_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = near_rows(spark, [(0, "b " * 30, "x"), (1, "a " * 30, "x"), (1, "b " * 30, "x"), (5, " ".join(words), "x"), (5, " ".join([*words, "end"]), "y"), (6, " ".join(words), "z")])
+    left = [(r.doc_id, r.text[:3]) for r in near_dedup.deduplicated(docs).orderBy("doc_id").collect()]
+    assert left == [(0, "b b"), (1, "a a"), (5, "w0 ")]
