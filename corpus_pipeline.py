@@ -5,7 +5,8 @@ but the last return the columns of documents, so stages can be left out or run a
 from what is written between them.
 
 Defined results for odd input: a null text has no language and goes in the first stage;
-null doc_ids pass every stage by their text alone; extra columns stay; an empty table
+null doc_ids pass every stage by their text alone; rows that repeat a doc_id are judged
+each by its own text, and of equal rows one stays; extra columns stay; an empty table
 gives an empty result.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.llm import decontaminate, langid, near_dedup, pieces, secrets
-from motionlake.llm.common import stored, table
+from motionlake.llm.common import scratch, stored, table
 
 SHINGLE = 5
 
@@ -28,8 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=SHINGLE)
-    return docs.join(found.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.deduplicated(docs, shingle=SHINGLE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what earlier ones have written goes, but for what is still read."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    *early, (name, stage), (_, last) = STAGES
+    with scratch(spark) as keep:
+        for label, step in early:
+            docs = stored(step(spark, docs, sf_dir), label)
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
