@@ -1,18 +1,23 @@
 """Benchmark decontamination: a positional inverted index in Spark tables.
 
-Postings (row, place, term) of the terms that the test set uses are stored once, with an
-end mark per row whose place is the row's length. Each window of test words asks the
-index from its rarest terms, two more than a proximity match may miss: their postings,
-moved back by their offsets, are sorted together, and only places where two agree
-are held against the whole window. Joins are on equal keys throughout; a window costs as
-much as its rarest terms have postings, not as there are documents.
+The index is stored once: each row's postings in the order of their places. A test item is
+searched segment by segment. Each of its windows asks the index from its rarest terms, two
+more than a proximity match may miss; what several windows of a segment ask is asked once.
+The postings of those terms, moved back by their offsets, are sorted together, and only
+places where two of them agree are held against the whole segment. A window costs as much
+as its rarest terms have postings, not as there are documents.
+
+All steps after the index work row by row of the corpus, so the index is dealt out by row
+once and all joins, windows and sums on top of it stay where they are. What is broadcast
+is made from the items alone, and only if its own size is below BROADCAST_BYTES.
 
 Exact phrases have every word of the window in its place; proximity matches have at
 least NEAR percent of its terms within SLOP words of their places, from a common start.
 
 Defined results for odd input: null and empty texts have no words; rows that repeat a
 doc_id with another text are judged apart; equal rows each get the same result; items
-without words match nothing; empty tables give no rows or no matches.
+without words match nothing; items that repeat an id count as one; columns of the caller
+stay, whatever their names; empty tables give no rows or no matches.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 WINDOW = 10
 SLOP = 5
 NEAR = 80
-END = "\0"
+SEGMENT = 32
 BROADCAST_BYTES = 32 << 20
 
 
@@ -35,13 +40,8 @@ def tokens(text: Column) -> Column:
     return split_words(lower_ascii(F.coalesce(text, F.lit(""))), BREAKS)
 
 
-def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(item, terms): every window of an item; an item of fewer words is one window."""
-    words = items.select(F.col(key).alias("item"), tokens(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    length = F.least(F.size("w"), F.lit(size))
-    starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-    hashed = F.transform("w", lambda x: F.xxhash64(x))
-    return words.withColumns({"length": length, "h": hashed, "i": F.explode(starts)}).select("item", F.slice("h", F.col("i"), F.col("length")).alias("terms"))
+def hashed(text: Column) -> Column:
+    return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
 def row_of(key: str = "doc_id", text: str = "text") -> Column:
@@ -49,76 +49,111 @@ def row_of(key: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
-def postings(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text") -> DataFrame:
-    """(row, key, place, term) for the terms that items use, and an end mark for each row."""
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    end = docs.sparkSession.createDataFrame([(END,)], "word string")
-    terms = items.select(F.explode(tokens(F.col(item_text))).alias("word")).unionByName(end).distinct()
-    terms = terms.withColumn("term", F.xxhash64("word"))
-    if size <= BROADCAST_BYTES:
-        terms = F.broadcast(terms)
-    spread = docs.select(row_of(key, text).alias("row"), F.col(key).alias("key"), F.posexplode(F.concat(tokens(F.col(text)), F.array(F.lit(END)))).alias("place", "word"))
-    return spread.join(terms, "word").select("row", "key", "place", "term")
-
-
-def alignments(index: DataFrame, wins: DataFrame, slop: int = SLOP, near: int = NEAR, small: bool = True) -> DataFrame:
-    """(row, window, start, terms): places where two of a window's rarest terms agree, each within slop of one start."""
-    hint = F.broadcast if small else (lambda x: x)
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    each = wins.select("window", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term", "left")
-    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("by")).withColumn("distinct", F.size("by"))
+def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, key, terms): the terms of each row in the order of their places."""
+    return docs.select(row_of(key, text).alias("row"), F.col(key).alias("key"), hashed(F.col(text)).alias("terms"))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(row, place, term)."""
+    return index.select("row", F.posexplode("terms").alias("place", "term"))
+
+
+def segments(items: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW, stride: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """(segment, first, terms, least) and (segment, window, at, length, distinct).
+
+    A segment is the words of `stride` neighbouring windows of an item, from place `first`
+    on; `least` is the fewest distinct terms of one of them. `at` counts from there too. An
+    item of fewer words than a window is one window.
+    """
+    words = items.select(F.col(key).alias("item"), hashed(F.col(text)).alias("h")).filter(F.size("h") > 0).distinct()
+    words = words.withColumn("length", F.least(F.size("h"), F.lit(size)))
+    count = F.size("h") - F.col("length") + 1
+    cut = words.withColumn("first", F.explode(F.sequence(F.lit(0), count - 1, F.lit(stride))))
+    cut = cut.withColumns({"windows": F.least(F.lit(stride), count - F.col("first")), "terms": F.slice("h", F.col("first") + 1, F.col("length") + stride - 1)})
+    cut = cut.withColumn("segment", F.xxhash64("item", "h", "first"))
+    spans = cut.select("segment", "item", "length", "terms", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("at"))
+    spans = spans.withColumn("own", F.slice("terms", F.col("at") + 1, F.col("length")))
+    spans = spans.select("segment", "item", F.xxhash64("own").alias("window"), "at", "length", "own", F.size(F.array_distinct("own")).alias("distinct"))
+    least = spans.groupBy("segment").agg(F.min("distinct").alias("least"))
+    return cut.select("segment", "terms").join(least, "segment"), spans
+
+
+def asked(index: DataFrame, parts: DataFrame, spans: DataFrame, near: int = NEAR) -> DataFrame:
+    """(segment, term, offset, single): the rarest terms of all windows, at their places in the segment."""
+    used = small(parts.select(F.explode("terms").alias("term")).distinct())
+    counts = postings(index).join(used, "term").groupBy("term").agg(F.count("*").alias("n"))
+    each = spans.select("window", "own", "distinct").dropDuplicates(["window"]).withColumn("term", F.explode(F.array_distinct("own"))).join(counts, "term", "left")
+    by = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")))
     # of so many at least two are there, also if all that a match may miss are among them
     lists = F.call_function("div", F.col("distinct") * (100 - near), F.lit(100)).cast("int") + 2
-    asked = ranked.select("window", "distinct", F.explode(F.slice("by", 1, lists)).alias("by")).filter("by.n > 0").select("window", "distinct", "by.term")
-    asked = asked.join(wins.select("window", F.posexplode("terms").alias("offset", "term")), ["window", "term"])
-    single = (F.col("distinct") == 1).alias("single")
-    at = index.join(hint(asked), "term").select("row", "window", "term", single, (F.col("place") - F.col("offset")).cast("int").alias("start"))
+    rare = each.groupBy("window", "distinct").agg(by.alias("by")).select("window", F.explode(F.slice("by", 1, lists)).alias("by"))
+    rare = rare.filter("by.n > 0").select("window", "by.term")
+    places = spans.select("segment", "window", "at", (F.col("distinct") == 1).alias("single"), F.posexplode("own").alias("o", "term"))
+    places = places.join(rare, ["window", "term"]).withColumn("offset", F.col("at") + F.col("o"))
+    return places.groupBy("segment", "term", "offset").agg(F.max("single").alias("single"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is below BROADCAST_BYTES; it is stored to know its size."""
+    df = stored(df, "small")
+    widths = F.lit(0)
+    for f in df.schema.fields:
+        widths = widths + (F.size(f.name) * 8 + 24 if f.dataType.typeName() == "array" else F.lit(8))
+    size = df.agg(F.sum(widths + 32)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", slop: int = SLOP, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(row, window, start, length, phrase, near) of all matches, and (window, item)."""
+    parts, spans = segments(items, item_key, item_text)
+    parts, spans = small(parts), small(spans)
+    asks = small(asked(index, parts, spans, near))
+    dealt = index.select("row", "terms").repartition("row")
+    at = postings(dealt).join(asks, "term").select("row", "segment", "term", "single", (F.col("place") - F.col("offset")).alias("start"))
     # between two that agree, there are also two next to each other that do
-    by = Window.partitionBy("row", "window").orderBy("start", "term")
+    by = Window.partitionBy("row", "segment").orderBy("start", "term")
     found = at.withColumns({"other": F.lag("start").over(by), "second": F.lag("term").over(by)})
     two = F.col("single") | ((F.col("term") != F.col("second")) & (F.col("start") - F.col("other") <= 2 * slop))
-    found = found.filter(two).select("row", "window", "start").distinct()
-    return found.join(hint(wins), "window")
-
-
-def matches(index: DataFrame, wins: DataFrame, slop: int = SLOP, near: int = NEAR, small: bool = True) -> DataFrame:
-    """(row, window, start, length, phrase, near): what survives a look at the whole window."""
-    found = stored(alignments(index, wins, slop, near, small), "alignments")
-    length = F.size("terms")
-    looked = found.withColumn("place", F.explode(F.sequence(F.col("start") - 2 * slop, F.col("start") + length - 1 + 2 * slop)))
-    there = index.join(found.select("row").distinct(), "row", "left_semi")
-    seen = looked.join(there, ["row", "place"]).filter(F.array_contains("terms", F.col("term")))
-    from_ = F.transform("terms", lambda t, i: F.when(t == F.col("term"), F.col("place") - i))
-    seen = seen.withColumn("from", F.explode(F.filter(from_, lambda y: F.abs(y - F.col("start")) <= 2 * slop)))
-    agg = seen.groupBy("row", "window", "start").agg(
-        F.first(length).alias("length"),
-        F.first(F.size(F.array_distinct("terms"))).alias("distinct"),
-        F.count_distinct(F.when(F.col("from") == F.col("start"), F.col("place"))).alias("right"),
-        F.collect_set(F.struct("from", "term")).alias("spots"),
-    )
-    begins = F.filter("spots", lambda s: (s["from"] <= F.col("start")) & (s["from"] >= F.col("start") - 2 * slop))
-    within = lambda s: F.filter("spots", lambda o: (o["from"] >= s["from"]) & (o["from"] <= s["from"] + 2 * slop))
-    agg = agg.withColumn("terms_near", F.array_max(F.transform(begins, lambda s: F.size(F.array_distinct(F.transform(within(s), lambda o: o["term"]))))))
-    agg = agg.withColumns({"phrase": F.col("right") == F.col("length"), "near": 100 * F.col("terms_near") >= near * F.col("distinct")})
-    return agg.filter(F.col("phrase") | F.col("near")).drop("distinct", "spots")
+    found = found.filter(two).groupBy("row").agg(F.collect_set(F.struct("segment", "start")).alias("found"))
+    # the row's words around each such place, held against all words of the segment
+    looked = dealt.join(found, "row").select("row", "terms", F.explode("found").alias("f")).select("row", "terms", "f.segment", "f.start")
+    looked = looked.join(parts.select("segment", F.size("terms").alias("long"), "least"), "segment")
+    first = F.greatest(F.lit(0), F.col("start") - 2 * slop)
+    after = F.col("start") + F.col("long") + 2 * slop
+    looked = looked.select("row", "segment", "start", "least", first.alias("first"), F.slice("terms", first + 1, F.greatest(F.lit(0), after - first)).alias("near"))
+    seen = looked.select("row", "segment", "start", "least", "first", F.posexplode("near").alias("p", "term"))
+    occurs = small(parts.select("segment", F.posexplode("terms").alias("offset", "term")))
+    seen = seen.join(occurs, ["segment", "term"]).withColumn("from", F.col("first") + F.col("p") - F.col("offset"))
+    seen = seen.filter(F.abs(F.col("from") - F.col("start")) <= 2 * slop)
+    spots = seen.groupBy("row", "segment", "start", "least").agg(F.collect_set(F.struct("from", "offset", "term")).alias("spots"), F.count_distinct("term").alias("terms"))
+    spots = spots.filter(100 * F.col("terms") >= near * F.col("least")).drop("terms", "least")
+    each = spots.join(spans.select("segment", "window", "at", "length", "distinct"), "segment")
+    inside = (lambda s: (s["offset"] >= F.col("at")) & (s["offset"] < F.col("at") + F.col("length")))
+    each = each.withColumn("spots", F.filter("spots", inside)).filter(100 * F.size("spots") >= near * F.col("distinct"))
+    begins = F.array_distinct(F.transform(F.filter("spots", lambda s: (s["from"] <= F.col("start")) & (s["from"] >= F.col("start") - 2 * slop)), lambda s: s["from"]))
+    within = lambda y: F.filter("spots", lambda o: (o["from"] >= y) & (o["from"] <= y + 2 * slop))
+    most = F.array_max(F.transform(begins, lambda y: F.size(F.array_distinct(F.transform(within(y), lambda o: o["term"])))))
+    right = F.size(F.array_distinct(F.transform(F.filter("spots", lambda s: s["from"] == F.col("start")), lambda s: s["offset"])))
+    each = each.withColumns({"phrase": right == F.col("length"), "near": F.coalesce(100 * most >= near * F.col("distinct"), F.lit(False))})
+    each = each.filter(F.col("phrase") | F.col("near"))
+    out = each.select("row", "window", (F.col("start") + F.col("at")).alias("start"), "length", "phrase", "near")
+    return stored(out, "matches"), spans.select("window", "item").distinct()
 
 
 def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per document row: row, key, n_words, n_hit, n_items, items (sorted), n_near, near_items (sorted), contaminated."""
     with scratch(docs.sparkSession) as keep:
-        small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
-        index = stored(postings(docs, items, key, text), "postings")
-        wins_of = windows(items, item_key).withColumn("window", F.xxhash64("terms"))
-        wins = wins_of.select("window", "terms").distinct()
-        found = stored(matches(index, wins, small=small), "matches")
+        index = stored(indexed(docs, key, text), "index")
+        found, owned = matches(index, items, item_key)
         phrases = found.filter("phrase")
-        hit = phrases.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-        owned = wins_of.select("window", "item").distinct()
+        hit = phrases.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct()
+        hit = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
         owners = phrases.select("row", "window").distinct().join(owned, "window")
         owners = owners.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
         close = found.select("row", "window").distinct().join(phrases.select("row", "window").distinct(), ["row", "window"], "left_anti").join(owned, "window")
         close = close.groupBy("row").agg(F.count_distinct("window").alias("n_near"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near_items"))
-        ends = index.filter(F.col("term") == F.xxhash64(F.lit(END))).select("row", "key", F.col("place").cast("long").alias("n_words"))
+        ends = index.select("row", "key", F.size("terms").cast("long").alias("n_words"))
         zero = F.lit(0).cast("long")
         out = ends.join(hit, "row", "left").join(owners, "row", "left").join(close, "row", "left")
         out = out.select(
