@@ -33,6 +33,7 @@ WINDOW = 10
 SLOP = 5
 NEAR = 80
 SEGMENT = 32
+SLOTS = 1 << 16
 BROADCAST_BYTES = 32 << 20
 
 
@@ -49,14 +50,23 @@ def row_of(key: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
-def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, terms): the terms of each row in the order of their places."""
-    return docs.select(row_of(key, text).alias("row"), F.col(key).alias("key"), hashed(F.col(text)).alias("terms"))
+def indexed(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """(row, key, terms): the terms of each row in the order of their places.
+
+    Terms that share no slot of a table of SLOTS with a term of the items are null; the
+    table, of one byte a slot, is all that the driver gets from the items.
+    """
+    slot = lambda h: F.pmod(h, F.lit(SLOTS))
+    used = bytearray(SLOTS)
+    for r in items.select(F.explode(hashed(F.col(item_text))).alias("h")).select(slot(F.col("h")).alias("s")).distinct().collect():
+        used[r.s] = 1
+    known = lambda h: F.substring(F.lit(bytes(used)), (slot(h) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    return docs.select(row_of(key, text).alias("row"), F.col(key).alias("key"), F.transform(hashed(F.col(text)), lambda h: F.when(known(h), h)).alias("terms"))
 
 
 def postings(index: DataFrame) -> DataFrame:
     """(row, place, term)."""
-    return index.select("row", F.posexplode("terms").alias("place", "term"))
+    return index.select("row", F.posexplode("terms").alias("place", "term")).filter("term IS NOT NULL")
 
 
 def segments(items: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW, stride: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +119,7 @@ def matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_
     parts, spans = segments(items, item_key, item_text)
     parts, spans = small(parts), small(spans)
     asks = small(asked(index, parts, spans, near))
-    dealt = index.select("row", "terms").repartition("row")
+    dealt = index.filter("size(terms) > 0 AND terms IS NOT NULL AND row IS NOT NULL").select("row", "terms").repartition("row")
     at = postings(dealt).join(asks, "term").select("row", "segment", "term", "single", (F.col("place") - F.col("offset")).alias("start"))
     # between two that agree, there are also two next to each other that do
     by = Window.partitionBy("row", "segment").orderBy("start", "term")
@@ -144,7 +154,7 @@ def matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_
 def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per document row: row, key, n_words, n_hit, n_items, items (sorted), n_near, near_items (sorted), contaminated."""
     with scratch(docs.sparkSession) as keep:
-        index = stored(indexed(docs, key, text), "index")
+        index = stored(indexed(docs, items, key, text), "index")
         found, owned = matches(index, items, item_key)
         phrases = found.filter("phrase")
         hit = phrases.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct()
