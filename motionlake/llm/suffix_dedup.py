@@ -7,18 +7,24 @@ only can hold nothing repeated. All others are dealt out by anchor, and each tas
 the Burrows-Wheeler transform and the common-prefix array of its pieces column by column:
 a round inserts one symbol of every piece, from its end on, where the last round's order
 puts it, and both arrays go through sequential files in the task's own scratch folder,
-one round's file being read while the next one's is written. In the finished order a run
-of prefixes of LENGTH or more is one string's places; the smallest doc_id of a run owns
-it, and every other document's places are repeats.
+one round's file being read while the next one's is written. A collection has at most
+about COLLECTION bytes, or one anchor's pieces, so a round's arrays also fit in memory. In
+the finished order a run of prefixes of LENGTH or more is one string's places; the
+smallest doc_id of a run owns it, and every other document's places are repeats. Where all
+pieces of an anchor are equal there is nothing to sort: their smallest doc_id owns them.
 
 Texts are read once into compressed slices in the shared folder, named by the partition
 they come from, so that a repeated task writes the same again. What is shuffled are packed
-arrays: anchors, verdicts on them, pieces and spans. An anchor that has more than a share of
-its bucket is dealt out again string by string, so no key gathers in one task.
+arrays, pre-aggregated per slice: anchors with their least and greatest doc_id, verdicts on
+them, distinct pieces with theirs, and the owners of pieces. Where a piece stands is known
+to its slice alone, in a second file. So a passage that all documents share sends a few
+bytes for each slice, not for each document. An anchor that has more than a share of its
+bucket's distinct pieces is dealt out again string by string.
 
 Defined results for odd input: null texts are empty; rows without doc_id lose nothing and
 take nothing from others; rows that repeat a doc_id take nothing from each other; texts
-under LENGTH bytes stay whole; an empty table gives no rows.
+under LENGTH bytes stay whole; columns other than the key and the text are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,9 +47,9 @@ from .bytescan import U64
 from .common import releasing, shared_dir, table
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 REACH = LENGTH - GRAM + 1  # grams in a string, and the most strings in a piece
-#: A key with more places than this, and than this share of its bucket, is dealt out again.
+#: A key with more distinct pieces than this, and than this share of its bucket, is dealt out again.
 HOT, HOT_SHARE = 1024, 0.25
 #: Bytes of text in a slice, in a bucket, windows that are hashed at a time, and suffixes of one collection.
 SLICE = 4 << 20
@@ -60,7 +66,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out += [np.array([len(a), a.dtype.itemsize], np.int64).tobytes(), a.dtype.str.encode().ljust(8), a.view(np.uint8).reshape(len(a), -1).T.tobytes()]
+        out += [np.array([len(a), a.dtype.itemsize], np.int64).tobytes(), a.dtype.str.encode().ljust(8), a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()]
     return zstandard.ZstdCompressor(3).compress(b"".join(out))
 
 
@@ -154,34 +160,69 @@ class _Slice:
         return key[ok], first[ok], count[ok], row[ok]
 
 
-def _read(folder: str, name: str) -> _Slice:
+def _distinct(key: np.ndarray, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, body and size; whether a piece in that order differs from the one before)."""
+    order = np.lexsort((size, body, key))
+    new = np.ones(len(order), bool)
+    for k, values in enumerate((key, body, size)):
+        v = values[order]
+        new[1:] = (v[1:] != v[:-1]) if k == 0 else new[1:] | (v[1:] != v[:-1])
+    return order, new
+
+
+def _opened(folder: str):
     files, root = pafs.FileSystem.from_uri(folder)
+    return files, root
+
+
+def _read(folder: str, name: str) -> _Slice:
+    files, root = _opened(folder)
     with files.open_input_file(f"{root}/{name}") as f, pa.ipc.open_file(f) as reader:
         return _Slice(reader.get_batch(0))
 
 
+def _written(folder: str, name: str, write) -> None:
+    """A file that appears whole, under its final name; a repeated task puts the same in its place."""
+    files, root = _opened(folder)
+    files.create_dir(root, recursive=True)
+    attempt = f"{root}/{name}.{TaskContext.get().taskAttemptId()}"
+    with files.open_output_stream(attempt) as f:
+        write(f)
+    files.move(attempt, f"{root}/{name}")
+
+
 def _slicer(folder: str, buckets: int):
     """Write slices; give each slice's anchors by bucket, and a row for the slice itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        part, number = TaskContext.get(), 0
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.large_string())], ["id", "text"])
             for i, j, _, _ in bytescan.text_slices(batch.column(1), SLICE):
                 rows = batch.slice(i, j - i)
-                name = f"{part.partitionId():08d}-{number:08d}"
+                name = f"{part:08d}-{number:08d}"
                 number += 1
-                attempt = f"{root}/{name}.{part.taskAttemptId()}"
-                with files.open_output_stream(attempt) as f, pa.ipc.new_file(f, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write(rows)
-                files.move(attempt, f"{root}/{name}")
+
+                def write(f, rows=rows) -> None:
+                    with pa.ipc.new_file(f, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write(rows)
+
+                _written(folder, name, write)
                 docs = _Slice(rows)
-                key, _, _, row = docs.pieces()
-                order, parts = _dealt(key, buckets)
+                key, first, count, row = docs.pieces()
+                size = count + (LENGTH - 1)
+                order, new = _distinct(key, bytescan.Prefix(docs.data).of(first, first + size), size)
                 key, owner = key[order], docs.ids[row[order]]
-                yield _rows(name, [_passed(name, buckets), *((b, pack(key[x:y], owner[x:y])) for b, x, y in parts)])
+                head = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+                if len(head):
+                    least, most, kinds = np.minimum.reduceat(owner, head), np.maximum.reduceat(owner, head), np.add.reduceat(new.astype(np.int32), head)
+                else:
+                    least, most, kinds = owner, owner, np.zeros(0, np.int32)
+                key = key[head]
+                order, parts = _dealt(key, buckets)
+                key, least, most, kinds = (v[order] for v in (key, least, most, kinds))
+                packed = ((b, pack(key[x:y], least[x:y], most[x:y], kinds[x:y])) for b, x, y in parts)
+                yield _rows(name, [_passed(name, buckets), *packed])
 
     return run
 
@@ -192,33 +233,37 @@ def _judge(group: pa.Table) -> pa.Table:
     passed, names, blobs = _split(group)
     if not names:
         return _table(bucket, [(n, b"") for n in passed])
-    key, owner = (np.concatenate([b[k] for b in blobs]) for k in (0, 1))
+    key, least, most, kinds = (np.concatenate([b[k] for b in blobs]) for k in range(4))
     order = np.argsort(key, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    size = np.diff(head, append=len(key))
-    owner = owner[order]
-    flag = (np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)).astype(np.uint8)
-    flag[(flag > 0) & (size > max(HOT, HOT_SHARE * len(key)))] = 2
+    flag = (np.minimum.reduceat(least[order], head) != np.maximum.reduceat(most[order], head)).astype(np.uint8)
+    every = np.add.reduceat(kinds[order].astype(np.int64), head)
+    flag[(flag > 0) & (every > max(HOT, HOT_SHARE * every.sum()))] = 2
     flags = np.empty(len(key), np.uint8)
-    flags[order] = np.repeat(flag, size)
+    flags[order] = np.repeat(flag, np.diff(head, append=len(key)))
     cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
     keep = [k for k in range(len(names)) if flags[cuts[k] : cuts[k + 1]].any()]
     return _table(bucket, [*((n, b"") for n in passed), *((names[k], pack(flags[cuts[k] : cuts[k + 1]])) for k in keep)])
 
 
 def _cutter(folder: str, buckets: int):
-    """A slice's verdicts to its repeated pieces, by bucket: keys, lengths, bytes, and where they are."""
+    """A slice's verdicts to its distinct pieces by bucket: keys, hashes, lengths, least and greatest doc_ids, bytes.
+
+    Where they stand goes to a file of the slice: bucket, piece (counted within the bucket), row and place.
+    """
 
     def cut(group: pa.Table) -> pa.Table:
         name = group["slice"][0].as_py()
         docs = _read(folder, name)
         key, first, count, row = docs.pieces()
-        order, parts = _dealt(key, buckets)
-        flags = np.zeros(len(key), np.uint8)
+        known, at = np.unique(key, return_inverse=True)
+        order, parts = _dealt(known, buckets)
+        flag = np.zeros(len(known), np.uint8)
         verdicts = {b: x for b, x in zip(group["bucket"].to_pylist(), group["packed"].to_pylist()) if x}
         for b, x, y in parts:
             if verdicts.get(b):
-                (flags[order[x:y]],) = unpack(verdicts[b])
+                (flag[order[x:y]],) = unpack(verdicts[b])
+        flags = flag[at]
         sums = bytescan.Prefix(docs.data)
         warm, hot = np.flatnonzero(flags == 1), np.flatnonzero(flags == 2)
         single = _ragged(first[hot], count[hot])
@@ -228,16 +273,18 @@ def _cutter(folder: str, buckets: int):
         size = np.concatenate([count[warm] + LENGTH - 1, np.full(len(single), LENGTH)])
         body = sums.of(first, first + size)
         order, parts = _dealt(key, buckets)
-        out = [_passed(name, buckets)]
+        out, places = [_passed(name, buckets)], []
         for b, x, y in parts:
             at = order[x:y]
-            at = at[np.lexsort((size[at], body[at], key[at]))]
-            new = np.ones(len(at), bool)
-            new[1:] = (key[at][1:] != key[at][:-1]) | (body[at][1:] != body[at][:-1]) | (size[at][1:] != size[at][:-1])
-            one = at[new]
+            by, new = _distinct(key[at], body[at], size[at])
+            at, head = at[by], np.flatnonzero(new)
+            one, ids = at[new], docs.ids[row[at]]
             text = docs.data[_ragged(first[one], size[one])]
-            where = (first[at] - docs.offsets[row[at]]).astype(np.int64)
-            out.append((b, pack(key[one], body[one], size[one].astype(np.uint8), text, (np.cumsum(new) - 1).astype(np.int32), docs.ids[row[at]], row[at].astype(np.int32), where)))
+            least, most = np.minimum.reduceat(ids, head), np.maximum.reduceat(ids, head)
+            out.append((b, pack(key[one], body[one], size[one].astype(np.uint8), least, most, text)))
+            places.append((np.full(len(at), b, np.int32), (np.cumsum(new) - 1).astype(np.int32), row[at].astype(np.int32), first[at].astype(np.int32)))
+        columns = [np.concatenate(c) for c in zip(*places)] if places else [np.zeros(0, np.int32)] * 4
+        _written(folder, f"{name}.places", lambda f: f.write(pack(*columns)))
         return pa.Table.from_batches([_rows(name, out)])
 
     return cut
@@ -358,75 +405,99 @@ def owners(text: np.ndarray, size: np.ndarray, doc: np.ndarray, folder: str) ->
     return out
 
 
+def _settled(key: np.ndarray, size: np.ndarray, text: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For all strings of distinct pieces, sorted by key, the smallest doc_id that has the string."""
+    strings = size - (LENGTH - 1)
+    owner = np.repeat(least, strings)
+    same = key[1:] == key[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    some = np.flatnonzero(several)
+    if not len(some):
+        return owner
+    text = text[_ragged((np.cumsum(size) - size)[some], size[some])]
+    key, size, least = key[some], size[some], least[some]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # collections end between two keys
+    found, i = [], 0
+    with tempfile.TemporaryDirectory() as folder:
+        while i < len(key):
+            full = int(np.searchsorted(begin, begin[i] + COLLECTION, "right")) - 1
+            j = int(ends[max(np.searchsorted(ends, full, "right") - 1, np.searchsorted(ends, i, "right"))])
+            found.append(owners(text[begin[i] : begin[j]], size[i:j], least[i:j], folder))
+            i = j
+    owner[np.repeat(several, strings)] = np.concatenate(found)
+    return owner
+
+
 def _builder(group: pa.Table) -> pa.Table:
-    """A bucket's pieces to the repeated strings of each slice: (row, first, last) spans."""
+    """A bucket's pieces to what each slice loses: (piece, runs) and (strings, owner) of the runs."""
     bucket = group["bucket"][0].as_py()
     passed, names, blobs = _split(group)
     if not names:
         return _table(bucket, [(n, b"") for n in passed])
-    key, body, size, text = (np.concatenate([b[k] for b in blobs]) for k in range(4))
+    key, body, size, least, most, text = (np.concatenate([b[k] for b in blobs]) for k in range(6))
     size = size.astype(np.int64)
-    shift = np.cumsum([0, *(len(b[0]) for b in blobs)])
-    used = np.concatenate([b[4] + shift[k] for k, b in enumerate(blobs)])
-    doc, row, where = (np.concatenate([b[k] for b in blobs]) for k in (5, 6, 7))
-    origin = np.repeat(np.arange(len(blobs)), [len(b[4]) for b in blobs])
     # equal pieces of several slices are one, held by their smallest doc_id
-    order = np.lexsort((size, body, key))
-    same = (key[order][1:] == key[order][:-1]) & (body[order][1:] == body[order][:-1]) & (size[order][1:] == size[order][:-1])
-    new = np.concatenate([[True], ~same])
+    order, new = _distinct(key, body, size)
     class_of = np.empty(len(order), np.int64)
     class_of[order] = np.cumsum(new) - 1
     one = order[new]
-    used = class_of[used]
-    least = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(least, used, doc)
-    begin = np.cumsum(size) - size
-    text = text[_ragged(begin[one], size[one])]
-    key, size = key[one], size[one]
-    begin = np.concatenate([[0], np.cumsum(size)])
-    # collections end between two keys
-    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-    owner, i = [], 0
-    with tempfile.TemporaryDirectory() as folder:
-        while i < len(key):
-            full = int(np.searchsorted(begin, begin[i] + COLLECTION, "right")) - 1
-            j = int(ends[max(np.searchsorted(ends, full, "right") - 1, np.searchsorted(ends, i, "right"))])
-            owner.append(owners(text[begin[i] : begin[j]], size[i:j], least[i:j], folder))
-            i = j
-    owner = np.concatenate(owner)
-    strings = size - (LENGTH - 1)
-    first = np.cumsum(strings) - strings
-    n = strings[used]
-    repeat = owner[_ragged(first[used], n)] < np.repeat(doc, n)
-    edge = np.cumsum(n) - n
-    up = repeat.copy()
-    up[1:] &= ~repeat[:-1]
-    up[edge] = repeat[edge]
-    down = repeat.copy()
-    down[:-1] &= ~repeat[1:]
-    down[edge + n - 1] = repeat[edge + n - 1]
-    up, down = np.flatnonzero(up), np.flatnonzero(down)
-    place = np.searchsorted(edge, up, "right") - 1
-    row, start = row[place], where[place] + up - edge[place]
-    stop = start + down - up + 1
-    cuts = np.searchsorted(origin[place], np.arange(len(blobs) + 1))
-    keep = [k for k in range(len(blobs)) if cuts[k] < cuts[k + 1]]
-    found = [(names[k], pack(row[a:b], start[a:b], stop[a:b])) for k, a, b in ((k, cuts[k], cuts[k + 1]) for k in keep)]
+    first = np.minimum.reduceat(least[order], np.flatnonzero(new))
+    text = text[_ragged((np.cumsum(size) - size)[one], size[one])]
+    owner = _settled(key[one], size[one], text, first)
+    strings = size[one] - (LENGTH - 1)
+    begin = np.cumsum(strings) - strings
+    # runs of strings of one piece that have one owner
+    head = np.ones(len(owner), bool)
+    head[1:] = owner[1:] != owner[:-1]
+    head[begin] = True
+    head = np.flatnonzero(head)
+    length, owner = np.diff(head, append=int(strings.sum())).astype(np.uint8), owner[head]
+    runs = np.diff(np.searchsorted(head, np.append(begin, int(strings.sum()))))
+    at = np.cumsum(runs) - runs
+    lost = np.minimum.reduceat(owner, at)[class_of] < most  # else no document of the slice loses any
+    cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
+    found = []
+    for k, name in enumerate(names):
+        piece = np.flatnonzero(lost[cuts[k] : cuts[k + 1]])
+        if len(piece):
+            c = class_of[cuts[k] + piece]
+            r = _ragged(at[c], runs[c])
+            found.append((name, pack(piece.astype(np.int32), runs[c].astype(np.uint8), length[r], owner[r])))
     return _table(bucket, [*((n, b"") for n in passed), *found])
 
 
+def _repeats(docs: _Slice, places: list[np.ndarray], found: list[tuple[int, list[np.ndarray]]]) -> np.ndarray:
+    """Whether each byte of a slice starts a string that a smaller doc_id has."""
+    starts = np.zeros(len(docs.data) + 1, bool)
+    bucket, piece, row, first = places
+    for b, (losing, runs, length, owner) in found:
+        x, y = np.searchsorted(bucket, (b, b + 1))
+        at = np.searchsorted(losing, piece[x:y])
+        at[at == len(losing)] = 0
+        hit = np.flatnonzero(losing[at] == piece[x:y])
+        at, hit = at[hit], hit + x
+        n = runs.astype(np.int64)
+        r = _ragged((np.cumsum(n) - n)[at], n[at])  # the runs of each place's piece
+        width = length[r].astype(np.int64)
+        strings = np.add.reduceat(width, np.cumsum(n[at]) - n[at])
+        repeat = np.repeat(owner[r], width) < np.repeat(docs.ids[row[hit]], strings)
+        starts[_ragged(first[hit].astype(np.int64), strings)[repeat]] = True
+    return starts[:-1]
+
+
 def _remover(folder: str, with_text: bool):
-    """A slice's spans to its documents' results."""
+    """A slice's owners to its documents' results."""
 
     def remove(group: pa.Table) -> pa.Table:
-        docs = _read(folder, group["slice"][0].as_py())
-        step = np.zeros(len(docs.data) + 1, np.int32)
-        for packed in group["packed"].to_pylist():
-            if packed:
-                row, start, stop = unpack(packed)
-                np.add.at(step, docs.offsets[row] + start, 1)
-                np.add.at(step, docs.offsets[row] + stop + LENGTH - 1, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        name = group["slice"][0].as_py()
+        docs = _read(folder, name)
+        files, root = _opened(folder)
+        with files.open_input_stream(f"{root}/{name}.places") as f:
+            places = unpack(f.read())
+        found = [(b, unpack(x)) for b, x in zip(group["bucket"].to_pylist(), group["packed"].to_pylist()) if x]
+        so_far = np.concatenate([np.zeros(LENGTH, np.int32), np.cumsum(_repeats(docs, places, found), dtype=np.int32)])
+        gone = so_far[LENGTH:] > so_far[:-LENGTH]
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = docs.offsets[:-1][np.diff(docs.offsets) > 0]
