@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import releasing, small_batches, table
+from .common import digest_column, releasing, small_batches, table
 
 TRAIN_PER_LANGUAGE = 400
 DIMENSIONS = 4096
@@ -190,11 +190,11 @@ def _predictor(model: Model, text: str, keep: int):
 def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` with lang_pred, score and ambiguous; without `keep` one column `row`, the whole row."""
     small_batches(docs.sparkSession)
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(digest_column("_letter", docs.columns))
     if keep is None:
         source, count = docs.select(F.struct(*docs.columns).alias("row"), letter), 1
     else:
-        source, count = docs.select(*keep, F.col(text).alias("_text"), letter), len(keep)
+        source, count = docs.select(*keep, F.col(text).alias(digest_column("_text", docs.columns)), letter), len(keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:count])
     return source.mapInArrow(releasing(_predictor(model, text, count)), f"{kinds}lang_pred string, score double, ambiguous boolean")
 

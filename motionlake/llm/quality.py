@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, opaque, split_words, table
+from .common import SPACE, digest_column, opaque, split_words, table
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -63,33 +63,34 @@ def _twins(pairs: str) -> Column:
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with one column per measure, all long."""
     t = F.coalesce(F.col(text), F.lit(""))
+    words, lines, hashes, paired, twins = (digest_column(c, df.columns) for c in ("_words", "_lines", "_hashes", "_pairs", "_twins"))
     stop = [x for w in STOP_WORDS for x in (w, w.capitalize())]
     blank = f"[^{SPACE}]"
     df = df.withColumns({
-        "_words": split_words(F.col(text)),
-        "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(blank)),
+        words: split_words(F.col(text)),
+        lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(blank)),
         "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"),
     })
     df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).cast("long"),
-        "n_open_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)$"))).cast("long"),
-        "_hashes": F.when(
-            F.size("_words") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stop))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).cast("long"),
+        "n_open_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)$"))).cast("long"),
+        hashes: F.when(
+            F.size(words) >= WINDOW,
+            F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
         ),
     })
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    pairs = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_pairs", F.when(repeats, pairs)).withColumn("_twins", _twins("_pairs"))
-    gain = F.transform("_twins", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_twins"), k + 1) - p, F.lit(WINDOW))))
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(paired, F.when(repeats, pairs)).withColumn(twins, _twins(paired))
+    gain = F.transform(twins, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(twins), k + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(gain, F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("n_repeat_words", opaque(F.coalesce(total, F.lit(0).cast("long"))))
-    return df.drop("_words", "_lines", "_hashes", "_pairs", "_twins")
+    return df.drop(words, lines, hashes, paired, twins)
 
 
 def base_failed() -> Column:

@@ -12,7 +12,9 @@ All of it is built-in functions. Per document only spans and p-values are kept;
 control step needs one histogram of a fixed number of bins.
 
 Defined results for odd input: null and empty texts have no spans; positions are code
-points; equal spans of several kinds are all listed; an empty table gives no rows.
+points; equal spans of several kinds are all listed; repeated rows each get the same
+result, and each counts in the control step; `scanned` replaces columns of the caller
+named assign, access, hex or tokens, `cleaned` keeps all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ ENCODINGS = (
 )
 FALSE_DISCOVERY = 0.1
 BINS = 1024
+#: Parts of a text that are gone through at a time; even, so that each block begins outside a match.
+BLOCK = 256
 MARK, OTHER = "\ue000", "\ue001"
 
 SPAN = "array<struct<s:int,e:int>>"
@@ -59,23 +63,38 @@ def located(text: Column, pattern: str, keep: Callable[[Column], Column], found:
     """The leftmost non-overlapping matches that `keep` accepts, as an array of type `kind`.
 
     Matches are put between marks and the text is split there: odd parts are the matches,
-    and the lengths of the parts before one add up to its place. The mark's own character,
-    where a text has it, is first changed to another that no pattern takes.
+    and the lengths of the parts before one add up to its place. That is done block by
+    block, so that no array grows part by part. The mark's own character, where a text has
+    it, is first changed to another that no pattern takes.
     """
     safe = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
     parts = F.split(F.regexp_replace(safe, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(kind).alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        more = F.concat(acc["found"], F.array(found(acc["at"], end, part)).cast(kind))
-        return F.struct(
-            end.alias("at"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"] & keep(part), more).otherwise(acc["found"]).alias("found"),
-        )
-
-    spans = F.aggregate(parts, start, step, lambda acc: acc["found"])
+
+    def cut(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.call_function("div", F.size(whole) - 1, F.lit(BLOCK)).cast("int"))
+        return F.transform(numbers, lambda b: F.slice(whole, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def offsets(blocks: Column) -> Column:
+        widths = F.transform(blocks, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(widths, start, step, lambda acc: acc["out"])
+
+    def within(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.lit(False).alias("hit"), F.array().cast(kind).alias("found"))
+
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.length(part)
+            more = F.concat(acc["found"], F.array(found(acc["at"], end, part)).cast(kind))
+            return F.struct(
+                end.alias("at"),
+                (~acc["hit"]).alias("hit"),
+                F.when(acc["hit"] & keep(part), more).otherwise(acc["found"]).alias("found"),
+            )
+
+        return F.aggregate(block, start, step, lambda acc: acc["found"])
+
+    spans = let(let(parts, cut), lambda blocks: let(offsets(blocks), lambda at: F.flatten(F.transform(blocks, lambda p, i: within(p, F.get(at, i))))))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
 
 

@@ -13,8 +13,10 @@ joined; both walks are one join and one sum each round, and the ranks are writte
 few rounds to cut their lineage.
 
 Defined results for odd input: a null url or one without `://` has an empty host and
-path, fits no rule, is no node of the graph and is allowed; null html has no links; an
-empty table gives no rows; without seeds everything without a rule is allowed.
+path, fits no rule, is no node of the graph and is allowed; null html has no links; pages
+that repeat count each with their links; columns of the caller stay, other than those
+named like results; an empty table gives no rows; without seeds everything without a rule
+is allowed.
 """
 
 from __future__ import annotations
@@ -123,7 +125,8 @@ def ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", html: str = "html", threshold: int = THRESHOLD) -> DataFrame:
     """pages (without html) with host, path, rule, trust, distrust and verdict."""
-    named = pages.drop(html).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    own = {"host", "path", "rule", "ruled", "trust", "distrust", "verdict"}
+    named = pages.drop(html, *(c for c in pages.columns if c.lower() in own)).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     named = ruled(named, rules)
     kind = F.when(F.col("ruled") == "allow", "trust").otherwise("distrust")
     seeds = named.filter(F.col("ruled").isNotNull() & (F.col("host") != "")).select(kind.alias("kind"), "host").distinct()

@@ -14,7 +14,8 @@ read twice.
 
 Defined results for odd input: a null payload is an empty one; an empty payload is one
 chunk of no bytes; pages that repeat a page_id each have their record, and are responses
-if they bear their group's largest id; an empty table writes no archive.
+if they bear their group's largest id; equal pages have equal record ids; columns beyond
+page_id, url and the payload are not archived; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -30,61 +31,57 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import digest_column, releasing, shared_dir, stored, table
 
 CHUNK = 256 * 1024
 REVISIT_BYTES = 1000
 BLOCK = 1 << 16
 GZIP = 31  # zlib's window bits for gzip members
+RECORD = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")
 RECORD_SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, chunk_start long, chunk_bytes long, running_digest string, last boolean"
 
 
 def roles(pages: DataFrame, payload: str, key: str = "page_id", least: int = REVISIT_BYTES) -> DataFrame:
     """pages with payload_bytes, payload_digest, record_type and refers_to.
 
-    Only groups of at least two equal payloads come back for the join, one row each.
+    Groups are found on keys and digests alone. Pages are joined with their revisits by key
+    and digest, so a payload that many pages share is not one key of a join with payloads.
     """
-    body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
-    pages = pages.withColumns({"payload_bytes": F.octet_length(body).cast("long"), "payload_digest": F.sha1(body)})
-    groups = (
-        pages.filter(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest")
-        .agg(F.max(key).alias("_response"), F.count("*").alias("_copies"))
-        .filter(F.col("_copies") > 1)
-        .select("payload_digest", "_response")
-    )
-    revisit = F.col("_response").isNotNull() & ~F.col(key).eqNullSafe(F.col("_response")) & (F.col("payload_bytes") >= least)
-    return (
-        pages.join(groups, "payload_digest", "left")
-        .withColumns({
-            "record_type": F.when(revisit, "revisit").otherwise("response"),
-            "refers_to": F.when(revisit, F.col("_response")),
-        })
-        .drop("_response")
-    )
+    body = F.col(payload).cast("binary")  # the same bytes, not a copy
+    measured = {"payload_bytes": F.coalesce(F.octet_length(body), F.lit(0)).cast("long"), "payload_digest": F.sha1(F.coalesce(body, F.lit(b"")))}
+    pages = pages.withColumns(measured)
+    k, d, top = (digest_column(c, pages.columns) for c in ("_key", "_digest", "_response"))
+    narrow = stored(pages.filter(F.col("payload_bytes") >= least).select(F.col(key).alias(k), F.col("payload_digest").alias(d)), "digests")
+    groups = narrow.groupBy(d).agg(F.max(k).alias(top), F.count("*").alias("copies")).filter("copies > 1").select(d, top)
+    others = narrow.join(groups, d).filter(~F.col(k).eqNullSafe(F.col(top))).distinct()
+    joined = pages.join(others, F.col(key).eqNullSafe(F.col(k)) & (F.col("payload_digest") == F.col(d)), "left")
+    revisit = F.col(d).isNotNull()
+    own = {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col(top))}
+    return joined.withColumns(own).drop(k, d, top)
 
 
 def chunked(pages: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
-    """One row per chunk, in order: chunk_no, data, last, and with chunk 0 all the page's columns.
+    """One row per chunk, in order: the record's columns, chunk_no, data and last.
 
     Revisits carry no payload. Chunks of one record stay next to each other in their
     partition, since nothing is dealt out after they are made.
     """
-    body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
-    size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.octet_length(body))
+    body = F.col(payload).cast("binary")
+    size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.coalesce(F.octet_length(body), F.lit(0)))
     last = F.greatest(F.lit(0), F.call_function("div", size - 1, F.lit(chunk))).cast("int")
-    return (
-        pages.withColumns({"_size": size, "_last": last})
-        .withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .withColumns({
-            "data": F.when(F.col("_size") > 0, F.substring(body, F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b"")),
-            "last": F.col("chunk_no") == F.col("_last"),
-            "content_bytes": F.col("_size").cast("long"),
-        })
-        .drop("_size", "_last", payload)
+    rows = pages.select(*RECORD, body.alias("body"), size.cast("long").alias("content_bytes"), F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_no", "n"))
+    return rows.select(
+        *RECORD, "content_bytes", "chunk_no",
+        F.when(F.col("content_bytes") > 0, F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b"")).alias("data"),
+        (F.col("chunk_no") == F.greatest(F.lit(0), F.call_function("div", F.col("content_bytes") - 1, F.lit(chunk)))).alias("last"),
     )
 
 
+def _record_id(page: object, digest: str) -> str:
+    """The same for the same page and payload, so that revisits can name the record they refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page} {digest}')}>"
+
+
 def _b32(hex_digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
@@ -98,7 +95,7 @@ def _head(row: dict) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Record-ID: {_record_id(row['page_id'], row['payload_digest'])}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"Content-Length: {row['content_bytes']}",
         f"WARC-Payload-Digest: {_b32(row['payload_digest'])}",
@@ -110,7 +107,10 @@ def _head(row: dict) -> bytes:
         lines.append(f"X-Page-ID: {row['page_id']}")
     if row["record_type"] == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        lines.append(f"WARC-Refers-To: {_record_id(row['refers_to'], row['payload_digest'])}")
         lines.append(f"X-Refers-To-Page: {row['refers_to']}")
+    else:
+        lines.append("Content-Type: text/html; charset=utf-8")
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -145,10 +145,8 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, payload: str = "html", chunk: int = CHUNK) -> DataFrame:
     """Write one archive per task; the committed manifest (path, records, bytes)."""
     folder = shared_dir(pages.sparkSession, "warc")
-    rows = chunked(pages, payload, chunk).select(
-        "page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "content_bytes", "chunk_no", "data", "last"
-    )
-    return stored(rows.mapInArrow(_writer(folder), "path string, records long, bytes long"), "warc-manifest")
+    rows = chunked(pages, payload, chunk)
+    return stored(rows.mapInArrow(releasing(_writer(folder)), "path string, records long, bytes long"), "warc-manifest")
 
 
 class _Stream:
