@@ -7,8 +7,8 @@ The postings of those terms, moved back by their offsets, are sorted together, a
 places where two of them agree are held against the whole segment. A window costs as much
 as its rarest terms have postings, not as there are documents.
 
-All steps after the index work row by row of the corpus, so the index is dealt out by row
-once and all joins, windows and sums on top of it stay where they are. What is broadcast
+All steps after the index work row by row of the corpus, so it is dealt out by row, and
+the windows, joins and sums on top of that stay where they are. What is broadcast
 is made from the items alone, and only if its own size is below BROADCAST_BYTES.
 
 Exact phrases have every word of the window in its place; proximity matches have at
@@ -125,9 +125,9 @@ def matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_
     by = Window.partitionBy("row", "segment").orderBy("start", "term")
     found = at.withColumns({"other": F.lag("start").over(by), "second": F.lag("term").over(by)})
     two = F.col("single") | ((F.col("term") != F.col("second")) & (F.col("start") - F.col("other") <= 2 * slop))
-    found = found.filter(two).groupBy("row").agg(F.collect_set(F.struct("segment", "start")).alias("found"))
+    found = stored(found.filter(two).groupBy("row").agg(F.collect_set(F.struct("segment", "start")).alias("found")), "found")
     # the row's words around each such place, held against all words of the segment
-    looked = dealt.join(found, "row").select("row", "terms", F.explode("found").alias("f")).select("row", "terms", "f.segment", "f.start")
+    looked = index.select("row", "terms").join(found, "row").select("row", "terms", F.explode("found").alias("f")).select("row", "terms", "f.segment", "f.start")
     looked = looked.join(parts.select("segment", F.size("terms").alias("long"), "least"), "segment")
     first = F.greatest(F.lit(0), F.col("start") - 2 * slop)
     after = F.col("start") + F.col("long") + 2 * slop
