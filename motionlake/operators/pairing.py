@@ -42,7 +42,8 @@ def next_right(lefts: DataFrame, rights: DataFrame, positions: Sequence[int] | N
     a = lefts.select(*key, "us", "id", F.row_number().over(ordered(*key)).alias("position"))
     b = rights.select(*key, "us", "id", F.col("id").alias("right_id"))
     both = a.unionByName(b, allowMissingColumns=True)
-    both = both.withColumn("right_id", F.first("right_id", True).over(ordered(*key).rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*key).orderBy(F.desc("us"), F.desc("id"), F.col("position").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("right_id", F.last("right_id", True).over(back))
     out = both.filter("position IS NOT NULL AND right_id IS NOT NULL")
     if positions is not None:
         out = out.filter(F.col("position").isin(*positions))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell
+from ..functions.frames import finite
 from ..storage import cut
 
 
@@ -95,23 +98,38 @@ def far_from(candidates: DataFrame, poses: DataFrame, least: float = 0.5, axes:
     return c.join(p, same & near, "left_anti").drop(*(f"_{a}" for a in axes))
 
 
-def nearest_distance(points: DataFrame, cloud: DataFrame, size: float, rounds: int = 24, id_: str = "seq") -> DataFrame:
+def nearest_distance(points: DataFrame, cloud: DataFrame, size: float, id_: str = "seq") -> DataFrame:
     """points with the distance to the cloud's nearest point.
 
     Cells of `size` are joined with their neighbours, which settles points nearer than
-    `size`; the rest is tried again with cells of twice the size, so nothing is dropped.
+    `size`; the rest is tried again with cells of twice the size until none is left.
+    Points without finite coordinates, and all points if the cloud has none, get null.
     """
-    ref = cut(cloud.select("x", "y", "z").distinct())
-    left, found = points, None
-    for _ in range(rounds):
+    whole = finite(*"xyz")
+    ref = cut(cloud.select("x", "y", "z").filter(whole).distinct())
+    away = points if ref.isEmpty() else points.filter(~whole)
+    found = away.withColumn("distance", F.lit(None).cast("double"))
+    left = points.limit(0) if ref.isEmpty() else points.filter(whole)
+    while not left.isEmpty():
         p = _cells(ref, "xyz", size, True).select(F.col("x").alias("_px"), F.col("y").alias("_py"), F.col("z").alias("_pz"), "_x", "_y", "_z")
         c = _cells(left, "xyz", size, False)
         d2 = sum((F.col(a) - F.col(f"_p{a}")) * (F.col(a) - F.col(f"_p{a}")) for a in "xyz")
         best = cut(c.join(p, ["_x", "_y", "_z"]).groupBy(id_).agg(F.sqrt(F.min(d2)).alias("distance")).filter(F.col("distance") <= size))
-        done = left.join(best, id_)
-        found = done if found is None else found.unionByName(done)
+        found = found.unionByName(left.join(best, id_).select(*found.columns))
         left = cut(left.join(best.select(id_), id_, "left_anti"))
-        if left.isEmpty():
-            break
         size *= 2
     return found
+
+
+def patch_depth(pixels: DataFrame, depth: DataFrame, near: float, far: float, reach: int = 2, key: Sequence[str] = ("frame",)) -> DataFrame:
+    """pixels (key, u, v) with z, the median of the depths from `near` to `far` in the patch around; 0 where there are none.
+
+    Depths are dealt to the pixels whose patch they are in, so the join is on equal pixels.
+    """
+    side = F.sequence(F.lit(-reach), F.lit(reach))
+    there = depth.filter(F.col("z").between(near, far)).select(*key, "u", "v", "z")
+    there = there.withColumn("_du", F.explode(side)).withColumn("_dv", F.explode(side))
+    there = there.select(*key, (F.col("u") + F.col("_du")).alias("u"), (F.col("v") + F.col("_dv")).alias("v"), "z")
+    asked = pixels.select(*key, "u", "v").distinct()
+    found = there.join(asked, [*key, "u", "v"], "left_semi").groupBy(*key, "u", "v").agg(F.percentile("z", 0.5).alias("z"))
+    return pixels.join(found, [*key, "u", "v"], "left").fillna(0.0, ["z"])

@@ -46,11 +46,10 @@ def neighbours(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",))
     """left with before_us (last right at or before) and after_us (first right after) of its key."""
     a = left.select(*key, "us", "id", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_r"))
     b = right.select(*key, "us", "id", F.lit(0).alias("_side"), F.col("us").alias("_r"))
-    w = Window.partitionBy(*key).orderBy("us", "_side", "id")
-    both = a.unionByName(b).withColumns({
-        "before_us": F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "after_us": F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
+    # both look back from a row, one of them in the turned order: a frame up to the end is summed anew for each row
+    w = Window.partitionBy(*key).orderBy("us", "_side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*key).orderBy(F.desc("us"), F.desc("_side"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("before_us", F.last("_r", True).over(w)).withColumn("after_us", F.last("_r", True).over(back))
     return both.filter("_side = 1").drop("_side", "_r")
 
 
@@ -137,3 +136,10 @@ def majority15(df: DataFrame, vote: Column, key: Sequence[str] = ("bag",)) -> Da
 def active15(df: DataFrame, event: Column, key: Sequence[str] = ("bag",)) -> DataFrame:
     """Whether one of this and the last 14 frames has the event."""
     return df.withColumn("active", F.max(event).over(ordered(*key).rowsBetween(-14, 0)))
+
+
+def rate_limited(df: DataFrame, period_us: int, key: Sequence[str] = ("bag", "topic")) -> DataFrame:
+    """The first message of each period, periods counted from time 0."""
+    row = F.struct(*(c for c in df.columns if c not in key))
+    first = df.groupBy(*key, F.floor(F.col("us") / period_us).alias("_period")).agg(F.min_by(row, F.struct("us", "id")).alias("_row"))
+    return first.select(*key, "_row.*").select(*df.columns)

@@ -184,10 +184,21 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("bag", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {P.MESSAGES_SQL},
+d AS (SELECT bag, id, us / 1e6 AS t, value AS x, row_number() OVER (PARTITION BY bag ORDER BY us / 1e6, id) AS n FROM m),
+f AS (
+  SELECT bag, id, n, t, x, x AS smooth, CAST(0 AS DOUBLE) AS dx FROM d WHERE n = 1
+  UNION ALL
+  SELECT bag, id, n, t, x, r / (r + 1) * x + (1 - r / (r + 1)) * px, dx FROM (
+    SELECT *, 2 * pi() * (1 + 7e-3 * abs(dx)) * te AS r FROM (
+      SELECT *, a * (x - px) / te + (1 - a) * pdx AS dx FROM (
+        SELECT *, 2 * pi() * te / (2 * pi() * te + 1) AS a FROM (
+          SELECT d.*, f.smooth AS px, f.dx AS pdx, CASE WHEN d.t > f.t THEN d.t - f.t ELSE CAST(1 AS DOUBLE) / 30 END AS te
+          FROM f JOIN d ON d.bag = f.bag AND d.n = f.n + 1)))))
+SELECT bag, id, t, x, round(smooth, 6) AS smooth FROM f""")
 def one_euro(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = P.messages(spark, sf_dir).select("bag", "id", (F.col("us") / 1e6).alias("t"), F.col("value").alias("x"))
-    return L.one_euro(d, "bag")
+    return L.one_euro(d, "bag").withColumn("smooth", F.round("smooth", 6))
 
 
 # -- trajectories ---------------------------------------------------------------------------
@@ -329,34 +340,24 @@ def occupancy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.layered((S.ray_cells(rays), "FREE"), (discs, "FREE"), (S.hits(p), "OCCUPIED"))
 
 
-@query(f"""WITH {P.POINTS_SQL}, {P.POSES_SQL}, q AS (SELECT DISTINCT x, y FROM p WHERE bag % 20 = 0)
-SELECT frame, seq FROM pt WHERE NOT EXISTS (SELECT 1 FROM q WHERE (pt.x - q.x) ** 2 + (pt.y - q.y) ** 2 < 0.25)""")
-def anti_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.far_from(P.points(spark, sf_dir), P.poses(spark, sf_dir).filter("bag % 20 = 0")).select("frame", "seq")
-
-
-@query(f"""WITH {P.POSES_SQL}, k AS (SELECT DISTINCT x, y, z FROM p WHERE bag % 10 = 0), a AS (SELECT * FROM p WHERE bag % 10 = 1)
-SELECT id, round(sqrt(min((a.x - k.x) ** 2 + (a.y - k.y) ** 2 + (a.z - k.z) ** 2)), 6) AS distance FROM a, k GROUP BY id""")
-def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = P.poses(spark, sf_dir)
-    d = S.nearest_distance(p.filter("bag % 10 = 1"), p.filter("bag % 10 = 0"), 4.0, id_="id")
-    return d.select("id", F.round("distance", 6).alias("distance"))
-
-
 @query(f"""WITH {P.POINTS_SQL}, {P.POSES_SQL}, q AS (SELECT DISTINCT x, y FROM p)
 SELECT frame, seq FROM pt WHERE NOT EXISTS (SELECT 1 FROM q WHERE (pt.x - q.x) ** 2 + (pt.y - q.y) ** 2 < 0.25)""")
-def anti_proximity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anti_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.far_from(P.points(spark, sf_dir), P.poses(spark, sf_dir)).select("frame", "seq")
 
 
 @query(f"""WITH {P.POSES_SQL}, t AS (SELECT p.*, topic FROM p JOIN m USING (id)), k AS (SELECT DISTINCT x, y, z FROM t WHERE topic = '{P.LEFT}'), a AS (SELECT * FROM t WHERE topic <> '{P.LEFT}')
 SELECT id, round(sqrt(min((a.x - k.x) ** 2 + (a.y - k.y) ** 2 + (a.z - k.z) ** 2)), 6) AS distance FROM a, k GROUP BY id""")
-def nearest_point_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.poses(spark, sf_dir).join(P.messages(spark, sf_dir).select("id", "topic"), "id")
     d = S.nearest_distance(p.filter(F.col("topic") != P.LEFT), p.filter(F.col("topic") == P.LEFT), 4.0, id_="id")
     return d.select("id", F.round("distance", 6).alias("distance"))
 
 
+for _whole in ("anti_proximity", "nearest_point"):  # their names so far
+    QUERIES[f"{_whole}_all"], ORACLE_SQL[f"{_whole}_all"] = QUERIES[_whole], ORACLE_SQL[_whole]
+
+
 # -- poses ----------------------------------------------------------------------------------
 
 def _turn(a: int, b: int, c: int, d: int) -> str:

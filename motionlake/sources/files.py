@@ -30,6 +30,28 @@ def read_estimator_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("ts", F.when(F.abs("ts") > 1e14, F.col("ts") / 1e9).otherwise(F.col("ts"))).select("run", *TUM)
 
 
+def read_loose(spark: SparkSession, path: str) -> DataFrame:
+    """(run, ts, x, y, z, qx, qy, qz, qw) of rows of at least four numbers, with spaces or commas; no turn below eight."""
+    parts = F.split(F.trim(F.translate("value", ",", " ")), r"\s+")
+    lines = spark.read.text(path).filter((F.trim("value") != "") & ~F.trim("value").startswith("#")).withColumn("p", parts).filter(F.size("p") >= 4)
+    number = lambda i: F.get("p", F.lit(i)).try_cast("double")
+    full = F.size("p") >= 8
+    turn = [F.when(full, number(i)).otherwise(F.lit(0.0 if n != "qw" else 1.0)).alias(n) for i, n in enumerate(TUM) if i >= 4]
+    return lines.select(F.input_file_name().alias("run"), *(number(i).alias(n) for i, n in enumerate(TUM[:4])), *turn).dropna(subset=list(TUM))
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """(run, x, y, z) from the second to fourth fields; rows where one is no number go."""
+    parts = F.split("value", ",")
+    made = spark.read.text(path).select(F.input_file_name().alias("run"), *(F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in ((1, "x"), (2, "y"), (3, "z"))))
+    return made.dropna(subset=["x", "y", "z"])
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(timestamp, filename) of an image index; comments go."""
+    return spark.read.csv(path, schema="timestamp long, filename string", comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+
+
 def write_tum(poses: DataFrame, path: str) -> None:
     poses.orderBy("ts").select(F.format_string(" ".join(["%.6f"] * 8), *TUM)).write.text(path)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,22 +44,58 @@ class OneEuro:
         return self.x
 
 
+def folded(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable, step: Callable, schema: str, unit: str | None = None) -> DataFrame:
+    """step(state, rows) over each key's rows in order, from start() on.
+
+    Rows of a key come to one task in sorted order and go through it batch by batch; only
+    the state, and with `unit` the rows of the unit that a batch ends in, are carried on.
+    """
+    whole = [*key, unit] if unit else []
+
+    def parts(f: pd.DataFrame, state: list) -> Iterator[pd.DataFrame]:
+        for k, rows in f.groupby(list(key), sort=False, dropna=False):
+            k = tuple(None if pd.isna(x) else x for x in k)
+            if not state or state[0] != k:
+                state[:] = [k, start()]
+            yield step(state[1], rows)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: list = []
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if not len(f):
+                continue
+            cut = len(f)
+            if whole:
+                other = np.flatnonzero(~(f[whole] == f[whole].iloc[-1]).all(axis=1).to_numpy())
+                cut = int(other[-1]) + 1 if len(other) else 0
+            held, f = (f.iloc[cut:] if cut < len(f) else None), f.iloc[:cut]
+            if len(f):
+                yield from parts(f, state)
+        if held is not None:
+            yield from parts(held, state)
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
 def one_euro(df: DataFrame, key: str, min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0) -> DataFrame:
-    """(key, id, t, x, smooth) from (key, id, t, x): an ordered fold within each key, in built-in functions."""
-    alpha = lambda te, f: (2 * math.pi * te * f) / (2 * math.pi * te * f + 1)
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("dx"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<id:bigint,t:double,x:double,smooth:double>>").alias("out"))
+    """(key, id, t, x, smooth) from (key, id, t, x), in the order of t and id; a null x starts the filter anew."""
 
-    def step(s: Column, r: Column) -> Column:
-        te = F.when(r["t"] > s["t"], r["t"] - s["t"]).otherwise(F.lit(DEFAULT_STEP))
-        a = alpha(te, F.lit(d_cutoff))
-        dx = F.when(s["x"].isNull(), 0.0).otherwise(a * (r["x"] - s["x"]) / te + (1 - a) * s["dx"])
-        b = alpha(te, min_cutoff + beta * F.abs(dx))
-        x = F.when(s["x"].isNull(), r["x"]).otherwise(b * r["x"] + (1 - b) * s["x"])
-        made = F.struct(r["id"].alias("id"), r["t"].alias("t"), r["x"].alias("x"), x.alias("smooth"))
-        return F.struct(x.alias("x"), dx.alias("dx"), r["t"].alias("t"), F.concat(s["out"], F.array(made)).alias("out"))
+    def step(f: OneEuro, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x, t in zip(rows["x"].tolist(), rows["t"].tolist()):
+            if x is None or math.isnan(x):
+                f.x, f.dx, f.t = None, 0.0, t
+                out.append(None)
+            else:
+                out.append(f(x, t))
+        return rows.assign(smooth=pd.Series(out, rows.index, dtype="float64"))
 
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x")))).alias("rows"))
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select(key, "r.*")
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, F.col("id").cast("long"), F.col("t").cast("double"), F.col("x").cast("double"))
+    schema = f"`{key}` {kind}, id long, t double, x double, smooth double"
+    return folded(rows, [key], ["t", "id"], lambda: OneEuro(min_cutoff, beta, d_cutoff), step, schema)
 
 
 def one_euro_stream(df: DataFrame, key: str = "bag", key_type: str = "long") -> DataFrame:
@@ -154,26 +191,28 @@ class BodyTracker:
 def hand_tracks(detections: DataFrame, key: str = "stream") -> DataFrame:
     """(key, frame, det, track, side) from (key, frame, det, t, x, y, side); frames of a stream are in order."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = HandTracker(), []
-        for frame, g in f.sort_values(["frame", "det"]).groupby("frame"):
+    def step(tracker: HandTracker, f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for frame, g in f.groupby("frame", sort=False):
             found = tracker.frame(float(g["t"].iloc[0]), list(zip(g["x"], g["y"], g["side"])))
             out += [(g[key].iloc[0], frame, d, i, s) for d, (i, s) in zip(g["det"], found)]
         return pd.DataFrame(out, columns=[key, "frame", "det", "track", "side"])
 
-    return detections.groupBy(key).applyInPandas(run, f"{key} long, frame long, det int, track int, side string")
+    rows = detections.select(key, "frame", "det", "t", "x", "y", "side")
+    return folded(rows, [key], ["frame", "det"], HandTracker, step, f"{key} long, frame long, det int, track int, side string", "frame")
 
 
 def body_tracks(detections: DataFrame, key: str = "stream") -> DataFrame:
     """(key, frame, det, person) from (key, frame, det, x, y)."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = BodyTracker(), []
-        for frame, g in f.sort_values(["frame", "det"]).groupby("frame"):
+    def step(tracker: BodyTracker, f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for frame, g in f.groupby("frame", sort=False):
             out += [(g[key].iloc[0], frame, d, i) for d, i in zip(g["det"], tracker.frame(list(zip(g["x"], g["y"]))))]
         return pd.DataFrame(out, columns=[key, "frame", "det", "person"])
 
-    return detections.groupBy(key).applyInPandas(run, f"{key} long, frame long, det int, person int")
+    rows = detections.select(key, "frame", "det", "x", "y")
+    return folded(rows, [key], ["frame", "det"], BodyTracker, step, f"{key} long, frame long, det int, person int", "frame")
 
 
 def windowed(df: DataFrame, time: str = "ts", length: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from statistics import median
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .filters import OneEuro
+from .filters import OneEuro, folded
 
 JOINT = "array<struct<x:double,y:double,z:double,c:double>>"
 Joint = tuple[float, float, float, float]
@@ -65,12 +65,10 @@ def smoothed_joints(df: DataFrame, smoother=hand, key: Sequence[str] = ("stream"
     """(key, frame, t, joints) with the joints of each track smoothed in the order of its frames."""
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*key, "frame", "t"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("frame")
-        s = smoother()
+    def step(s: JointSmoother, f: pd.DataFrame) -> pd.DataFrame:
         rows = [s([(j["x"], j["y"], j["z"], j["c"]) for j in k], t) for k, t in zip(f[joints], f["t"])]
         out = f[[*key, "frame", "t"]].copy()
         out[joints] = [[dict(zip("xyzc", map(float, j))) for j in r] for r in rows]
         return out
 
-    return df.select(*key, "frame", "t", joints).groupBy(*key).applyInPandas(run, f"{kinds}, {joints} {JOINT}")
+    return folded(df.select(*key, "frame", "t", joints), key, ["frame"], smoother, step, f"{kinds}, {joints} {JOINT}")
