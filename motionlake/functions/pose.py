@@ -92,6 +92,27 @@ def touching(z: Column) -> Column:
     return (z > 0.1) & (z <= 0.35)
 
 
+# The joints of the parts, in the order in which they are asked for.
+HAND_PARTS = {"thumb": (1, 4), "index": (5, 8), "middle": (9, 12), "ring": (13, 16), "pinky": (17, 20)}
+BODY_PARTS = {"head": (0, 1, 2, 3, 4), "l_arm": (5, 7, 9), "r_arm": (6, 8, 10), "torso": (5, 6, 11, 12), "l_leg": (11, 13, 15)}
+
+
+def hand_part(a: Column, b: Column) -> Column:
+    """The finger of the bone a-b: a is on it, b is on it or the wrist; palm otherwise."""
+    part = F.lit("palm")
+    for name, (low, high) in reversed(HAND_PARTS.items()):
+        part = F.when(a.between(low, high) & (b.between(low, high) | (b == 0)), name).otherwise(part)
+    return part
+
+
+def body_part(a: Column, b: Column) -> Column:
+    """The limb that both ends of the bone a-b are on, the first that fits; r_leg otherwise."""
+    part = F.lit("r_leg")
+    for name, joints in reversed(BODY_PARTS.items()):
+        part = F.when(a.isin(*joints) & b.isin(*joints), name).otherwise(part)
+    return part
+
+
 def peak(values: Column) -> Column:
     """Place of the greatest value, the first of equals."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

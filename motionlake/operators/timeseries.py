@@ -143,3 +143,45 @@ def rate_limited(df: DataFrame, period_us: int, key: Sequence[str] = ("bag", "to
     row = F.struct(*(c for c in df.columns if c not in key))
     first = df.groupBy(*key, F.floor(F.col("us") / period_us).alias("_period")).agg(F.min_by(row, F.struct("us", "id")).alias("_row"))
     return first.select(*key, "_row.*").select(*df.columns)
+
+
+def associated(first: DataFrame, second: DataFrame, tolerance_us: int, key: Sequence[str] = ("bag",)) -> DataFrame:
+    """(key, first_us, second_us): each row of a key's shorter side with the nearest time of its longer one.
+
+    Of equal sides the second counts as the shorter. Pairs further apart than the tolerance go.
+    """
+    both = first.select(*key, "us", "id", F.lit(False).alias("_second")).unionByName(second.select(*key, "us", "id", F.lit(True).alias("_second")))
+    whole = Window.partitionBy(*key)
+    two = F.sum(F.col("_second").cast("int")).over(whole)
+    short = F.col("_second") == F.col("_second_short")
+    both = both.withColumn("_second_short", 2 * two <= F.count("*").over(whole))
+    near = nearest(both.filter(short), both.filter(~short), [*key, "_second_short"]).filter(F.abs("offset_us") <= tolerance_us)
+    at = lambda second: F.when(F.col("_second_short") == F.lit(second), F.col("us")).otherwise(F.col("near_us"))
+    return near.select(*key, at(False).alias("first_us"), at(True).alias("second_us"))
+
+
+def time_synced(left: DataFrame, right: DataFrame, tolerance: str = "10 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """(bag, left_id, right_id, left_ts, right_ts): messages at most the tolerance apart, on tables or streams.
+
+    Both sides have (bag, id, ts). Times are cut into cells of the tolerance, so the join is on
+    equal keys; on streams the watermarks and the range let the state go.
+    """
+    us = F.expr(f"timestampdiff(MICROSECOND, timestamp'1970-01-01 00:00:00', timestamp'1970-01-01 00:00:00' + interval {tolerance})")
+    cell = lambda ts: F.floor(F.unix_micros(ts) / us)
+    a = left.select("bag", F.col("id").alias("left_id"), F.col("ts").cast("timestamp").alias("left_ts")).withWatermark("left_ts", late)
+    b = right.select("bag", F.col("id").alias("right_id"), F.col("ts").cast("timestamp").alias("right_ts")).withWatermark("right_ts", late)
+    at = cell(F.col("left_ts"))
+    a = a.withColumn("_cell", F.explode(F.array(at - 1, at, at + 1)))
+    b = b.withColumn("_cell", cell(F.col("right_ts"))).withColumnRenamed("bag", "_bag").withColumnRenamed("_cell", "_right_cell")
+    near = F.expr(f"right_ts >= left_ts - interval {tolerance} AND right_ts <= left_ts + interval {tolerance}")
+    pairs = a.join(b, (F.col("bag") == F.col("_bag")) & (F.col("_cell") == F.col("_right_cell")) & near)
+    return pairs.select("bag", "left_id", "right_id", "left_ts", "right_ts")
+
+
+def imu_rest(samples: DataFrame, key: Sequence[str] = ("bag",)) -> DataFrame:
+    """(key, n, rate_hz, gravity) of inertial samples (us, x, y, z): their rate, and the mean length of what they feel."""
+    span = (F.max("us") - F.min("us")) / F.lit(1e6)
+    return samples.groupBy(*key).agg(
+        F.count("*").alias("n"), F.when(span > 0, (F.count("*") - 1) / span).alias("rate_hz"),
+        F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("gravity"),
+    )

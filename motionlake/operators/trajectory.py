@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.filters import folded
+
 KEY = ("bag",)
 
 
@@ -149,6 +151,61 @@ def error_stats(df: DataFrame, column: str = "error", key: Sequence[str] = KEY)
     )
 
 
+def _turned(r: Column, s: Column) -> list[Column]:
+    """The nine numbers, by rows, of r^T s."""
+    return [sum(r[3 * k + i] * s[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)]
+
+
+def turn_angle(r: Sequence[Column] | Column, s: Sequence[Column] | Column) -> Column:
+    """Degrees between two rotations of nine numbers."""
+    trace = sum(r[i] * s[i] for i in range(9))
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
+
+
+def turn_errors(pairs: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """pairs, which have the rotations pr and qr too, with the angle of the aligned p from q in degrees."""
+    d = pairs.join(alignment(pairs, key).select(*key, "r"), list(key))
+    product = [sum(F.col("r")[3 * i + k] * F.col("pr")[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)]
+    return d.withColumn("angle", turn_angle(product, F.col("qr"))).drop("r")
+
+
+def travelled(pairs: DataFrame, delta: float = 1.0, key: str = "bag") -> DataFrame:
+    """The rows at which p has gone another `delta` since the row before that did."""
+
+    def step(state: list, f: pd.DataFrame) -> pd.DataFrame:
+        at = f[["px", "py", "pz"]].to_numpy(float)
+        before = np.vstack([at[:1] if not state else state[1:], at[:-1]])
+        gone, kept = state[0] if state else 0.0, []
+        for length in np.sqrt(((at - before) ** 2).sum(axis=1)).tolist():
+            gone += length
+            kept.append(gone >= delta)
+            gone = 0.0 if kept[-1] else gone
+        state[:] = [gone, at[-1]]
+        return f.loc[kept, [key, "seq"]]
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes if c in (key, "seq"))
+    marks = folded(pairs.select(key, "seq", "px", "py", "pz"), [key], ["seq"], list, step, kinds)
+    return pairs.join(marks, [key, "seq"])
+
+
+def relative_errors(pairs: DataFrame, delta: float = 1.0, key: str = "bag") -> DataFrame:
+    """(key, seq, next_seq, error, angle) of the motion between rows that lie `delta` of travel apart.
+
+    pairs: (key, seq, px, py, pz, pr, qx, qy, qz, qr). The motion of p against that of q, each
+    seen from its own first pose, as metres and degrees.
+    """
+    w = _w([key])
+    whole = F.struct("seq", "px", "py", "pz", "pr", "qx", "qy", "qz", "qr")
+    d = travelled(pairs, delta, key).withColumn("n", F.lead(whole).over(w)).filter("n IS NOT NULL")
+    moved, turns = [], []
+    for s in "pq":
+        r, step_ = F.col(f"{s}r"), [F.col(f"n.{s}{c}") - F.col(f"{s}{c}") for c in "xyz"]
+        moved.append([sum(r[3 * k + i] * step_[k] for k in range(3)) for i in range(3)])
+        turns.append(_turned(r, F.col(f"n.{s}r")))
+    error = norm(*(a - b for a, b in zip(*moved)))
+    return d.select(key, "seq", F.col("n.seq").alias("next_seq"), error.alias("error"), turn_angle(*turns).alias("angle"))
+
+
 def peaks(values: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     """Places of local maxima, higher ones clearing `distance` around them, with enough prominence."""
     n, found, i = len(values), [], 1

@@ -57,6 +57,10 @@ def hand() -> JointSmoother:
     return JointSmoother(21, 0.6, 0.004, reach=0.18)
 
 
+def fingertip() -> JointSmoother:
+    return JointSmoother(1, 0.6, 0.004, reach=0.18)
+
+
 def body() -> JointSmoother:
     return JointSmoother(17, 0.5, 0.004)
 
