@@ -169,7 +169,7 @@ def turn_errors(pairs: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return d.withColumn("angle", turn_angle(product, F.col("qr"))).drop("r")
 
 
-def travelled(pairs: DataFrame, delta: float = 1.0, key: str = "bag") -> DataFrame:
+def stretches(pairs: DataFrame, delta: float = 1.0, key: str = "bag") -> DataFrame:
     """The rows at which p has gone another `delta` since the row before that did."""
 
     def step(state: list, f: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +196,7 @@ def relative_errors(pairs: DataFrame, delta: float = 1.0, key: str = "bag") -> D
     """
     w = _w([key])
     whole = F.struct("seq", "px", "py", "pz", "pr", "qx", "qy", "qz", "qr")
-    d = travelled(pairs, delta, key).withColumn("n", F.lead(whole).over(w)).filter("n IS NOT NULL")
+    d = stretches(pairs, delta, key).withColumn("n", F.lead(whole).over(w)).filter("n IS NOT NULL")
     moved, turns = [], []
     for s in "pq":
         r, step_ = F.col(f"{s}r"), [F.col(f"n.{s}{c}") - F.col(f"{s}{c}") for c in "xyz"]

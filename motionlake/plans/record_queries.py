@@ -155,7 +155,7 @@ def bag_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.metadata(m, topics)
 
 
-@query(f"""WITH {P.POINTS_SQL} SELECT frame, count(*) AS messages, count(*) FILTER (u <> v) AS changed, sum(u) AS steps FROM pt GROUP BY frame""")
+@query(f"""WITH {P.POINTS_SQL} SELECT frame, count(*) AS messages, count(*) FILTER (u <> v) AS changed, CAST(sum(u) AS BIGINT) AS steps FROM pt GROUP BY frame""")
 def step_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads with a width and another row length, mended and read again."""
     number = lambda c: F.concat(*(F.substring(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), 4 - i, 1) for i in range(4)))
@@ -172,14 +172,16 @@ def imu_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.imu_rest(P.poses(spark, sf_dir)).withColumns({"rate_hz": F.round("rate_hz", 9), "gravity": F.round("gravity", 6)})
 
 
-@query(f"""WITH {P.MESSAGES_SQL}, a AS (SELECT * FROM m WHERE topic = '{P.LEFT}' AND bag % 3 > 0), b AS (SELECT * FROM m WHERE topic = '{P.RIGHT}'),
-t AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE bag NOT IN (SELECT bag FROM a)), s AS (SELECT bag, count(*) AS events FROM m WHERE topic = '{P.IMU}' GROUP BY bag)
-SELECT bag, topic, n, events FROM (SELECT bag, topic, count(*) AS n FROM t GROUP BY bag, topic) LEFT JOIN s USING (bag)""")
+@query(f"""WITH {P.MESSAGES_SQL}, d AS (SELECT bag * 100000 + us // 86400000000 AS run, topic FROM m), a AS (SELECT * FROM d WHERE topic = '{P.LEFT}'),
+t AS (SELECT * FROM a UNION ALL SELECT * FROM d WHERE topic = '{P.RIGHT}' AND run NOT IN (SELECT run FROM a)),
+s AS (SELECT run, count(*) AS events FROM d WHERE topic = '{P.IMU}' GROUP BY run)
+SELECT run, topic, n, events FROM (SELECT run, topic, count(*) AS n FROM t GROUP BY run, topic) LEFT JOIN s USING (run)""")
 def run_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The better trajectory of each run, which a third of them lack, else the other one, with a summary where there is one."""
-    best = D.preferred(side(spark, sf_dir, P.LEFT).filter("bag % 3 > 0"), side(spark, sf_dir, P.RIGHT))
-    summary = side(spark, sf_dir, P.IMU).groupBy("bag").agg(F.count("*").alias("events"))
-    return best.groupBy("bag", "topic").agg(F.count("*").alias("n")).join(summary, "bag", "left")
+    """The better trajectory of each recording's day, else the other one, with a summary where there is one."""
+    d = P.messages(spark, sf_dir).select((F.col("bag") * 100000 + F.expr("us div 86400000000")).alias("run"), "topic")
+    best = D.preferred(d.filter(F.col("topic") == P.LEFT), d.filter(F.col("topic") == P.RIGHT), "run")
+    summary = d.filter(F.col("topic") == P.IMU).groupBy("run").agg(F.count("*").alias("events"))
+    return best.groupBy("run", "topic").agg(F.count("*").alias("n")).join(summary, "run", "left")
 
 
 # -- associations -----------------------------------------------------------------------------
