@@ -26,6 +26,11 @@ def depth(disparity: Column, camera: Camera = MAPPING, least: float = 1.0) -> Co
     return F.when(disparity > least, camera.fx * camera.baseline / disparity)
 
 
+def rescaled(disparity: Column, made_at: int, width: int) -> Column:
+    """A disparity of a picture that is `made_at` pixels wide, in pixels of one `width` wide."""
+    return disparity * (width / made_at)
+
+
 def millimetres(z: Column) -> Column:
     """Whole millimetres in 16 bits, cut off."""
     return F.least(F.lit(65535), F.greatest(F.lit(0), (z * 1000).cast("int")))

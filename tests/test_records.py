@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motionlake.functions import geometry as G
 from motionlake.operators import timeseries as T
 from motionlake.operators import touch as H
 from motionlake.operators import trajectory as R
@@ -145,6 +146,10 @@ def test_time_sync_of_streams(spark, tmp_path):
     assert sorted((r.left_id, r.right_id) for r in spark.table("synced").collect()) == [(i, i) for i in range(20)]
 
 
+def test_disparity_in_wider_pixels(spark):
+    assert spark.range(1).select(G.rescaled(F.lit(3.0), 480, 960)).first()[0] == 6.0
+
+
 def test_association_of_empty_sides(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (2, 5, 3)], "bag long, us long, id long")
     b = spark.createDataFrame([(1, 12, 4), (3, 7, 5)], "bag long, us long, id long")
