@@ -201,3 +201,16 @@ def test_metadata_is_yaml(spark):
     got = yaml.safe_load(B.metadata(m, topics).first().value)["rosbag2_bagfile_information"]
     assert got["duration"] == {"nanoseconds": 4000} and got["files"][0]["path"] == "7.db3" and got["message_count"] == 2
     assert [(t["topic_metadata"]["name"], t["topic_metadata"]["offered_qos_profiles"], t["message_count"]) for t in got["topics_with_message_count"]] == [("a", "", 0), ("b", "it's", 2)]
+
+
+def test_turn_errors_against_plain_python(spark):
+    pairs = Q.turned_pairs(spark, SF).filter("bag = 1")
+    d = pairs.toPandas().sort_values("seq")
+    p, q = d[["px", "py", "pz"]].to_numpy(), d[["qx", "qy", "qz"]].to_numpy()
+    u, _, vt = np.linalg.svd((p - p.mean(0)).T @ (q - q.mean(0)))
+    r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+    got = {x.seq: x.angle for x in R.turn_errors(pairs).collect()}
+    for seq, a, b in zip(d.seq, d.pr, d.qr):
+        trace = np.trace((r @ np.array(a).reshape(3, 3)).T @ np.array(b).reshape(3, 3))
+        assert abs(got[seq] - np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1)))) < 1e-4
+    assert len(got) == len(d) > 5
