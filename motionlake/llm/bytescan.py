@@ -15,6 +15,9 @@ SLICE = 1 << 20
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: All that separates terms: ASCII other than digits and letters. Bytes of other characters are part of terms.
+TERM_BREAKS = np.arange(256) < 0x80
+TERM_BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,9 +70,9 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each text and the total): maximal runs of other than white space."""
-    solid = ~_SPACES[data]
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text and the total): maximal runs of bytes that are no breaks."""
+    solid = ~breaks[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begin, stop = solid.copy(), solid.copy()
