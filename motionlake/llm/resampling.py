@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import releasing, scratch, small_batches, stored, table
+from .common import digest_column, releasing, scratch, small_batches, stored, table
 from .sharding import numbered
 
 BUCKETS = 10_000
@@ -172,10 +172,10 @@ def _weigher(gain: np.ndarray, keep: int, most: int):
 def weighed(df: DataFrame, gain: DataFrame, text: str = "text", keep: list[str] | None = None, most: int = MOST) -> DataFrame:
     """The columns `keep` (all that df has) with n_words, n_features and weight, the floored mean gain."""
     small_batches(df.sparkSession)
-    own = {"n_words", "n_features", "weight"}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in own]
+    df = df.drop("n_words", "n_features", "weight")
+    keep = df.columns if keep is None else keep
     table_ = np.array([r.gain for r in gain.orderBy("bucket").collect()], np.int64)  # one number for each bucket
-    source = df.select(*keep, F.col(text).alias("_text_of_all"))
+    source = df.select(*keep, F.col(text).alias(digest_column("_text", df.columns)))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
     return source.mapInArrow(releasing(_weigher(table_, len(keep), most)), f"{kinds}n_words long, n_features long, weight long")
 
@@ -194,13 +194,14 @@ def drawn(df: DataFrame, key: str = "doc_id", percent: int = PERCENT, least: int
     everything are told apart by where they stand, so they fall into several ranges.
     """
     df = df.drop("score", "rank")
+    down, no_key, tie = (digest_column(c, df.columns) for c in ("_down", "_no_key", "_tie"))
     scored = df.withColumn("score", F.col("weight") + gumbel(F.col(key), seed))
-    scored = stored(scored.withColumns({"_down": -F.col("score"), "_no_key": F.col(key).isNull(), "_tie": F.monotonically_increasing_id()}), "scored")
+    scored = stored(scored.withColumns({down: -F.col("score"), no_key: F.col(key).isNull(), tie: F.monotonically_increasing_id()}), "scored")
     pool = scored.filter(F.col("n_words") >= least)
-    ranked, n = numbered(pool, ["_down", "_no_key", key, "n_features", "_tie"], "rank")
+    ranked, n = numbered(pool, [down, no_key, key, "n_features", tie], "rank")
     rank = F.when(F.col("rank") < percent * n // 100, F.col("rank") + 1)
     rest = scored.filter(F.col("n_words") < least).withColumn("rank", F.lit(None).cast("long"))
-    return ranked.withColumn("rank", rank).unionByName(rest).drop("_down", "_no_key", "_tie")
+    return ranked.withColumn("rank", rank).unionByName(rest).drop(down, no_key, tie)
 
 
 def resampled(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", target_text: str = "text", keep: list[str] | None = None, percent: int = PERCENT, least: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
