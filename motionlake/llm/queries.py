@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, near_dedup, pieces, quality, resampling, secrets, sharding, suffix_dedup, token_counts, url_filters, warc
+from . import decontaminate, langid, near_dedup, pieces, quality, resampling, search, secrets, sharding, suffix_dedup, token_counts, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_randomness_tests": secrets.op9_randomness_tests,
     "op10_positional_index": decontaminate.op10_positional_index,
     "op10_proximity": decontaminate.op10_proximity,
+    "op11_maxscore_search": search.op11_maxscore_search,
     "op12_transducer_counts": token_counts.op12_transducer_counts,
     "op13_crc_resampling": resampling.op13_crc_resampling,
 }
@@ -32,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_column_suffixes": suffix_dedup.oracle(),
     "op8_link_trust": url_filters.oracle(),
     "op10_positional_index": decontaminate.oracle(),
+    "op11_maxscore_search": search.oracle(),
     "op13_crc_resampling": resampling.oracle(),
 }
