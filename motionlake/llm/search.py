@@ -103,12 +103,12 @@ class Shard:
             yield pa.RecordBatch.from_arrays([*part, pa.nulls(n, pa.list_(kind))], names)
 
 
-def _inverter(postings: int):
+def _inverter(postings: int, step: int):
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, shard, kind = TaskContext.get().partitionId(), 0, Shard(), None
         for batch in batches:
             keys, kind = batch.column(0), batch.schema.field(0).type
-            for i, j, data, offsets in bytescan.text_slices(batch.column(1)):
+            for i, j, data, offsets in bytescan.text_slices(batch.column(1), step):
                 shard.add(keys.slice(i, j - i), data, offsets)
                 if shard.postings >= postings:
                     yield from shard.rows(f"{task}-{made}", kind)
@@ -119,8 +119,8 @@ def _inverter(postings: int):
     return invert
 
 
-def inverted(docs: DataFrame, key: str = "doc_id", text: str = "text", postings: int = POSTINGS) -> DataFrame:
-    """The index: (shard, term, rows, counts, keys).
+def inverted(docs: DataFrame, key: str = "doc_id", text: str = "text", postings: int = POSTINGS, step: int = bytescan.SLICE) -> DataFrame:
+    """The index: (shard, term, rows, counts, keys). A shard ends with the `step` bytes of text that reach `postings`.
 
     A row with a term has the documents of the shard that hold it, numbered from 0, and how
     often; the row without a term has all documents' lengths as counts, and their keys.
@@ -128,7 +128,7 @@ def inverted(docs: DataFrame, key: str = "doc_id", text: str = "text", postings:
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(releasing(_inverter(postings)), f"shard string, term string, rows array<int>, counts array<int>, keys array<{kind}>")
+    return source.mapInArrow(releasing(_inverter(postings, step)), f"shard string, term string, rows array<int>, counts array<int>, keys array<{kind}>")
 
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
