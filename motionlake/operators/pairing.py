@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import has_long_key, scanned
 from .timeseries import ordered
 
 
@@ -33,18 +34,24 @@ def stereo_pairs(
     return ok.groupBy(*key, F.col("_held.id").alias("left_id"), F.col("_held.pose_id").alias("pose_id")).agg(F.min_by("id", F.struct("us", "id")).alias("right_id"))
 
 
-def next_right(lefts: DataFrame, rights: DataFrame, positions: Sequence[int] | None = None, key: Sequence[str] = ("bag",)) -> DataFrame:
+def next_right(lefts: DataFrame, rights: DataFrame, positions: Sequence[int] | None = None, key: Sequence[str] = ("bag",), ranges: int | None = None) -> DataFrame:
     """(key, position, left_id, right_id): the first right that comes after each left.
 
     Lefts are counted from 1; with `positions` only those are paired. Lefts after the last
-    right go. One right can serve several lefts.
+    right go. One right can serve several lefts. Long keys are cut into ranges of time,
+    always where `ranges` tells how many.
     """
-    a = lefts.select(*key, "us", "id", F.row_number().over(ordered(*key)).alias("position"))
-    b = rights.select(*key, "us", "id", F.col("id").alias("right_id"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    back = Window.partitionBy(*key).orderBy(F.desc("us"), F.desc("id"), F.col("position").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("right_id", F.last("right_id", True).over(back))
-    out = both.filter("position IS NOT NULL AND right_id IS NOT NULL")
+    a = lefts.select(*key, "us", "id", F.lit(False).alias("_right"))
+    b = rights.select(*key, "us", "id", F.lit(True).alias("_right"))
+    both, order = a.unionByName(b), ["us", "id", "_right"]
+    right, left = F.when(F.col("_right"), F.col("id")), F.when(~F.col("_right"), 1)
+    if ranges or has_long_key(both, key):
+        both = scanned(both, key, order, after={"right_id": right}, sums={"position": left}, ranges=ranges)
+    else:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        back = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumns({"right_id": F.last(right, True).over(back), "position": F.sum(left).over(w)})
+    out = both.filter("NOT _right AND right_id IS NOT NULL")
     if positions is not None:
         out = out.filter(F.col("position").isin(*positions))
-    return out.select(*key, "position", F.col("id").alias("left_id"), "right_id")
+    return out.select(*key, F.col("position").cast("int").alias("position"), F.col("id").alias("left_id"), "right_id")

@@ -1,7 +1,7 @@
 """Time-stamped messages: rates and gaps, nearest-time joins, repair, decimation, windows.
 
 Every operator works within a recording (the `key` columns), so a plan has one exchange
-on that key; ties in time are broken by `id`.
+on that key; as-of joins cut long recordings into ranges of time. Ties in time are broken by `id`.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import RANGE, has_long_key, scanned
+
 
 def ordered(*key: str):
     return Window.partitionBy(*key).orderBy("us", "id")
@@ -42,20 +44,28 @@ def topic_counts(messages: DataFrame) -> DataFrame:
     return every.join(counts, ["bag", "topic"], "left").fillna(0, ["n"])
 
 
-def neighbours(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",)) -> DataFrame:
-    """left with before_us (last right at or before) and after_us (first right after) of its key."""
+def neighbours(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",), ranges: int | None = None) -> DataFrame:
+    """left with before_us (last right at or before) and after_us (first right after) of its key.
+
+    Long keys are cut into ranges of time (scans.scanned), always where `ranges` tells how
+    many; short ones are a task's each.
+    """
     a = left.select(*key, "us", "id", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_r"))
     b = right.select(*key, "us", "id", F.lit(0).alias("_side"), F.col("us").alias("_r"))
+    both, order = a.unionByName(b), ["us", "_side", "id"]
+    if ranges or has_long_key(both, key):
+        both = scanned(both, key, order, before={"before_us": F.col("_r")}, after={"after_us": F.col("_r")}, ranges=ranges).drop(RANGE)
+        return both.filter("_side = 1").drop("_side", "_r")
     # both look back from a row, one of them in the turned order: a frame up to the end is summed anew for each row
-    w = Window.partitionBy(*key).orderBy("us", "_side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*key).orderBy(F.desc("us"), F.desc("_side"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("before_us", F.last("_r", True).over(w)).withColumn("after_us", F.last("_r", True).over(back))
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("before_us", F.last("_r", True).over(w)).withColumn("after_us", F.last("_r", True).over(back))
     return both.filter("_side = 1").drop("_side", "_r")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",)) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",), ranges: int | None = None) -> DataFrame:
     """left with the nearest right time and the signed offset; equal distances take the one before."""
-    n = neighbours(left, right, key)
+    n = neighbours(left, right, key, ranges)
     late, early = F.col("after_us") - F.col("us"), F.col("us") - F.col("before_us")
     pick = F.when(F.col("before_us").isNull() | (late < early), F.col("after_us")).otherwise(F.col("before_us"))
     return n.withColumn("near_us", pick).filter("near_us IS NOT NULL").withColumn("offset_us", F.col("near_us") - F.col("us"))
@@ -65,9 +75,9 @@ def sync_verdict(worst_ms: Column, p99_ms: Column) -> Column:
     return F.when(worst_ms < 1, "hardware").when(p99_ms < 15, "software").otherwise("unsynchronised")
 
 
-def forward(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",)) -> DataFrame:
+def forward(left: DataFrame, right: DataFrame, key: Sequence[str] = ("bag",), ranges: int | None = None) -> DataFrame:
     """The first right at or after each left; lefts without one go."""
-    n = neighbours(left.withColumn("us", F.col("us") - 1), right, key)  # "after" is strict, so step back one tick
+    n = neighbours(left.withColumn("us", F.col("us") - 1), right, key, ranges)  # "after" is strict, so step back one tick
     return n.filter("after_us IS NOT NULL").withColumns({"us": F.col("us") + 1}).drop("before_us")
 
 

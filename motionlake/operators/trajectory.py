@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.filters import folded
+from ..streaming.folds import folded
+from .scans import RANGE, has_long_key, scanned
 
 KEY = ("bag",)
 
@@ -57,10 +58,15 @@ def summary(poses: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     }).drop("a", "b", "speed_p99")
 
 
-def travelled(poses: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """poses with the distance travelled so far."""
-    w = _w(key).rowsBetween(Window.unboundedPreceding, 0)
-    return steps(poses, key).withColumn("distance", F.sum(F.coalesce("step", F.lit(0.0))).over(w))
+def travelled(poses: DataFrame, key: Sequence[str] = KEY, ranges: int | None = None) -> DataFrame:
+    """poses with the step before, its time and the distance travelled so far; long runs are cut into ranges, always where `ranges` tells how many."""
+    if not (ranges or has_long_key(poses, key)):
+        w = _w(key).rowsBetween(Window.unboundedPreceding, 0)
+        return steps(poses, key).withColumn("distance", F.sum(F.coalesce("step", F.lit(0.0))).over(w))
+    rows = scanned(poses, key, ["seq"], previous={"_p": F.struct("x", "y", "z", "ts")}, ranges=ranges)
+    step = norm(*(F.col(a) - F.col(f"_p.{a}") for a in "xyz"))
+    rows = rows.withColumns({"step": step, "dt": F.col("ts") - F.col("_p.ts")}).drop("_p")
+    return scanned(rows, key, ["seq"], sums={"distance": F.coalesce("step", F.lit(0.0))}).drop(RANGE)
 
 
 def smoothed7(df: DataFrame, column: str, key: Sequence[str] = KEY) -> DataFrame:

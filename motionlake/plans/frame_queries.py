@@ -116,11 +116,16 @@ def _long(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
     return side(spark, sf_dir, topic).withColumn("bag", F.lit(0).cast("long"))
 
 
+def _ranges(spark: SparkSession) -> int:
+    """A whole topic is one key here, so it is cut even where it is short."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query(f"""WITH {P.MESSAGES_SQL}, a AS (SELECT id, us FROM m WHERE topic = '{P.LEFT}'), b AS (SELECT DISTINCT us FROM m WHERE topic = '{P.RIGHT}')
 SELECT a.id, x.us AS before_us, y.us AS after_us FROM (SELECT * FROM a ASOF LEFT JOIN b x ON a.us >= x.us) a(id, us, before_us)
   LEFT JOIN b x ON x.us = a.before_us ASOF LEFT JOIN b y ON a.us < y.us""")
 def asof_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.neighbours(_long(spark, sf_dir, P.LEFT), _long(spark, sf_dir, P.RIGHT)).select("id", "before_us", "after_us")
+    return T.neighbours(_long(spark, sf_dir, P.LEFT), _long(spark, sf_dir, P.RIGHT), ranges=_ranges(spark)).select("id", "before_us", "after_us")
 
 
 @query(f"""WITH {P.MESSAGES_SQL}, a AS (SELECT id, us FROM m WHERE topic = '{P.LEFT}'), b AS (SELECT us, id FROM m WHERE topic = '{P.RIGHT}'),
@@ -128,4 +133,4 @@ u AS (SELECT us, id, 1 AS l, NULL AS r FROM a UNION ALL SELECT us, id, 0, id FRO
 w AS (SELECT id, l, first_value(r IGNORE NULLS) OVER (ORDER BY us, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS right_id FROM u)
 SELECT id AS left_id, right_id FROM w WHERE l = 1 AND right_id IS NOT NULL""")
 def next_right_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.next_right(_long(spark, sf_dir, P.LEFT), _long(spark, sf_dir, P.RIGHT)).select("left_id", "right_id")
+    return A.next_right(_long(spark, sf_dir, P.LEFT), _long(spark, sf_dir, P.RIGHT), ranges=_ranges(spark)).select("left_id", "right_id")

@@ -12,7 +12,7 @@ from ..operators import markers as M
 from ..operators import pairing as A
 from ..operators import spatial as S
 from ..streaming import joints as N
-from .queries import TOLERANCE_US, _rays, query, side
+from .queries import TOLERANCE_US, _rays, clips, query, side
 
 
 def _exact(value: float) -> str:
@@ -90,7 +90,7 @@ def joint_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deep(spark, sf_dir).select((F.col("frame") % 10).alias("stream"), F.col("hand").alias("track"), F.expr("frame div 10").alias("frame"), (F.col("frame") / 30.0).alias("t"), "k")
+    return _deep(spark, sf_dir).select(*clips(F.col("frame")), F.col("hand").alias("track"), "k")
 
 
 @query()

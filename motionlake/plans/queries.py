@@ -434,19 +434,27 @@ def json_rgb_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), G.packed_rgb(i % 256, i % 200, i % 100).alias("rgb"), J.touching(F.col("value") / 100).alias("touch"))
 
 
+def clips(frame: Column, length: int = 100) -> list[Column]:
+    """(stream, frame, t): recordings of `length` frames each, so that there are more of them the longer the table is."""
+    return [F.call_function("div", frame, F.lit(length)).alias("stream"), (frame % length).alias("frame"), (frame / 30.0).alias("t")]
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, frame, det, t, x, y, side, k) of all hands."""
+    k = F.col("k")
+    return P.hands(spark, sf_dir).select(
+        *clips(F.col("frame")), F.col("hand").alias("det"), (k[0]["x"] * 10).alias("x"), (k[0]["y"] * 10).alias("y"), J.chirality(k).alias("side"), "k",
+    )
+
+
 @query()
 def hand_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = P.hands(spark, sf_dir)
-    k = F.col("k")
-    d = h.select((F.col("frame") % 10).alias("stream"), F.expr("frame div 10").alias("frame"), F.col("hand").alias("det"), (F.col("frame") / 30.0).alias("t"), (k[0]["x"] * 10).alias("x"), (k[0]["y"] * 10).alias("y"), J.chirality(k).alias("side"))
-    return L.hand_tracks(d)
+    return L.hand_tracks(detections(spark, sf_dir))
 
 
 @query()
 def body_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = P.hands(spark, sf_dir)
-    k = F.col("k")
-    return L.body_tracks(h.select((F.col("frame") % 10).alias("stream"), F.expr("frame div 10").alias("frame"), F.col("hand").alias("det"), (k[0]["x"] * 10).alias("x"), (k[0]["y"] * 10).alias("y")))
+    return L.body_tracks(detections(spark, sf_dir))
 
 
 # -- relational coverage on the driver's tables ----------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import proxies as P
@@ -15,7 +15,7 @@ from ..operators import trajectory as R
 from ..sources import datasets as D
 from ..sources import recordings as B
 from ..streaming import poses as L
-from .queries import TOLERANCE_US, query, side
+from .queries import TOLERANCE_US, clips, detections, query, side
 
 _C = G.MAPPING
 SIDE, STRIDE = 8, 2
@@ -76,35 +76,24 @@ def button_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.points(spark, sf_dir).select("frame", "seq", hit.alias("button"), J.touching(F.col("z")).alias("touched")).filter("button IS NOT NULL")
 
 
-def _stream(f: Column) -> list[Column]:
-    return [(f % 10).alias("stream"), F.expr("frame div 10").alias("frame"), (f / 30.0).alias("t")]
-
-
 @query()
 def touch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")[8]
     tips = P.hands(spark, sf_dir).select(
-        *_stream(F.col("frame")), F.col("hand").alias("det"), F.col("hand").alias("track"), (F.abs(k["x"]) * 4).alias("u"), (F.abs(k["y"]) * 4).alias("v"),
+        *clips(F.col("frame")), F.col("hand").alias("det"), F.col("hand").alias("track"), (F.abs(k["x"]) * 4).alias("u"), (F.abs(k["y"]) * 4).alias("v"),
         (0.1 + F.abs(k["x"]) / 100).alias("z"), k["c"].alias("c"), F.abs(k["x"]).alias("px"), F.abs(k["y"]).alias("py"),
     )
     return H.touch_events(tips, BUTTONS)
 
 
-def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    return P.hands(spark, sf_dir).select(
-        *_stream(F.col("frame")), F.col("hand").alias("det"), (k[0]["x"] * 10).alias("x"), (k[0]["y"] * 10).alias("y"), J.chirality(k).alias("side"), "k",
-    )
-
-
 @query()
 def hand_pose_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.hand_poses(_detections(spark, sf_dir))
+    return L.hand_poses(detections(spark, sf_dir))
 
 
 @query()
 def body_pose_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.body_poses(_detections(spark, sf_dir).withColumn("k", F.slice("k", 1, 17)))
+    return L.body_poses(detections(spark, sf_dir).withColumn("k", F.slice("k", 1, 17)))
 
 
 # -- records ----------------------------------------------------------------------------------

@@ -1,91 +1,15 @@
-"""Recordings in SQLite files: a data source for their messages, a writer, payload decoding."""
+"""Payloads of recordings: fields, numbers, pixels, mended row lengths; metadata. The files themselves are in bags.py."""
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MESSAGE = "bag string, id long, topic string, type string, us long, data binary"
-# The tables of a recording.
-DDL = (
-    "CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT NOT NULL, type TEXT NOT NULL, serialization_format TEXT NOT NULL, offered_qos_profiles TEXT NOT NULL)",
-    "CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER NOT NULL, timestamp INTEGER NOT NULL, data BLOB NOT NULL)",
-)
+from .bags import RecordingSource, copied, register, write_recordings
 
-
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-        self.low, self.high = int(options.get("from_us", -(2**62))), int(options.get("to_us", 2**62))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            yield from (
-                (partition.path, i, name, kind, ns // 1000, data)
-                for i, name, kind, ns, data in db.execute(
-                    "SELECT m.id, t.name, t.type, m.timestamp, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.timestamp BETWEEN ? AND ? ORDER BY m.timestamp, m.id",
-                    (max(self.low * 1000, -(2**63)) if abs(self.low) < 2**53 else -(2**63), self.high * 1000 + 999 if self.high < 2**53 else 2**63 - 1),
-                )
-            )
-
-
-class RecordingSource(DataSource):
-    """spark.read.format("recording").option("paths", "a.db3,b.db3").option("from_us", ...)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "recording"
-
-    def schema(self) -> str:
-        return MESSAGE
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RecordingSource)
-
-
-def write_recordings(messages: DataFrame, folder: str, batch: int = 500) -> DataFrame:
-    """One SQLite file per bag, written in its own task; (bag, path, messages, first_us, last_us).
-
-    The folder must be one that all machines share.
-    """
-
-    def save(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["us", "id"])
-        path = f"{folder}/{f['bag'].iloc[0]}.db3"
-        topics = {t: i + 1 for i, t in enumerate(sorted(f["topic"].unique()))}
-        open(path, "wb").close()
-        db = sqlite3.connect(path)
-        for line in DDL:
-            db.execute(line)
-        db.executemany("INSERT INTO topics VALUES (?, ?, ?, 'cdr', '')", [(i, t, "raw") for t, i in topics.items()])
-        rows = [(topics[t], int(us) * 1000, bytes(d)) for t, us, d in zip(f["topic"], f["us"], f["data"])]
-        for i in range(0, len(rows), batch):
-            db.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", rows[i : i + batch])
-            db.commit()
-        db.execute("CREATE INDEX by_time ON messages (timestamp)")
-        db.commit()
-        db.close()
-        return pd.DataFrame({"bag": [f["bag"].iloc[0]], "path": [path], "messages": [len(f)], "first_us": [int(f["us"].min())], "last_us": [int(f["us"].max())]})
-
-    kind = dict(messages.dtypes)["bag"]
-    return messages.select("bag", "id", "topic", "us", F.col("data").cast("binary").alias("data")).groupBy("bag").applyInPandas(save, f"bag {kind}, path string, messages long, first_us long, last_us long")
+__all__ = ["RecordingSource", "copied", "register", "write_recordings"]
 
 
 def little_endian(data: Column, at: Column | int, size: int = 4) -> Column:
@@ -154,6 +78,19 @@ def patched(messages: DataFrame, topics: Sequence[str], mark: str = "mono8") ->
     return messages.withColumn("_new", new).withColumns({"changed": ~F.col("_new").eqNullSafe(F.col("data")), "data": F.col("_new")}).drop("_new")
 
 
+def patch_recordings(spark: SparkSession, path: str, topics: Sequence[str], folder: str | None = None, mark: str = "mono8") -> int:
+    """Mend the row lengths in the recordings of a folder, in place or into another folder; the number of messages changed.
+
+    Files are written beside the old ones and take their place when all are ready.
+    """
+    register(spark)
+    mended = patched(spark.read.format("recording").load(path), topics, mark)
+    count = mended.filter("changed").count()
+    if count or folder:
+        copied(spark, path, folder or path, mended)
+    return count
+
+
 def metadata(messages: DataFrame, topics: DataFrame) -> DataFrame:
     """(bag, value): the YAML that goes beside a recording, from its real first and last times and counts.
 

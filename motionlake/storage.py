@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir and read from there; a temporary folder only where that is unset."""
+    """df, written to spark.checkpoint.dir and read from there.
+
+    Where that is unset in local mode (tests) a temporary folder is made and set; machines of
+    a cluster would not see each other's, so there it is an error.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="motionlake-"))
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .folds import folded
+from .frames import Kind, tracked, tracked_stream
+
 DEFAULT_STEP = 1 / 30
 
 
@@ -44,41 +46,6 @@ class OneEuro:
         return self.x
 
 
-def folded(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable, step: Callable, schema: str, unit: str | None = None) -> DataFrame:
-    """step(state, rows) over each key's rows in order, from start() on.
-
-    Rows of a key come to one task in sorted order and go through it batch by batch; only
-    the state, and with `unit` the rows of the unit that a batch ends in, are carried on.
-    """
-    whole = [*key, unit] if unit else []
-
-    def parts(f: pd.DataFrame, state: list) -> Iterator[pd.DataFrame]:
-        for k, rows in f.groupby(list(key), sort=False, dropna=False):
-            k = tuple(None if pd.isna(x) else x for x in k)
-            if not state or state[0] != k:
-                state[:] = [k, start()]
-            yield step(state[1], rows)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: list = []
-        held = None
-        for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            if not len(f):
-                continue
-            cut = len(f)
-            if whole:
-                other = np.flatnonzero(~(f[whole] == f[whole].iloc[-1]).all(axis=1).to_numpy())
-                cut = int(other[-1]) + 1 if len(other) else 0
-            held, f = (f.iloc[cut:] if cut < len(f) else None), f.iloc[:cut]
-            if len(f):
-                yield from parts(f, state)
-        if held is not None:
-            yield from parts(held, state)
-
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
-
-
 def one_euro(df: DataFrame, key: str, min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0) -> DataFrame:
     """(key, id, t, x, smooth) from (key, id, t, x), in the order of t and id; a null x starts the filter anew."""
 
@@ -162,10 +129,20 @@ class HandTracker:
             if side != "Unknown":
                 k.votes = [*k.votes, side][-self.VOTES :]
                 k.side = "Left" if 2 * k.votes.count("Left") >= len(k.votes) else "Right"
+        self.missing(1)
+        return [(taken[i].id, taken[i].side) for i in range(len(detections))]
+
+    def missing(self, frames: int) -> None:
+        """So many frames without detections."""
         for k in self.tracks:
-            k.missed += 1
+            k.missed += frames
         self.tracks = [k for k in self.tracks if k.missed <= self.EXPIRY]
-        return [(taken[i].id, taken[i].side) for i in range(len(detections))]
+
+    def saved(self) -> dict:
+        return {"next": self.next_id, "tracks": [asdict(k) for k in self.tracks]}
+
+    def restore(self, saved: dict) -> None:
+        self.next_id, self.tracks = saved["next"], [Track(**k) for k in saved["tracks"]]
 
 
 class BodyTracker:
@@ -175,44 +152,55 @@ class BodyTracker:
 
     def __init__(self) -> None:
         self.boxes: dict[int, tuple[float, float]] = {}
+        self.begun: list[bool] = []
 
     def frame(self, detections: list[tuple[float, float]]) -> list[int]:
-        out = []
+        """The person of each detection; `begun` tells which of them nobody was near."""
+        out, self.begun = [], []
         for x, y in detections:
             near = [(math.hypot(x - a, y - b), n, k) for n, (k, (a, b)) in enumerate(self.boxes.items())]
             best = min(near, default=(self.REACH, 0, 0))
             k = best[2] if best[0] < self.REACH else next((i for i in range(self.IDS) if i not in self.boxes), 0)
+            self.begun.append(not best[0] < self.REACH)
             self.boxes[k] = (x, y)
             out.append(k)
         self.boxes = {k: v for k, v in self.boxes.items() if k in out}
         return out
 
+    def missing(self, frames: int) -> None:
+        """So many frames without detections; one is enough for all to go."""
+        if frames > 0:
+            self.boxes = {}
 
-def hand_tracks(detections: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, frame, det, track, side) from (key, frame, det, t, x, y, side); frames of a stream are in order."""
+    def saved(self) -> dict:
+        return {"boxes": [[k, *at] for k, at in self.boxes.items()]}
 
-    def step(tracker: HandTracker, f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for frame, g in f.groupby("frame", sort=False):
-            found = tracker.frame(float(g["t"].iloc[0]), list(zip(g["x"], g["y"], g["side"])))
-            out += [(g[key].iloc[0], frame, d, i, s) for d, (i, s) in zip(g["det"], found)]
-        return pd.DataFrame(out, columns=[key, "frame", "det", "track", "side"])
+    def restore(self, saved: dict) -> None:
+        self.boxes = {k: (x, y) for k, x, y in saved["boxes"]}
 
-    rows = detections.select(key, "frame", "det", "t", "x", "y", "side")
-    return folded(rows, [key], ["frame", "det"], HandTracker, step, f"{key} long, frame long, det int, track int, side string", "frame")
 
+HANDS = Kind(HandTracker, ("x", "y", "side"), "track int, side string", lambda hands, t, found: hands.frame(t, found), HandTracker.EXPIRY)
+BODIES = Kind(BodyTracker, ("x", "y"), "person int", lambda bodies, _, found: [(i,) for i in bodies.frame(found)], 0)
 
-def body_tracks(detections: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, frame, det, person) from (key, frame, det, x, y)."""
 
-    def step(tracker: BodyTracker, f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for frame, g in f.groupby("frame", sort=False):
-            out += [(g[key].iloc[0], frame, d, i) for d, i in zip(g["det"], tracker.frame(list(zip(g["x"], g["y"]))))]
-        return pd.DataFrame(out, columns=[key, "frame", "det", "person"])
+def hand_tracks(detections: DataFrame, key: str = "stream", frames: DataFrame | None = None, period: float | None = None) -> DataFrame:
+    """(key, frame, det, track, side) from (key, frame, det, t, x, y, side); see frames.tracked."""
+    return tracked(detections, HANDS, key, frames, period)
+
+
+def body_tracks(detections: DataFrame, key: str = "stream", frames: DataFrame | None = None, period: float | None = None) -> DataFrame:
+    """(key, frame, det, person) from (key, frame, det, t, x, y); see frames.tracked."""
+    detections = detections if "t" in detections.columns else detections.withColumn("t", F.lit(0.0))
+    return tracked(detections, BODIES, key, frames, period)
+
+
+def hand_tracks_stream(detections: DataFrame, key: str = "stream", time: str = "ts", period: float | None = None) -> DataFrame:
+    """hand_tracks of a stream; see frames.tracked_stream."""
+    return tracked_stream(detections, HANDS, key, time, period)
+
 
-    rows = detections.select(key, "frame", "det", "x", "y")
-    return folded(rows, [key], ["frame", "det"], BodyTracker, step, f"{key} long, frame long, det int, person int", "frame")
+def body_tracks_stream(detections: DataFrame, key: str = "stream", time: str = "ts", period: float | None = None) -> DataFrame:
+    return tracked_stream(detections, BODIES, key, time, period)
 
 
 def windowed(df: DataFrame, time: str = "ts", length: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ from statistics import median
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .filters import OneEuro, folded
+from .filters import OneEuro
+from .folds import folded
 
 JOINT = "array<struct<x:double,y:double,z:double,c:double>>"
 Joint = tuple[float, float, float, float]

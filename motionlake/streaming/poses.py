@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Container, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .filters import BodyTracker, HandTracker, OneEuro, folded
+from .filters import BodyTracker, HandTracker, OneEuro
+from .frames import Kind, tracked, tracked_stream
 
 Joint = tuple[float, float, float]
 JOINTS = "array<struct<x:double,y:double,c:double>>"
@@ -17,6 +17,15 @@ def _filters(n: int, min_cutoff: float, beta: float) -> list[tuple[OneEuro, OneE
     return [(OneEuro(min_cutoff, beta), OneEuro(min_cutoff, beta)) for _ in range(n)]
 
 
+def _saved(filters: dict[int, list[tuple[OneEuro, OneEuro]]]) -> list:
+    return [[i, [[f.x, f.dx, f.t] for pair in every for f in pair]] for i, every in filters.items()]
+
+
+def _restored(saved: list, min_cutoff: float, beta: float) -> dict[int, list[tuple[OneEuro, OneEuro]]]:
+    made = {i: [OneEuro(min_cutoff, beta, x=x, dx=dx, t=t) for x, dx, t in flat] for i, flat in saved}
+    return {i: list(zip(flat[::2], flat[1::2])) for i, flat in made.items()}
+
+
 class HandPoses:
     """Tracked hands with a filter per joint.
 
@@ -36,8 +45,7 @@ class HandPoses:
         """(track id, side, joints) for each detection (x, y, side, joints)."""
         found = self.tracker.frame(t, [d[:3] for d in detections])
         tracks = {k.id: k for k in self.tracker.tracks}
-        self.filters = {i: f for i, f in self.filters.items() if i in tracks}
-        self.sure = {i: s for i, s in self.sure.items() if i in tracks}
+        self._keep(tracks)
         out = []
         for (i, side), (*_, joints) in zip(found, detections):
             filters = self.filters.setdefault(i, _filters(len(joints), self.MIN_CUTOFF, self.BETA))
@@ -55,6 +63,22 @@ class HandPoses:
             out.append((i, side, smooth))
         return out
 
+    def _keep(self, ids: Container[int]) -> None:
+        self.filters = {i: f for i, f in self.filters.items() if i in ids}
+        self.sure = {i: s for i, s in self.sure.items() if i in ids}
+
+    def missing(self, frames: int) -> None:
+        self.tracker.missing(frames)
+        self._keep({k.id for k in self.tracker.tracks})
+
+    def saved(self) -> dict:
+        return {"tracker": self.tracker.saved(), "filters": _saved(self.filters), "sure": list(self.sure.items())}
+
+    def restore(self, saved: dict) -> None:
+        self.tracker.restore(saved["tracker"])
+        self.filters = _restored(saved["filters"], self.MIN_CUTOFF, self.BETA)
+        self.sure = {i: [tuple(at) for at in every] for i, every in saved["sure"]}
+
 
 class BodyPoses:
     """Tracked persons with a filter per joint; joints that are not sure pass and start theirs anew."""
@@ -69,8 +93,10 @@ class BodyPoses:
         """(person, joints) for each detection (x, y, joints)."""
         found = self.tracker.frame([d[:2] for d in detections])
         out = []
-        for i, (*_, joints) in zip(found, detections):
-            filters = self.filters.setdefault(i, _filters(len(joints), self.MIN_CUTOFF, self.BETA))
+        for i, begun, (*_, joints) in zip(found, self.tracker.begun, detections):
+            if begun:  # also where no id was free and a person's own is taken over
+                self.filters[i] = _filters(len(joints), self.MIN_CUTOFF, self.BETA)
+            filters = self.filters[i]
             smooth = []
             for n, (x, y, c) in enumerate(joints):
                 if c > self.SURE:
@@ -82,40 +108,48 @@ class BodyPoses:
         self.filters = {i: f for i, f in self.filters.items() if i in found}
         return out
 
+    def missing(self, frames: int) -> None:
+        self.tracker.missing(frames)
+        self.filters = self.filters if self.tracker.boxes else {}
+
+    def saved(self) -> dict:
+        return {"tracker": self.tracker.saved(), "filters": _saved(self.filters)}
+
+    def restore(self, saved: dict) -> None:
+        self.tracker.restore(saved["tracker"])
+        self.filters = _restored(saved["filters"], self.MIN_CUTOFF, self.BETA)
+
 
 def _structs(joints: list[Joint]) -> list[dict]:
     return [dict(zip("xyc", map(float, j))) for j in joints]
 
 
-def _tuples(k) -> list[Joint]:  # noqa: ANN001
-    return [(j["x"], j["y"], j["c"]) for j in k]
+def _run_hands(hands: HandPoses, t: float, found: list[tuple]) -> list[tuple]:
+    return [(i, side, _structs(k)) for i, side, k in hands.frame(t, found)]
 
 
-def hand_poses(detections: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, frame, det, track, side, k) from (key, frame, det, t, x, y, side, k), k with joints (x, y, c)."""
+def _run_bodies(bodies: BodyPoses, t: float, found: list[tuple]) -> list[tuple]:
+    return [(i, _structs(k)) for i, k in bodies.frame(t, found)]
 
-    def step(hands: HandPoses, f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for frame, g in f.groupby("frame", sort=False):
-            found = hands.frame(float(g["t"].iloc[0]), list(zip(g["x"], g["y"], g["side"], map(_tuples, g["k"]))))
-            out += [(g[key].iloc[0], frame, d, i, s, _structs(k)) for d, (i, s, k) in zip(g["det"], found)]
-        return pd.DataFrame(out, columns=[key, "frame", "det", "track", "side", "k"])
 
-    rows = detections.select(key, "frame", "det", "t", "x", "y", "side", "k")
-    kind = rows.schema[key].dataType.simpleString()
-    return folded(rows, [key], ["frame", "det"], HandPoses, step, f"{key} {kind}, frame long, det int, track int, side string, k {JOINTS}", "frame")
+HANDS = Kind(HandPoses, ("x", "y", "side", "k"), f"track int, side string, k {JOINTS}", _run_hands, HandTracker.EXPIRY)
+BODIES = Kind(BodyPoses, ("x", "y", "k"), f"person int, k {JOINTS}", _run_bodies, 0)
 
 
-def body_poses(detections: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, frame, det, person, k) from (key, frame, det, t, x, y, k)."""
+def hand_poses(detections: DataFrame, key: str = "stream", frames: DataFrame | None = None, period: float | None = None) -> DataFrame:
+    """(key, frame, det, track, side, k) from (key, frame, det, t, x, y, side, k), k with joints (x, y, c); see frames.tracked."""
+    return tracked(detections, HANDS, key, frames, period)
 
-    def step(bodies: BodyPoses, f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for frame, g in f.groupby("frame", sort=False):
-            found = bodies.frame(float(g["t"].iloc[0]), list(zip(g["x"], g["y"], map(_tuples, g["k"]))))
-            out += [(g[key].iloc[0], frame, d, i, _structs(k)) for d, (i, k) in zip(g["det"], found)]
-        return pd.DataFrame(out, columns=[key, "frame", "det", "person", "k"])
-
-    rows = detections.select(key, "frame", "det", "t", "x", "y", "k")
-    kind = rows.schema[key].dataType.simpleString()
-    return folded(rows, [key], ["frame", "det"], BodyPoses, step, f"{key} {kind}, frame long, det int, person int, k {JOINTS}", "frame")
+
+def body_poses(detections: DataFrame, key: str = "stream", frames: DataFrame | None = None, period: float | None = None) -> DataFrame:
+    """(key, frame, det, person, k) from (key, frame, det, t, x, y, k); see frames.tracked."""
+    return tracked(detections, BODIES, key, frames, period)
+
+
+def hand_poses_stream(detections: DataFrame, key: str = "stream", time: str = "ts", period: float | None = None) -> DataFrame:
+    """hand_poses of a stream; see frames.tracked_stream."""
+    return tracked_stream(detections, HANDS, key, time, period)
+
+
+def body_poses_stream(detections: DataFrame, key: str = "stream", time: str = "ts", period: float | None = None) -> DataFrame:
+    return tracked_stream(detections, BODIES, key, time, period)
