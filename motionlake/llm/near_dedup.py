@@ -276,13 +276,24 @@ def rarest(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     return stored(members.select("id", "body").mapInArrow(kernel, ", ".join(f"{c} long" for c in RARE)), "rarest")
 
 
-def _mixed(rare: DataFrame, labels: DataFrame) -> DataFrame:
-    """rare with the label of each id, for shingles with several labels; their commonest label, and into how many parts to deal them."""
-    rare = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    per = rare.groupBy("shingle", "label").agg(F.count("*").alias("rows"))
-    per = per.groupBy("shingle").agg(F.max_by("label", F.struct("rows", "label")).alias("common"), F.sum("rows").alias("rows"), F.count("*").alias("labels")).filter("labels > 1")
-    per = stored(per.select("shingle", "common", F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")), "shared")
-    return rare.join(per, "shingle")
+def _room(percent: int) -> Column:
+    """How far a row's place leaves room for a link: of two rows that meet for a link, the sum is not below 0."""
+    return (100 - percent) * F.col("n") - (100 + percent) * F.col("place")
+
+
+def _mixed(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """rare with the label of each id, for shingles with several labels; their commonest label, and into how many parts to deal them.
+
+    Rows that leave no room for a link with any row of their shingle are left out.
+    """
+    rare = rare.join(labels, "id", "left").withColumns({"label": F.coalesce("label", "id"), "room": _room(percent)})
+    per = rare.groupBy("shingle", "label").agg(F.count("*").alias("rows"), F.max("room").alias("most"), F.min("n").alias("least"))
+    per = per.groupBy("shingle").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("common"), F.sum("rows").alias("rows"), F.count("*").alias("labels"), F.max("most").alias("most"), F.min("least").alias("least"),
+    ).filter("labels > 1 AND most >= 0")
+    per = stored(per.select("shingle", "common", "most", "least", F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")), "shared")
+    enough = (100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))
+    return rare.join(per, "shingle").filter(enough & (F.col("room") + F.col("most") >= 0)).drop("most", "least")
 
 
 def _fits(percent: int) -> Column:
@@ -302,19 +313,28 @@ def adjacent(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
     return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
+def meetings(mixed: DataFrame) -> DataFrame:
+    """The rows of each shingle that meet: those outside its commonest label with all that leave room together with them.
+
+    Two rows without room of their own never do, so they don't meet at all. All are dealt
+    out to parts if there are many.
+    """
+    columns = ["id", "label", "n", "place", *BITS]
+    sides = F.when(F.col("room") >= 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    x = mixed.filter("label <> common").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.withColumn("side", F.explode(sides)).select("shingle", "part", "side", *columns)
+    y = mixed.withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "side": (F.col("room") >= 0).cast("int")})
+    return x.join(y.select("shingle", "part", "side", *(F.col(c).alias(f"{c}_") for c in columns)), ["shingle", "part", "side"])
+
+
 def crossing(mixed: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of texts of different labels, among them all that are links.
 
     Texts are links only if they share one of their rarest shingles, in any order of all
     shingles that is the same for both; the place of the first shared one and the bits
-    bound how much they can share. Of a shingle's texts, those outside its commonest label
-    meet all, which are dealt out if there are many.
+    bound how much they can share.
     """
-    columns = ["id", "label", "n", "place", *BITS]
-    x = mixed.filter("label <> common").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shingle", "part", *columns)
-    y = mixed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    y = y.select("shingle", "part", *(F.col(c).alias(f"{c}_") for c in columns))
-    return x.join(y, ["shingle", "part"]).filter(_fits(percent)).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    return meetings(mixed).filter(_fits(percent)).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -346,10 +366,10 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
         rare = rarest(apart, shingle, percent)
         # neighbours first: what they merge need not meet pair by pair
         for turn in range(TURNS):
-            near = stored(adjacent(_mixed(rare, labels), percent, turn), "adjacent")
+            near = stored(adjacent(_mixed(rare, labels, percent), percent, turn), "adjacent")
             links = links.unionByName(stored(confirmed(near, bodies, shingle, percent), "links"))
             labels = stored(components(links), "labels")
-        last = stored(crossing(_mixed(rare, labels), percent).join(pairs, ["a", "b"], "left_anti"), "last")
+        last = stored(crossing(_mixed(rare, labels, percent), percent).join(pairs, ["a", "b"], "left_anti"), "last")
         links = links.unionByName(stored(confirmed(last, bodies, shingle, percent), "links"))
         labels = stored(components(links), "labels")
     return labels

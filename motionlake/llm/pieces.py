@@ -361,6 +361,21 @@ def _encoder(model: bytes, text_at: int):
     return encode
 
 
+def _checker(model: bytes, text_at: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(model)
+        for batch in batches:
+            for i, j, _, _ in bytescan.text_slices(batch.column(text_at), BATCH):
+                part = batch.slice(i, j - i)
+                texts = part.column(text_at)
+                ids = encode_texts(texts, vocabulary)
+                same = pc.equal(decode_ids(ids, vocabulary), pc.replace_substring(texts.fill_null(""), MARK, " "))
+                rest = [(c, n) for k, (c, n) in enumerate(zip(part.columns, batch.schema.names)) if k != text_at]
+                yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), ids, same], [*(n for _, n in rest), "pieces", "round_trip"])
+
+    return check
+
+
 def _decoder(model: bytes, at: int):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model)
@@ -388,6 +403,14 @@ def encoded(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     return df.mapInArrow(releasing(_encoder(model_bytes(model), df.columns.index(text))), _with(df, "pieces", "array<int>"))
 
 
+def coded(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+    """df without the text, with `pieces` and whether decoding these gives the text again (`round_trip`)."""
+    small_batches(df.sparkSession)
+    df = df.drop("pieces", "round_trip")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(text).schema.fields)
+    return df.mapInArrow(releasing(_checker(model_bytes(model), df.columns.index(text))), f"{kept}{', ' if kept else ''}pieces array<int>, round_trip boolean")
+
+
 def decoded(df: DataFrame, pieces: str = "pieces", model: str = MODEL) -> DataFrame:
     """df with `decoded`, the text of the piece ids."""
     df = df.drop("decoded")

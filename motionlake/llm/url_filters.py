@@ -27,13 +27,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, digest_column, lower_ascii, stored, table
+from .common import UPPER, digest_column, lower_ascii, scratch, stored, table
 
 ROUNDS = 10
 WRITE_EVERY = 5
 DAMPING = 85  # per cent
 SCALE = 10**12
-PARTS = 10**6
 #: A ten-thousandth of all distrust.
 THRESHOLD = SCALE // 10_000
 #: Seeds share SCALE, so that a fixed part of all is out of reach once there are many of them.
@@ -98,12 +97,11 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def walks(edges: DataFrame) -> DataFrame:
-    """(kind, a, b, share): of each PARTS that leave a, so many go to b."""
+    """(kind, a, b, links, total): of the `total` links that leave a, so many go to b."""
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "links")
     both = both.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "links"))
     total = both.groupBy("kind", "a").agg(F.sum("links").alias("total"))
-    share = F.call_function("div", F.col("links").cast("decimal(38,0)") * PARTS, F.col("total").cast("decimal(38,0)")).cast("long")
-    return both.join(total, ["kind", "a"]).select("kind", "a", "b", share.alias("share"))
+    return both.join(total, ["kind", "a"]).select("kind", "a", "b", "links", "total")
 
 
 def ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
@@ -115,7 +113,8 @@ def ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int
     restart = start.select("kind", "host", F.call_function("div", F.col("rank") * (100 - damping), F.lit(100)).cast("long").alias("rank"))
     now = start
     for i in range(1, rounds + 1):
-        part = F.call_function("div", F.col("rank") * F.col("share"), F.lit(PARTS))
+        wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  the product of a rank and its links needs more than a long
+        part = F.call_function("div", wide("rank") * F.col("links").cast("decimal(19,0)"), wide("total")).cast("long")
         gone = now.join(moves, ["kind", "host"]).select("kind", F.col("b").alias("host"), F.call_function("div", part * damping, F.lit(100)).cast("long").alias("rank"))
         now = gone.unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).filter("rank > 0")
         if i % WRITE_EVERY == 0 or i == rounds:
@@ -142,7 +141,8 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", ht
 
 def op8_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judged(pages).select("page_id", "host", "path", "rule", "trust", "distrust", "verdict")
+    with scratch(spark) as keep:
+        return keep(judged(pages).select("page_id", "host", "path", "rule", "trust", "distrust", "verdict"), "judged")
 
 
 def oracle() -> str:
@@ -156,7 +156,7 @@ def oracle() -> str:
     steps, last = [], "s"
     for i in range(1, ROUNDS + 1):
         steps.append(f"""r{i} AS (SELECT kind, host, CAST(sum(rank) AS BIGINT) AS rank FROM (
-          SELECT w.kind, b AS host, rank * share // {PARTS} * {DAMPING} // 100 AS rank FROM {last} JOIN w ON w.kind = {last}.kind AND a = host
+          SELECT w.kind, b AS host, CAST(rank * links // total AS BIGINT) * {DAMPING} // 100 AS rank FROM {last} JOIN w ON w.kind = {last}.kind AND a = host
           UNION ALL SELECT kind, host, rank * {100 - DAMPING} // 100 FROM s) GROUP BY kind, host HAVING sum(rank) > 0)""")
         last = f"r{i}"
     link = LINK.replace("'", "''")
@@ -168,12 +168,13 @@ f AS (SELECT src, CASE WHEN starts_with(too, '//') THEN 'http:' || too ELSE too
 e AS (SELECT src, CASE WHEN regexp_matches(too, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {host('too')} WHEN regexp_matches(too, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE src END AS dst FROM f),
 g AS (SELECT src, dst, count(*) AS links FROM e WHERE dst <> '' GROUP BY src, dst),
 h AS (SELECT 'trust' AS kind, src AS a, dst AS b, links FROM g UNION ALL SELECT 'distrust', dst, src, links FROM g),
-w AS (SELECT kind, a, b, CAST(links * {PARTS} // sum(links) OVER (PARTITION BY kind, a) AS BIGINT) AS share FROM h),
+w AS (SELECT kind, a, b, CAST(links AS HUGEINT) AS links, CAST(sum(links) OVER (PARTITION BY kind, a) AS HUGEINT) AS total FROM h),
 s0 AS (SELECT DISTINCT CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host FROM q WHERE ruled IS NOT NULL AND host <> ''),
 s AS (SELECT kind, host, {SCALE} // count(*) OVER (PARTITION BY kind) AS rank FROM s0),
 {', '.join(steps)},
+k AS (SELECT least({THRESHOLD}, {SCALE} // (greatest(count(*), 1) * {SEED_PART})) AS least_rank FROM s0 WHERE kind = 'distrust'),
 t AS (SELECT host, CAST(sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS BIGINT) AS trust, CAST(sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS BIGINT) AS distrust FROM {last} GROUP BY host)
 SELECT page_id, q.host, path, rule, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust,
-       coalesce(ruled, CASE WHEN coalesce(distrust, 0) >= {THRESHOLD} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM q LEFT JOIN t ON t.host = q.host
+       coalesce(ruled, CASE WHEN coalesce(distrust, 0) >= least_rank AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q CROSS JOIN k LEFT JOIN t ON t.host = q.host
 """
