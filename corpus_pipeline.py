@@ -43,8 +43,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the piece ids of the text."""
-    return pieces.encoded(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    """The columns of docs, but for the text its piece ids and whether decoding these gives the text again."""
+    return pieces.coded(docs)
 
 
 STAGES = [
