@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.selection import percentiles
+
 # Direction of the light, and gain and offset of red, green and blue.
 LIGHT = (0.5, 0.8, 0.3)
 CHANNELS = (("r", 1.1, 40), ("g", 1.0, 30), ("b", 0.9, 20))
@@ -30,11 +32,11 @@ def ramp_index(z: Column, near: float, far: float, steps: int = 256) -> Column:
 
 
 def elevation(points: DataFrame, height: Column, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """points with `level`, the height between its two percentiles as 0 to 1; what is joined is one row."""
-    p = points.withColumn("_h", height)
-    ends = p.agg(F.percentile("_h", low).alias("_low"), F.percentile("_h", high).alias("_high"))
-    level = clipped((F.col("_h") - F.col("_low")) / (F.col("_high") - F.col("_low") + TINY), 0.0, 1.0)
-    return p.join(F.broadcast(ends)).withColumn("level", level).drop("_h", "_low", "_high")
+    """points with `level`, the height between its two percentiles as 0 to 1."""
+    a, b = percentiles(points, height, [low, high])
+    if a is None:
+        return points.withColumn("level", F.lit(None).cast("double"))
+    return points.withColumn("level", clipped((height - F.lit(a)) / (F.lit(b) - F.lit(a) + TINY), 0.0, 1.0))
 
 
 def shaded(points: DataFrame, gray: Column, key: Sequence[str] = ("frame",)) -> DataFrame:

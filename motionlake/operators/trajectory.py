@@ -212,39 +212,149 @@ def relative_errors(pairs: DataFrame, delta: float = 1.0, key: str = "bag") -> D
     return d.select(key, "seq", F.col("n.seq").alias("next_seq"), error.alias("error"), turn_angle(*turns).alias("angle"))
 
 
-def peaks(values: np.ndarray, prominence: float, distance: int) -> np.ndarray:
-    """Places of local maxima, higher ones clearing `distance` around them, with enough prominence."""
-    n, found, i = len(values), [], 1
-    while i < n - 1:
-        if values[i - 1] < values[i]:
-            j = i
-            while j < n - 1 and values[j + 1] == values[i]:
-                j += 1
-            if j < n - 1 and values[j + 1] < values[i]:
-                found.append((i + j) // 2)
-            i = j
-        i += 1
-    kept: list[int] = []
-    for p in sorted(found, key=lambda p: (-values[p], -p)):
-        if all(abs(p - q) >= distance for q in kept):
-            kept.append(p)
-    out = []
-    for p in sorted(kept):
-        sides = []
-        for side in (values[p::-1], values[p:]):
-            higher = np.flatnonzero(side > values[p])
-            sides.append(side[: higher[0] if len(higher) else len(side)].min())
-        if values[p] - max(sides) >= prominence:
-            out.append(p)
-    return np.array(out, int)
+class PeakScan:
+    """Local maxima of a series that comes in parts, in time linear in it; what is kept are peaks, not values.
+
+    A plateau counts once, at its middle. Of peaks nearer than `distance` to each other the
+    higher clears the lower, the later of equal ones the earlier; peaks that are further
+    apart than that in a row don't touch each other, so a row is settled when it ends. A
+    peak's prominence is what it rises over the higher of the two lowest values up to
+    anything higher on either side: peaks that nothing higher has followed yet wait in
+    falling order. A row that gets long is settled up to its highest peak, which nothing
+    can clear once all near it are known.
+    """
+
+    ROW = 64
+
+    def __init__(self, prominence: float, distance: int) -> None:
+        self.prominence, self.distance = prominence, distance
+        self.n, self.last, self.begin, self.rising = 0, None, 0, False
+        self.low: float | None = None  # least value since the last peak
+        self.higher: list[list[float]] = []  # falling peaks: height, least value between the one before and it
+        self.waiting: list[list] = []  # peaks without an end on the right: [peak, height, least value between the one before and it]
+        self.row: list[list] = []  # peaks of a row: [place, height, rise on the left, rise on the right or None]
+        self.kept: list[list] = []
+        self.done: list[tuple[int, float, float]] = []
+        self.long = self.ROW
+
+    def add(self, values: Sequence[float]) -> None:
+        for v in values:
+            if self.last is None or v != self.last:
+                if self.last is not None:
+                    if v < self.last and self.rising:
+                        self._peak((self.begin + self.n - 1) // 2, self.last)
+                    self.rising = v > self.last
+                self.begin, self.last = self.n, v
+            self.low = v if self.low is None or v < self.low else self.low
+            self.n += 1
+
+    def _peak(self, place: int, height: float) -> None:
+        low = self.low
+        while self.higher and self.higher[-1][0] <= height:
+            low = min(low, self.higher.pop()[1])
+        self.higher.append([height, low])
+        peak = [place, height, height - low, None]
+        self._settle(height)
+        self.waiting.append([peak, height, self.low])
+        if self.row and place - self.row[-1][0] >= self.distance:
+            self._clear()
+        self.row.append(peak)
+        self.low = height
+        if len(self.row) > self.long:
+            self._part()
+
+    def _settle(self, height: float) -> None:
+        """End those on the right that are lower than what has come."""
+        low = self.low
+        while self.waiting and self.waiting[-1][1] < height:
+            peak, own, before = self.waiting.pop()
+            peak[3] = own - low
+            low = min(low, before)
+        self.low = low if self.waiting else self.low
+
+    def _part(self) -> None:
+        top = max(range(len(self.row)), key=lambda i: (self.row[i][1], self.row[i][0]))
+        place = self.row[top][0]
+        if self.row[-1][0] - place >= self.distance:
+            rest = [p for p in self.row[top + 1 :] if p[0] - place >= self.distance]
+            self.row = self.row[: top + 1]
+            self._clear()
+            self.row = rest
+        self.long = max(self.ROW, 2 * len(self.row))  # so that looking costs little for each peak
+
+    def _clear(self) -> None:
+        """The row is over: keep its higher peaks."""
+        gone: set[int] = set()
+        places = [p[0] for p in self.row]
+        for i in sorted(range(len(self.row)), key=lambda i: (-self.row[i][1], -places[i])):
+            if i in gone:
+                continue
+            self.kept.append(self.row[i])
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(places) and abs(places[j] - places[i]) < self.distance:
+                    gone.add(j)
+                    j += step
+        self.row = []
+        self.done += [(p[0], p[1], min(p[2], p[3])) for p in self.kept if p[3] is not None and min(p[2], p[3]) >= self.prominence]
+        self.kept = [p for p in self.kept if p[3] is None and p[2] >= self.prominence]
+
+    def taken(self) -> list[tuple[int, float, float]]:
+        """(place, height, prominence) of the peaks that are certain since the last call."""
+        out, self.done = self.done, []
+        return out
+
+    def ended(self) -> list[tuple[int, float, float]]:
+        """Those of the rest, once the series has ended."""
+        if self.low is not None:
+            self._settle(float("inf"))
+        self._clear()
+        return self.taken()
+
+
+def peaks(values: Sequence[float], prominence: float, distance: int) -> np.ndarray:
+    """Places of the peaks of a short series; see PeakScan."""
+    scan = PeakScan(prominence, distance)
+    scan.add(list(map(float, values)))
+    return np.array(sorted(place for place, _, _ in scan.ended()), int)
+
+
+def peak_rows(df: DataFrame, value: str, prominence: float, distance: int, key: Sequence[str] = KEY, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """(key, place, height, prominence) of the peaks of each key's series, places counted from 0."""
+    rows = df.select(*key, *order, F.col(value).cast("double").alias("_value"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+
+    def given(k: tuple, found: list[tuple[int, float, float]]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, *p) for p in found], columns=[*key, "place", "height", "prominence"])
+
+    def step(scan: PeakScan, f: pd.DataFrame) -> pd.DataFrame | None:
+        scan.add(f["_value"].tolist())
+        found = scan.taken()
+        return given(tuple(f[c].iloc[0] for c in key), found) if found else None
+
+    return folded(rows, key, order, lambda: PeakScan(prominence, distance), step, f"{kinds}, place long, height double, prominence double", finish=lambda scan, k: given(k, scan.ended()))
 
 
 def trips(poses: DataFrame, prominence: float = 0.5, distance: int = 50) -> DataFrame:
     """Per bag the peaks and valleys of the distance from the start; a round trip has one peak."""
 
-    def count(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq")
-        d = np.sqrt(((f[["x", "y", "z"]] - f[["x", "y", "z"]].iloc[0]) ** 2).sum(axis=1)).to_numpy()
-        return pd.DataFrame({"bag": [f["bag"].iloc[0]], "round_trips": [len(peaks(d, prominence, distance))], "valleys": [len(peaks(-d, prominence, distance))]})
+    def start() -> dict:
+        return {"first": None, "up": PeakScan(prominence, distance), "down": PeakScan(prominence, distance), "n": [0, 0]}
+
+    def step(state: dict, f: pd.DataFrame) -> None:
+        at = f[["x", "y", "z"]].to_numpy()
+        if state["first"] is None:
+            state["first"] = at[0]
+        d = np.sqrt(((at - state["first"]) ** 2).sum(axis=1))
+        for i, (side, values) in enumerate((("up", d), ("down", -d))):
+            state[side].add(values.tolist())
+            state["n"][i] += len(state[side].taken())
+
+    def finish(state: dict, key: tuple) -> pd.DataFrame:
+        up, down = (n + len(state[side].ended()) for n, side in zip(state["n"], ("up", "down")))
+        return pd.DataFrame({"bag": [key[0]], "round_trips": [up], "valleys": [down]})
+
+    rows = poses.select("bag", "seq", "x", "y", "z")
+    return folded(rows, ["bag"], ["seq"], start, step, f"bag {rows.schema['bag'].dataType.simpleString()}, round_trips long, valleys long", finish=finish)
+
 
-    return poses.select("bag", "seq", "x", "y", "z").groupBy("bag").applyInPandas(count, "bag long, round_trips long, valleys long")

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def folded(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable, step: Callable, schema: str, unit: str | None = None) -> DataFrame:
-    """step(state, rows) over each key's rows in order, from start() on.
+def folded(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable, step: Callable, schema: str, unit: str | None = None, finish: Callable | None = None) -> DataFrame:
+    """step(state, rows) over each key's rows in order, from start() on; finish(state, key) at the end of a key. Either may give None.
 
     Rows of a key come to one task in sorted order and go through it batch by batch; only
     the state, and with `unit` the rows of the unit that a batch ends in, are carried on.
@@ -21,8 +21,17 @@ def folded(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Calla
         for k, rows in f.groupby(list(key), sort=False, dropna=False):
             k = tuple(None if pd.isna(x) else x for x in k)
             if not state or state[0] != k:
+                yield from ended(state)
                 state[:] = [k, start()]
-            yield step(state[1], rows)
+            out = step(state[1], rows)
+            if out is not None:
+                yield out
+
+    def ended(state: list) -> Iterator[pd.DataFrame]:
+        if state and finish is not None:
+            out = finish(state[1], state[0])
+            if out is not None:
+                yield out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list = []
@@ -40,5 +49,6 @@ def folded(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Calla
                 yield from parts(f, state)
         if held is not None:
             yield from parts(held, state)
+        yield from ended(state)
 
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
