@@ -281,10 +281,10 @@ def _room(percent: int) -> Column:
     return (100 - percent) * F.col("n") - (100 + percent) * F.col("place")
 
 
-def _mixed(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _mixed(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
     """rare with the label of each id, for shingles with several labels; their commonest label, and into how many parts to deal them.
 
-    Rows that leave no room for a link with any row of their shingle are left out.
+    Rows that leave no room for a link with any row of their shingle are left out. None if there is no such shingle.
     """
     rare = rare.join(labels, "id", "left").withColumns({"label": F.coalesce("label", "id"), "room": _room(percent)})
     per = rare.groupBy("shingle", "label").agg(F.count("*").alias("rows"), F.max("room").alias("most"), F.min("n").alias("least"))
@@ -292,6 +292,8 @@ def _mixed(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         F.max_by("label", F.struct("rows", "label")).alias("common"), F.sum("rows").alias("rows"), F.count("*").alias("labels"), F.max("most").alias("most"), F.min("least").alias("least"),
     ).filter("labels > 1 AND most >= 0")
     per = stored(per.select("shingle", "common", "most", "least", F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")), "shared")
+    if per.isEmpty():
+        return None
     enough = (100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))
     return rare.join(per, "shingle").filter(enough & (F.col("room") + F.col("most") >= 0)).drop("most", "least")
 
@@ -354,24 +356,32 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     links = stored(confirmed(best, bodies, shingle, percent), "links")
     labels = stored(components(links), "labels")
 
-    rest = stored(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels), "rest")
-    more = stored(confirmed(rest, bodies, shingle, percent), "links")
-    links = links.unionByName(more)
-    labels = stored(components(links), "labels")
-
+    def added(candidates: DataFrame, name: str) -> None:
+        """Links among the candidates join the others; where there are none, the components stay."""
+        nonlocal labels
+        candidates = stored(candidates, name)
+        if candidates.isEmpty():
+            return
+        more = stored(confirmed(candidates, bodies, shingle, percent), "links")
+        if not more.isEmpty():
+            known = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
+            labels = stored(components(known.unionByName(more)), "labels")
+
+    added(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels), "rest")
     wide = wide.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = stored(wide.groupBy("region").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("region"), "mixed")
     if not mixed.isEmpty():
         apart = stored(wide.join(mixed, "region", "left_semi").select("id").distinct().join(bodies.select("id", "body"), "id"), "apart")
         rare = rarest(apart, shingle, percent)
         # neighbours first: what they merge need not meet pair by pair
-        for turn in range(TURNS):
-            near = stored(adjacent(_mixed(rare, labels, percent), percent, turn), "adjacent")
-            links = links.unionByName(stored(confirmed(near, bodies, shingle, percent), "links"))
-            labels = stored(components(links), "labels")
-        last = stored(crossing(_mixed(rare, labels, percent), percent).join(pairs, ["a", "b"], "left_anti"), "last")
-        links = links.unionByName(stored(confirmed(last, bodies, shingle, percent), "links"))
-        labels = stored(components(links), "labels")
+        for turn in range(TURNS + 1):
+            left = _mixed(rare, labels, percent)
+            if left is None:
+                break
+            if turn < TURNS:
+                added(adjacent(left, percent, turn), "adjacent")
+            else:
+                added(crossing(left, percent).join(pairs, ["a", "b"], "left_anti"), "last")
     return labels
 
 

@@ -31,7 +31,8 @@ def met(spark, rows):
     every = stored(near_dedup.signed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", near_dedup.SHINGLE), "signed")
     rare = near_dedup.rarest(every.select("id", "body"), near_dedup.SHINGLE, near_dedup.SIMILARITY)
     labels = every.select("id", F.col("id").alias("label"))
-    return rare.count(), near_dedup.meetings(near_dedup._mixed(rare, labels, near_dedup.SIMILARITY)).count()
+    mixed = near_dedup._mixed(rare, labels, near_dedup.SIMILARITY)
+    return rare.count(), 0 if mixed is None else near_dedup.meetings(mixed).count()
 
 
 def test_a_family_without_links_does_not_meet_pair_by_pair(spark):
