@@ -26,6 +26,11 @@ def depth(disparity: Column, camera: Camera = MAPPING, least: float = 1.0) -> Co
     return F.when(disparity > least, camera.fx * camera.baseline / disparity)
 
 
+def depth_clamped(disparity: Column, camera: Camera = MAPPING, least: float = 0.5) -> Column:
+    """Metres, of a disparity that is at least `least`."""
+    return camera.fx * camera.baseline / F.greatest(disparity, F.lit(least))
+
+
 def rescaled(disparity: Column, made_at: int, width: int) -> Column:
     """A disparity of a picture that is `made_at` pixels wide, in pixels of one `width` wide."""
     return disparity * (width / made_at)

@@ -5,7 +5,9 @@ A joint is struct(x, y, c) or struct(x, y, z, c); places are counted from 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,6 +99,14 @@ HAND_PARTS = {"thumb": (1, 4), "index": (5, 8), "middle": (9, 12), "ring": (13,
 BODY_PARTS = {"head": (0, 1, 2, 3, 4), "l_arm": (5, 7, 9), "r_arm": (6, 8, 10), "torso": (5, 6, 11, 12), "l_leg": (11, 13, 15)}
 
 
+#: The bones of a hand and of a body as pairs of joints.
+HAND_BONES = (
+    (0, 1), (1, 2), (2, 3), (3, 4), (0, 5), (5, 6), (6, 7), (7, 8), (0, 9), (9, 10), (10, 11), (11, 12),
+    (0, 13), (13, 14), (14, 15), (15, 16), (0, 17), (17, 18), (18, 19), (19, 20), (5, 9), (9, 13), (13, 17),
+)
+BODY_BONES = ((0, 1), (0, 2), (1, 3), (2, 4), (5, 7), (7, 9), (6, 8), (8, 10), (5, 6), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16))
+
+
 def hand_part(a: Column, b: Column) -> Column:
     """The finger of the bone a-b: a is on it, b is on it or the wrist; palm otherwise."""
     part = F.lit("palm")
@@ -113,6 +123,32 @@ def body_part(a: Column, b: Column) -> Column:
     return part
 
 
+def bone_table(spark: SparkSession, bones: Sequence[tuple[int, int]] = HAND_BONES, part: Callable[[Column, Column], Column] | None = hand_part) -> DataFrame:
+    """(bone, a, b, part): one row for each bone."""
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(bones)], "bone int, a int, b int")
+    return rows.withColumn("part", part(F.col("a"), F.col("b")) if part else F.lit(None).cast("string"))
+
+
+def bone_segments(poses: DataFrame, bones: DataFrame, key: Sequence[str], least: float = 0.25, joints: str = "k") -> DataFrame:
+    """(key, bone, part, ax, ay, bx, by) of the bones whose ends are both trusted more than `least`.
+
+    Each pose meets the rows of the bone table, which are few and fixed; joints a pose does
+    not have make no bone.
+    """
+    each = poses.select(*key, joints).crossJoin(F.broadcast(bones))
+    a, b = F.get(joints, F.col("a")), F.get(joints, F.col("b"))
+    sure = (a["c"] > least) & (b["c"] > least)
+    return each.filter(sure).select(*key, "bone", "part", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+
+
+def simcc_in_crop(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
+    """struct(u, v, c): the peaks of both axes as parts of a crop's sides, and the product of their values as trust."""
+    part = lambda values: peak(values) / F.size(values)
+    return F.struct(
+        (left + part(x) * width).alias("u"), (top + part(y) * height).alias("v"), (F.array_max(x) * F.array_max(y)).alias("c"),
+    )
+
+
 def peak(values: Column) -> Column:
     """Place of the greatest value, the first of equals."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

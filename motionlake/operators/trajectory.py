@@ -101,6 +101,14 @@ def principal_axis(poses: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return c.select(*key, value.alias("eigenvalue"), (0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).alias("angle"))
 
 
+def along_axis(poses: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """poses with `along`, their place on the principal axis of x and y, turned so that the last pose is not behind the first."""
+    axis = principal_axis(poses, key).select(*key, F.cos("angle").alias("_cx"), F.sin("angle").alias("_cy"))
+    placed = poses.join(axis, list(key)).withColumn("along", F.col("x") * F.col("_cx") + F.col("y") * F.col("_cy"))
+    ends = placed.groupBy(*key).agg((F.max_by("along", "seq") < F.min_by("along", "seq")).alias("_back"))
+    return placed.join(ends, list(key)).withColumn("along", F.when(F.col("_back"), -F.col("along")).otherwise(F.col("along"))).drop("_cx", "_cy", "_back")
+
+
 def phases(poses: DataFrame, column: str = "x", key: Sequence[str] = KEY) -> DataFrame:
     """Rows marked excitation, walk or stop: up to the least value of the first half, up to the greatest of all, after."""
     d = travelled(poses, key).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))

@@ -239,7 +239,10 @@ class _Recording:
     def __init__(self, temporary: str) -> None:
         self.topics: dict[str, int] = {}
         self.rows: list[tuple] = []
+        self.path = temporary
         self.db = sqlite3.connect(temporary)
+        self.db.execute("PRAGMA synchronous = OFF")  # nobody sees the file before it is whole and on disk
+        self.db.execute("PRAGMA journal_mode = MEMORY")
         for line in DDL:
             self.db.execute(line)
 
@@ -271,6 +274,8 @@ class _Recording:
         self.db.execute(INDEX)
         self.db.commit()
         self.db.close()
+        with open(self.path, "rb") as f:
+            os.fsync(f.fileno())
 
 
 class Writer(DataSourceArrowWriter):

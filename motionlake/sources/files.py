@@ -88,6 +88,25 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, seq long, x double, y double, z double, red int, green int, blue int")
 
 
+def read_npy(spark: SparkSession, path: str, values: int = 1 << 20) -> DataFrame:
+    """(at, value) of an array file, places counted from 0 in the order of its lines; each task maps its own part."""
+    local = path.removeprefix("file://")
+    array = np.load(local, mmap_mode="r")
+    if not array.flags.c_contiguous:
+        raise ValueError(f"{path} is not in the order of lines")
+    size = array.size
+
+    def parts(frames):  # noqa: ANN001, ANN202
+        flat = np.load(local, mmap_mode="r").reshape(-1)
+        for f in frames:
+            for i in f["id"].tolist():
+                own = flat[i * values : (i + 1) * values]
+                yield pd.DataFrame({"at": np.arange(i * values, i * values + len(own)), "value": own.astype(float)})
+
+    count = -(-size // values)
+    return spark.range(0, count, 1, max(1, count)).mapInPandas(parts, "at long, value double")
+
+
 def ply_lines(points: DataFrame) -> DataFrame:
     """The body of an ascii file, a line per point."""
     return points.orderBy("seq").select(F.format_string("%.4f %.4f %.4f %d %d %d", "x", "y", "z", "red", "green", "blue").alias("value"))
