@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from .. import proxies as P
 from ..functions import geometry as G
 from ..functions import pose as J
+from ..operators import neighbours as N
+from ..operators import spatial as S
+from ..operators import timeseries as T
 from ..operators import trajectory as R
 from ..sources import bags as B
 from ..sources import datasets as D
 from ..sources import files, recordings, whole
 from ..storage import cut, shared_path
-from .queries import query, r6
+from .queries import _NEAR, _STEP, query, r6, side
 
 EMPTY = "never"
 
@@ -212,3 +215,58 @@ def simcc_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = J.simcc_in_crop(a, b, F.lit(10), F.lit(20), F.lit(64), F.lit(48))
     d = e.select("vec_id", found.alias("j"), G.depth_clamped(F.array_max(a) * 4).alias("z"))
     return d.select("vec_id", F.round("j.u", 6).alias("u"), F.round("j.v", 6).alias("v"), F.round("j.c", 6).alias("c"), F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {P.POSES_SQL}, t AS (SELECT p.*, topic FROM p JOIN m USING (id)), k AS (SELECT * FROM t WHERE topic = '{P.LEFT}'), a AS (SELECT * FROM t WHERE topic <> '{P.LEFT}'),
+d AS (SELECT a.id, k.id AS other, (a.x - k.x) * (a.x - k.x) + (a.y - k.y) * (a.y - k.y) + (a.z - k.z) * (a.z - k.z) AS d2 FROM a, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS rank FROM d)
+SELECT id, CAST(rank AS INT) AS rank, other, round(sqrt(d2), 6) AS distance FROM r WHERE rank <= 3""")
+def nearest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest poses of one topic for each pose of the others."""
+    p = P.poses(spark, sf_dir).join(P.messages(spark, sf_dir).select("id", "topic"), "id")
+    found = N.nearest_k(p.filter(F.col("topic") != P.LEFT), p.filter(F.col("topic") == P.LEFT), 3)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {P.POINTS_SQL}, {P.POSES_SQL}, q AS (SELECT DISTINCT x, y FROM p), f AS (SELECT frame, seq, x * 40 - 60 AS x, y * 40 - 60 AS y FROM pt)
+SELECT frame, seq FROM f WHERE NOT EXISTS (SELECT 1 FROM q WHERE (f.x - q.x) * (f.x - q.x) + (f.y - q.y) * (f.y - q.y) < 0.25)""")
+def far_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a wide cloud that no pose is near."""
+    wide = P.points(spark, sf_dir).withColumns({c: F.col(c) * 40 - 60 for c in "xy"})
+    return S.far_from(wide, P.poses(spark, sf_dir)).select("frame", "seq")
+
+
+@query(_NEAR + """ SELECT bag, count(*) AS n, round(avg(near_us - us), 3) AS mean_us, min(near_us - us) AS least_us, max(near_us - us) AS most_us,
+  arg_max(near_us - us, (us, id)) - arg_min(near_us - us, (us, id)) AS drift_us FROM k WHERE near_us IS NOT NULL GROUP BY bag""")
+def sync_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the nearest message of another topic is, on average, at the ends, and how that drifts."""
+    near = T.nearest(side(spark, sf_dir, P.LEFT), side(spark, sf_dir, P.IMU))
+    o, at = F.col("offset_us"), F.struct("us", "id")
+    return near.groupBy("bag").agg(
+        F.count("*").alias("n"), F.round(F.avg(o), 3).alias("mean_us"), F.min(o).alias("least_us"), F.max(o).alias("most_us"), (F.max_by(o, at) - F.min_by(o, at)).alias("drift_us"),
+    )
+
+
+@query(f"""WITH {P.MESSAGES_SQL}, d AS (SELECT bag, topic, us, id, us - lag(us) OVER (PARTITION BY bag, topic ORDER BY us, id) AS dt FROM m),
+r AS (SELECT *, avg(dt) OVER (PARTITION BY bag, topic ORDER BY us, id ROWS 29 PRECEDING) AS mean30 FROM d)
+SELECT bag, topic, count(dt) AS n, round(avg(dt), 2) AS mean_us, min(dt) AS least_us, max(dt) AS most_us, round(arg_max(mean30, (us, id)), 2) AS last30_us FROM r GROUP BY bag, topic""")
+def interval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times between messages: mean, least, greatest, and the mean of the last thirty."""
+    w = T.ordered("bag", "topic")
+    d = P.messages(spark, sf_dir).withColumn("dt", F.col("us") - F.lag("us").over(w))
+    d = d.withColumn("mean30", F.avg("dt").over(w.rowsBetween(-29, 0)))
+    dt = F.col("dt")
+    return d.groupBy("bag", "topic").agg(
+        F.count(dt).alias("n"), F.round(F.avg(dt), 2).alias("mean_us"), F.min(dt).alias("least_us"), F.max(dt).alias("most_us"), F.round(F.max_by("mean30", F.struct("us", "id")), 2).alias("last30_us"),
+    )
+
+
+@query(_STEP + """ SELECT bag, round_even(coalesce(sum(step), 0.0), 3) AS length_m, round_even(max(ts) - min(ts), 2) AS duration_s, round_even(max(x) - min(x), 2) AS range_x, round_even(max(y) - min(y), 2) AS range_y,
+  round_even(max(z) - min(z), 2) AS range_z FROM s GROUP BY bag""")
+def run_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, duration and extent of each run, halves rounded to even digits."""
+    s = R.steps(P.poses(spark, sf_dir))
+    size = lambda c: F.bround(F.max(c) - F.min(c), 2)
+    return s.groupBy("bag").agg(
+        F.bround(F.coalesce(F.sum("step"), F.lit(0.0)), 3).alias("length_m"), size("ts").alias("duration_s"), *(size(c).alias(f"range_{c}") for c in "xyz"),
+    )

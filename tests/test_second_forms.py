@@ -11,7 +11,7 @@ from motionlake.sources import files
 
 def test_bone_tables_and_parts(spark):
     hand = J.bone_table(spark).collect()
-    assert len(hand) == 23 and [r.part for r in hand].count("palm") == 3 and len({(r.a, r.b) for r in hand}) == 23
+    assert len(hand) == 23 and [r.part for r in hand].count("palm") == 8 and len({(r.a, r.b) for r in hand}) == 23
     body = J.bone_table(spark, J.BODY_BONES, J.body_part).collect()
     assert len(body) == 16 and {r.part for r in body} == {"head", "l_arm", "r_arm", "torso", "l_leg", "r_leg"}
     joints = [(float(i), -float(i), 0.9 if i != 6 else 0.25) for i in range(21)]
