@@ -5,7 +5,7 @@ from __future__ import annotations
 import shutil
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import proxies as P
@@ -33,7 +33,9 @@ def _there_and_back(spark: SparkSession, name: str, read: Callable[[str], DataFr
         shutil.rmtree(folder, ignore_errors=True)
 
 
-_NAME = F.regexp_extract("bag", r"([^/]*)\.db3$", 1).cast("long")
+def _name() -> Column:
+    """The recording's number, from the path of its file."""
+    return F.regexp_extract("bag", r"([^/]*)\.db3$", 1).cast("long")
 
 
 def _written(spark: SparkSession, sf_dir: str, folder: str) -> None:
@@ -54,7 +56,7 @@ def recording_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read(folder: str) -> DataFrame:
         _written(spark, sf_dir, folder)
         rows = spark.read.format("recording").load(folder).filter(F.col("topic").isin("view", "click") & (F.col("us") >= a + (b - a) // 4) & (F.col("us") < a + (b - a) // 2))
-        return rows.select(_NAME.alias("bag"), "topic", "type", "us", F.length("data").alias("bytes"))
+        return rows.select(_name().alias("bag"), "topic", "type", "us", F.length("data").alias("bytes"))
 
     return _there_and_back(spark, "recordings", read)
 
@@ -68,7 +70,7 @@ def recording_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         _written(spark, sf_dir, folder)
         table = lambda name: spark.read.format("recording").option("table", name).load(folder)
         own = table("topics").drop("id").join(table("schema").select("bag", "schema_version"), "bag").join(table("files").drop("path"), "bag")
-        return own.withColumn("bag", _NAME).select("bag", "topic", "type", "format", "qos", "schema_version", "messages", "first_us", "last_us")
+        return own.withColumn("bag", _name()).select("bag", "topic", "type", "format", "qos", "schema_version", "messages", "first_us", "last_us")
 
     return _there_and_back(spark, "recordings", read)
 
@@ -85,7 +87,7 @@ def recording_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
         B.write_recordings(p, folder)
         recordings.patch_recordings(spark, folder, ["left"])
         rows = spark.read.format("recording").load(folder)
-        return rows.select(_NAME.alias("bag"), "us", recordings.little_endian(F.col("data"), 24).alias("step")).groupBy("bag", "us", "step").agg(F.count("*").alias("n"))
+        return rows.select(_name().alias("bag"), "us", recordings.little_endian(F.col("data"), 24).alias("step")).groupBy("bag", "us", "step").agg(F.count("*").alias("n"))
 
     return _there_and_back(spark, "recordings", read)
 
