@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from motionlake.plans import record_queries  # noqa: F401  adds its queries
 from motionlake.plans.queries import QUERIES
 from motionlake.streaming import filters as L
 from motionlake.streaming import poses as K
