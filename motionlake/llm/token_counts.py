@@ -7,16 +7,19 @@ depends on the places in front of it alone. Only places from which a longer piec
 still start matter for what follows; they are at most as far back as the longest piece is
 long. What such a place is followed by, the piece that ends there and by how many tokens it
 differs from the oldest of them is a state. There are finitely many, a character moves from
-one to the next, and each move is marked with the tokens that it settles. States are
-compiled when a text first needs them and kept, up to a number, by a worker.
+one to the next, and each move settles a number of tokens. Of a state, the characters since
+the oldest place are compiled: their moves, with the pieces that may end there, are made when
+a text first needs them and kept, up to a number, by a worker. Pieces and tokens of the
+places are its registers, which a move only compares and adds to. Whether two pieces may be
+neighbours is told by going through the merges that make them in their common order.
 
 A text is cut into chunks. A chunk's map says for each state in which it may be entered how
 many tokens it settles and in which state it is left. The maps of neighbours compose to one
 of the same kind, which is associative: they are composed by FAN neighbours at a time,
 level by level, until one is left for each text. The states in which a chunk can be entered
-come from the characters in front of it: a space behind another character allows only one,
-since no piece holds both; else every place there within a piece's length is tried as the
-start of a piece. A text whose maps don't fit together is counted in one chunk.
+come from the characters in front of it: two of them that no piece holds side by side allow
+only one, since no piece reaches over; else every place there within a piece's length is
+tried as the start of a piece. A text whose maps don't fit together is counted in one chunk.
 
 Characters without a piece become as many byte pieces as they have bytes.
 
@@ -31,45 +34,43 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import digest_column, releasing, scratch, small_batches, stored, table
-from .pieces import MARK, MODEL, merged, model_bytes
+from .pieces import MARK, MODEL, model_bytes
 
 LIMIT = 4096
 #: Characters of a chunk, of what is looked at in front of it, and neighbours composed at a time.
 CHUNK = 1 << 16
 CONTEXT = 256
 FAN = 64
-#: States, judged pairs of pieces and parts between spaces that a worker keeps.
+#: Compiled tails, judged pairs of pieces and parts between spaces that a worker keeps.
 STATES = 1 << 17
 PAIRS = 1 << 18
-PARTS = 1 << 18
+PARTS = 1 << 19
 MAP = "array<struct<entry:string, leave:string, settled:long, open:long>>"
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _MACHINES: dict[bytes, Transducer] = {}
 
 
-class State(dict):
-    """Where a text stands; as a mapping it gives (next state, tokens settled) for a character.
+def _bytes(char: str) -> int:
+    return len(char.encode("utf-8", "surrogatepass"))
+
+
+class State(NamedTuple):
+    """Where a text stands.
 
     `live` are the places from which a piece can still start: (characters since, piece that
     ends there or nothing, tokens up to there less those of the first), the oldest first.
     `tail` are the characters since the oldest.
     """
 
-    __slots__ = ("live", "machine", "tail")
-
-    def __init__(self, machine: Transducer, tail: str, live: tuple[tuple[int, str, int], ...]) -> None:
-        super().__init__()
-        self.machine, self.tail, self.live = machine, tail, live
-
-    def __missing__(self, char: str) -> tuple[State, int]:
-        move = self[char] = self.machine.move(self, char)
-        return move
+    tail: str
+    live: tuple[tuple[int, str, int], ...]
 
     @property
     def open(self) -> int:
@@ -81,6 +82,50 @@ class State(dict):
         return json.dumps([self.tail, self.live])
 
 
+class Tail(dict):
+    """The compiled moves of all states with this tail: by character (next tail, pieces that may end with it as (length, text, piece), the longest first)."""
+
+    __slots__ = ("machine", "text")
+
+    def __init__(self, machine: Transducer, text: str) -> None:
+        super().__init__()
+        self.machine, self.text = machine, text
+
+    def __missing__(self, char: str) -> tuple[Tail, tuple[tuple[int, str, Piece], ...]]:
+        move = self.machine.move(self.text, char)
+        self[char] = move
+        return move
+
+
+class Piece(dict):
+    """A piece, or nothing; by the text of another piece, whether that may follow."""
+
+    __slots__ = ("machine", "text")
+
+    def __init__(self, machine: Transducer, text: str) -> None:
+        super().__init__()
+        self.machine, self.text = machine, text
+
+    def __missing__(self, after: str) -> bool:
+        self.machine.judge()
+        found = self[after] = self.machine.joins(self.text, after)
+        return found
+
+
+class Parts(dict):
+    """The tokens of parts that are encoded on their own."""
+
+    def __init__(self, machine: Transducer) -> None:
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, part: str) -> int:
+        if len(self) >= PARTS:
+            self.clear()
+        found = self[part] = self.machine.whole(part)
+        return found
+
+
 class Transducer:
     """The states of one vocabulary, compiled as they are met."""
 
@@ -91,70 +136,137 @@ class Transducer:
         ordinary = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in ordinary}
         self.heads = {p[:n] for p in self.rank for n in range(1, len(p))}
+        self.beside = {p[n : n + 2] for p in self.rank for n in range(len(p) - 1)}  # neighbouring characters within pieces
         self.longest = max(map(len, self.rank), default=1)
         self.spaced = any(MARK in p.lstrip(MARK) for p in self.rank)  # then a space says nothing about what is before it
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, int] = {}
-        self.states: dict[tuple, State] = {}
-
-    def state(self, tail: str, live: tuple[tuple[int, str, int], ...]) -> State:
-        found = self.states.get((tail, live))
+        self.merges: dict[str, list[tuple[float, str, str]] | None] = {}
+        self.pieces = {p: Piece(self, p) for p in ("", *self.rank)}
+        self.judged = 0
+        self.tails: dict[str, Tail] = {}
+        self.parts = Parts(self)
+
+    def tail(self, text: str) -> Tail:
+        found = self.tails.get(text)
         if found is None:
-            if len(self.states) >= STATES:
-                for s in self.states.values():
-                    s.clear()
-                self.states.clear()
-            found = self.states[tail, live] = State(self, tail, live)
+            if len(self.tails) >= STATES:
+                for t in self.tails.values():
+                    t.clear()
+                self.tails.clear()
+            found = self.tails[text] = Tail(self, text)
         return found
 
     def start(self) -> State:
-        return self.state("", ((0, "", 0),))
+        return State("", ((0, "", 0),))
+
+    def made(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters: (rank, first part, last part) after each; None if they don't."""
+        if piece not in self.merges:
+            parts, never, found = list(piece), float("inf"), []
+            while found is not None and len(parts) > 1:
+                ranks = [self.rank.get(a + b, never) for a, b in zip(parts, parts[1:])]
+                best = min(ranks)
+                at = ranks.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                found = None if best == never else [*found, (best, parts[0], parts[-1])]
+            self.merges[piece] = found
+        return self.merges[piece]
 
     def joins(self, a: str, b: str) -> bool:
-        """Whether merging the joined text of a and b gives these two; nothing in front of b asks the same of b alone."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = merged(a + b, self.rank) == ([a, b] if a else [b])
-        return found
+        """Whether merging the joined text of a and b gives these two; nothing in front of b asks the same of b alone.
 
-    def move(self, s: State, char: str) -> tuple[State, int]:
-        tail = s.tail + char
-        last, tokens = "", None
-        for n, piece, before in s.live:
-            own = tail[len(tail) - n - 1 :]
-            if own in self.rank and self.joins(piece, own):
-                last, tokens = own, before + 1
-                break
-        if tokens is None and char in self.rank:
-            raise ValueError(f"no piece that ends with {tail!r} can follow")
-        if tokens is None:  # no piece: bytes, and no piece reaches over them
-            last, tokens = "", s.open + len(char.encode("utf-8", "surrogatepass"))
-        live = [(n + 1, piece, before) for n, piece, before in s.live if tail[len(tail) - n - 1 :] in self.heads]
-        live.append((0, last, tokens))
-        zero = live[0][2]
-        tail = tail[len(tail) - live[0][0] :]
-        if not self.spaced:  # what ends in front of a space does not matter to what starts there
-            live = [(n, "" if n and tail[len(tail) - n] == MARK and not piece.endswith(MARK) else piece, t) for n, piece, t in live]
-        return self.state(tail, tuple((n, piece, t - zero) for n, piece, t in live)), zero
+        The merges of both come in their common order, the best first and the leftmost of
+        equals; one over the border may never be before the next of them.
+        """
+        left, right = self.made(a), self.made(b)
+        if left is None or right is None:
+            return False
+        if not a or a[-1] + b[0] not in self.beside:
+            return True
+        never, i, j, end, begin = float("inf"), 0, 0, a[-1], b[0]
+        while True:
+            x = left[i][0] if i < len(left) else never
+            y = right[j][0] if j < len(right) else never
+            over = self.rank.get(end + begin, never)
+            if over < x and over <= y:
+                return False
+            if x == y == never:
+                return True
+            if x <= y:
+                end = left[i][2]
+                i += 1
+            else:
+                begin = right[j][1]
+                j += 1
+
+    def judge(self) -> None:
+        """Counts pairs that are judged; when there are many, they go."""
+        if self.judged >= PAIRS:
+            self.judged = 0
+            for p in self.pieces.values():
+                p.clear()
+        self.judged += 1
+
+    def move(self, tail: str, char: str) -> tuple[Tail, tuple[tuple[int, str, Piece], ...]]:
+        text, n = tail + char, len(tail) + 1
+        may = [text[at:] for at in range(n) if (at == n - 1 or text[at:-1] in self.heads) and text[at:] in self.rank]
+        head = next((at for at in range(n) if text[at:] in self.heads), n)
+        return self.tail(text[head:]), tuple((len(p), p, self.pieces[p]) for p in may)
+
+    def walk(self, tail: Tail, ends: list[Piece], text: str) -> Tail:
+        """The tail after the text; appends the piece that ends at each place, nothing behind a character without one."""
+        at = len(ends)
+        for char in text:
+            tail, may = tail[char]
+            for n, own, piece in may:
+                if ends[at - n][own]:
+                    ends.append(piece)
+                    break
+            else:
+                if char in self.rank:
+                    raise ValueError(f"no piece that ends at {tail.text!r} can follow")
+                ends.append(self.pieces[""])  # bytes, and no piece reaches over them
+            at += 1
+        return tail
+
+    def whole(self, text: str) -> int:
+        """Tokens of a text on its own."""
+        ends = [self.pieces[""]]
+        self.walk(self.tail(""), ends, text)
+        at, found = len(text), 0
+        while at:
+            n = len(ends[at].text)
+            found += 1 if n else _bytes(text[at - 1])
+            at -= n or 1
+        return found
 
     def entries(self, context: str) -> list[State]:
         """The states in which a text that ends with `context` can stand."""
-        if not self.spaced:
-            for at in range(len(context) - 1, 0, -1):
-                if context[at] == MARK and context[at - 1] != MARK:
-                    return [self.run(self.start(), context[at:])[0]]
+        for at in range(len(context) - 1, 0, -1):
+            if context[at - 1 : at + 1] not in self.beside:
+                return [self.run(self.start(), context[at:])[0]]
         found = [self.run(self.start(), context[at:])[0] for at in range(min(self.longest, len(context)))]
         return list({s.name(): s for s in found}.values())
 
     def run(self, s: State, text: str) -> tuple[State, int]:
         """(state, tokens settled) after the text, character by character."""
-        settled = 0
-        for char in text:
-            s, n = s[char]
-            settled += n
-        return s, settled
+        size = len(s.tail)
+        ends, tokens = [self.pieces[""]] * (size + 1), [0] * (size + 1)
+        for n, piece, before in s.live:
+            ends[size - n], tokens[size - n] = self.pieces[piece], before
+        tail = self.walk(self.tail(s.tail), ends, text).text
+        for at, char in enumerate(text, size + 1):
+            n = len(ends[at].text)
+            tokens.append(tokens[at - n] + 1 if n else tokens[at - 1] + _bytes(char))
+        live = []
+        for n in range(len(tail), -1, -1):
+            since, piece = tail[len(tail) - n :], ends[-1 - n].text
+            if n and since not in self.heads:
+                continue
+            if n and piece and piece[-1] + since[0] not in self.beside:
+                piece = ""  # what no piece reaches over does not matter to what starts there
+            live.append((n, piece, tokens[-1 - n]))
+        zero = live[0][2]
+        return State(tail, tuple((n, piece, t - zero) for n, piece, t in live)), zero
 
     def read(self, s: State, text: str) -> tuple[State, int]:
         """The same; what lies between two spaces is one move, kept for when it comes again.
@@ -166,17 +278,7 @@ class Transducer:
         if len(parts) < 2:
             return self.run(s, text)
         s, settled = self.run(s, parts[0])
-        settled += s.open
-        known = self.parts
-        for part in parts[1:-1]:
-            n = known.get(part)
-            if n is None:
-                end, n = self.run(self.start(), part)
-                n += end.open
-                if len(known) >= PARTS:
-                    known.clear()
-                known[part] = n
-            settled += n
+        settled += s.open + sum(map(self.parts.__getitem__, parts[1:-1]))
         s, n = self.run(self.start(), parts[-1])
         return s, settled + n
 

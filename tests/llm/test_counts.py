@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from motionlake.llm import resampling, token_counts
-from motionlake.llm.pieces import MODEL, model_bytes
+from motionlake.llm.pieces import MODEL, merged, model_bytes
 from motionlake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,35 @@ def test_forgetting_states_changes_nothing(library, monkeypatch):
     assert [machine.count(t) for t in texts] == [len(x) for x in library.encode(texts)]
 
 
+def test_new_words_need_few_new_moves(library, monkeypatch):
+    """Invented words, none seen before: their moves are those that earlier ones have compiled."""
+    rng = random.Random(7)
+    parts = "the in er on an re ed sch ung tion ció os ent ich eau que ó ß ly he at ar zz".split()
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(2, 7))) for _ in range(12_000)})
+    rng.shuffle(words)
+    made, move = [], token_counts.Transducer.move
+    monkeypatch.setattr(token_counts.Transducer, "move", lambda *args: made.append(1) or move(*args))
+    machine = token_counts.Transducer(model_bytes(MODEL))
+    half = len(words) // 2
+    machine.count(" ".join(words[:half]))
+    made.clear()
+    assert machine.count(" ".join(words[half:])) == len(library.encode(" ".join(words[half:])))
+    assert len(made) < half / 10
+
+
+def test_joins_as_merging_does():
+    """Pairs of pieces of random vocabularies, with equal ranks and merges better than those they build on."""
+    rng = random.Random(8)
+    machine = token_counts.Transducer(model_bytes(MODEL))
+    for _ in range(60):
+        machine.rank = {c: 0.0 for c in "abc"} | {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))): float(rng.randrange(12)) for _ in range(25)}
+        machine.beside, machine.merges = {p[n : n + 2] for p in machine.rank for n in range(len(p) - 1)}, {}
+        for b in machine.rank:
+            assert machine.joins("", b) == (merged(b, machine.rank) == [b])
+            for a in machine.rank:
+                assert machine.joins(a, b) == (merged(a + b, machine.rank) == [a, b]), (a, b, machine.rank)
+
+
 def test_chunk_maps_compose(spark, library):
     """Texts with and without spaces, cut far below their length, in three levels of composition."""
     rng = random.Random(5)
