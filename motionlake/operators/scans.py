@@ -48,18 +48,20 @@ def scanned(
     rows = df if RANGE in df.columns else ranged(df, key, order, ranges)
     at = F.struct(*order)
     where = lambda c: F.when(c.isNotNull(), at)
+    number = {n: i for i, n in enumerate([*before, *after, *previous, *sums])}
+    edge, carried = (lambda n: f"_edge{number[n]}"), (lambda n: f"_carry{number[n]}")  # a new column may be named like the key
     edges = rows.groupBy(RANGE, *key).agg(
         F.count("*").alias("_rows"),
-        *(F.max_by(c, where(c)).alias(n) for n, c in before.items()), *(F.min_by(c, where(c)).alias(n) for n, c in after.items()),
-        *(F.max_by(c, at).alias(n) for n, c in previous.items()), *(F.sum(c).alias(n) for n, c in sums.items()),
+        *(F.max_by(c, where(c)).alias(edge(n)) for n, c in before.items()), *(F.min_by(c, where(c)).alias(edge(n)) for n, c in after.items()),
+        *(F.max_by(c, at).alias(edge(n)) for n, c in previous.items()), *(F.sum(c).alias(edge(n)) for n, c in sums.items()),
     )
     along = Window.partitionBy(*key).orderBy(RANGE)
     back = Window.partitionBy(*key).orderBy(F.desc(RANGE))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.withColumn("_ranges", F.count("*").over(Window.partitionBy(*key))).filter("_ranges > 1").select(
         F.col(RANGE).alias("_at"), *(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)),
-        *(F.last(n, True).over(earlier(along)).alias(f"_c_{n}") for n in before), *(F.last(n, True).over(earlier(back)).alias(f"_c_{n}") for n in after),
-        *(F.lag(n).over(along).alias(f"_c_{n}") for n in previous), *(F.sum(n).over(earlier(along)).alias(f"_c_{n}") for n in sums),
+        *(F.last(edge(n), True).over(earlier(along)).alias(carried(n)) for n in before), *(F.last(edge(n), True).over(earlier(back)).alias(carried(n)) for n in after),
+        *(F.lag(edge(n)).over(along).alias(carried(n)) for n in previous), *(F.sum(edge(n)).over(earlier(along)).alias(carried(n)) for n in sums),
     )
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col(RANGE) == F.col("_at"))
     out = rows.join(F.broadcast(carry), same, "left")  # a range holds parts of at most two keys that reach beyond it
@@ -67,10 +69,10 @@ def scanned(
     w, b = inside.orderBy(*order), inside.orderBy(*(F.desc(c) for c in order))
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(w) == 1
-    made = {n: F.coalesce(F.last(c, True).over(so_far(w)), F.col(f"_c_{n}")) for n, c in before.items()}
-    made |= {n: F.coalesce(F.last(c, True).over(so_far(b)), F.col(f"_c_{n}")) for n, c in after.items()}
-    made |= {n: F.when(first, F.col(f"_c_{n}")).otherwise(F.lag(c).over(w)) for n, c in previous.items()}
+    made = {n: F.coalesce(F.last(c, True).over(so_far(w)), F.col(carried(n))) for n, c in before.items()}
+    made |= {n: F.coalesce(F.last(c, True).over(so_far(b)), F.col(carried(n))) for n, c in after.items()}
+    made |= {n: F.when(first, F.col(carried(n))).otherwise(F.lag(c).over(w)) for n, c in previous.items()}
     for n, c in sums.items():
-        own, carried = F.sum(c).over(so_far(w)), F.col(f"_c_{n}")
-        made[n] = F.coalesce(own + carried, own, carried)
+        own, carry_in = F.sum(c).over(so_far(w)), F.col(carried(n))
+        made[n] = F.coalesce(own + carry_in, own, carry_in)
     return out.select(*(c for c in rows.columns if c not in made), *(v.alias(n) for n, v in made.items()))

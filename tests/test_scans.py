@@ -82,6 +82,17 @@ def test_one_long_key_is_many_tasks(spark, monkeypatch):
     out.unpersist()
 
 
+def test_new_columns_may_be_named_like_the_key(spark):
+    df = spark.createDataFrame([(7, i, i if i % 3 else None) for i in range(30)], "bag long, us long, v long")
+    out = S.scanned(df, ["bag"], ["us"], before={"bag": F.col("v")}, sums={"_rows": F.col("v")}, ranges=4)
+    want, last, total = [], None, None
+    for i in range(30):
+        if i % 3:
+            last, total = i, (total or 0) + i
+        want.append((i, last, total))
+    assert sorted((r.us, r.bag, r._rows) for r in out.collect()) == want
+
+
 def test_long_key_queries(spark):
     for name in ("asof_long_key", "next_right_long_key"):
         out = QUERIES[name](spark, SF)
