@@ -52,6 +52,8 @@ FAN = 64
 STATES = 1 << 17
 PAIRS = 1 << 18
 PARTS = 1 << 19
+#: Characters of the longest part that is kept, so that texts without spaces take no memory.
+PART = 64
 MAP = "array<struct<entry:string, leave:string, settled:long, open:long>>"
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _MACHINES: dict[bytes, Transducer] = {}
@@ -120,9 +122,11 @@ class Parts(dict):
         self.machine = machine
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= PARTS:
-            self.clear()
-        found = self[part] = self.machine.whole(part)
+        found = self.machine.whole(part)
+        if len(part) <= PART:
+            if len(self) >= PARTS:
+                self.clear()
+            self[part] = found
         return found
 
 

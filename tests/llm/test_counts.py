@@ -63,6 +63,13 @@ def test_new_words_need_few_new_moves(library, monkeypatch):
     assert len(made) < half / 10
 
 
+def test_long_parts_are_not_kept(library):
+    machine = token_counts.Transducer(model_bytes(MODEL))
+    text = f"a {'日本' * 5000} b {'ab' * 30} {'xy' * 900} c"
+    assert machine.count(text) == len(library.encode(text))
+    assert len(machine.parts) == 2 and max(map(len, machine.parts)) <= 64
+
+
 def test_joins_as_merging_does():
     """Pairs of pieces of random vocabularies, with equal ranks and merges better than those they build on."""
     rng = random.Random(8)
