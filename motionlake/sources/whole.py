@@ -1,10 +1,11 @@
 """Whole files written in parallel: clouds (PLY), grids (PGM with YAML), tensors (NPY), JSON documents.
 
-The rows of a file are cut into ranges of their order. Each range's size in bytes is known
-from its rows, so a sum over the ranges in front gives the place where it begins. The head,
-which tells counts, is written first, and every task then writes its range at its place.
-Writing a range again writes the same bytes to the same place, so a task that is run again
-does no harm. The file has a temporary name until all of it is there.
+The rows of a file are cut into ranges of their order. A task writes its range's bytes to a
+file of its own in a hidden folder beside the file, and a sum over the sizes in front gives
+the place where each range begins. The head, which tells counts, is written first, and the
+ranges are then copied to their places. A task that is run again writes another file of its
+own, or the same bytes to the same place, so it does no harm. The file has a temporary name
+until all of it is there.
 
 Files are written by path, at places within them, so all machines must share the folder.
 
@@ -14,8 +15,10 @@ table gives a file of a head alone; numbers that are null become 0 in binary fil
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -24,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut
 from .files import pgm_rows, read_pgm
 
 #: How a row becomes bytes: the bytes of a batch, rows one after another.
@@ -41,82 +43,84 @@ def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
-def _body(between: bytes, first: int, starts: dict[int, int], path: str):
-    """Writes the column `body` of each range at the range's place; gives (range, bytes written)."""
+def _ranged(between: bytes, pack: Packing | None, scratch: str):
+    """Writes each range's bytes to a file of its own; gives (range, file, rows, bytes)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, int] = {}
-        with open(path, "r+b") as f:
-            for batch in batches:
-                parts, bodies = batch.column(0).to_numpy(), batch.column(1)
-                for part in np.unique(parts):
-                    rows = [b if isinstance(b, bytes) else (b or "").encode() for b in bodies.filter(pa.array(parts == part)).to_pylist()]
-                    lead = b"" if part == first and int(part) not in done else between
-                    data = lead + between.join(rows)
-                    f.seek(starts[int(part)] + done.get(int(part), 0))
-                    f.write(data)
-                    done[int(part)] = done.get(int(part), 0) + len(data)
-        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array(list(done.values()), pa.int64())], ["part", "written"])
+        part, rows, size, name = None, 0, 0, f"{scratch}/{uuid.uuid4().hex}"
+        with contextlib.ExitStack() as stack:
+            for batch in filter(lambda b: b.num_rows, batches):
+                if part is None:
+                    part, f = batch.column(0)[0].as_py(), stack.enter_context(open(name, "wb"))
+                if pack:
+                    data = pack(batch.select(batch.schema.names[1:]))
+                else:
+                    bodies = batch.column(1).cast(pa.binary()).fill_null(b"")
+                    data = between.join(bodies.to_numpy(zero_copy_only=False))
+                size += f.write(between) + f.write(data) if rows else f.write(data)
+                rows += batch.num_rows
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "rows": [rows], "size": [size]})
 
     return write
 
 
-def _packed(pack: Packing):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(parts: Sequence[tuple[str, int]], between: bytes, path: str):
+    """Copies the files of ranges, each with what stands in front of it, to their places; gives (range, bytes written)."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = pack(batch)
-            width = len(data) // max(batch.num_rows, 1)
-            yield pa.RecordBatch.from_arrays([pa.array([data[i * width : (i + 1) * width] for i in range(batch.num_rows)], pa.binary())], ["body"])
+            for i in batch.column(0).to_pylist():
+                name, at = parts[i]
+                with open(name, "rb") as source, open(path, "r+b") as f:
+                    f.seek(at)
+                    f.write(between if i else b"")
+                    shutil.copyfileobj(source, f, 1 << 20)
+                    yield pa.RecordBatch.from_pydict({"part": [i], "written": [f.tell() - at]})
+
+    return copy
 
-    return work
 
+def write_whole(
+    rows: DataFrame, order: Sequence[str], path: str, head: Callable[[int], bytes] = lambda n: b"", between: bytes = b"", tail: bytes = b"", ranges: int | None = None, body: Column | None = None,
+    columns: Sequence[str] = (), pack: Packing | None = None,
+) -> int:
+    """One file: head(number of rows), the bodies of all rows in order with `between` between two, tail. The number of rows.
 
-def write_whole(rows: DataFrame, order: Sequence[str], path: str, head: Callable[[int], bytes] = lambda n: b"", between: bytes = b"", tail: bytes = b"", ranges: int | None = None) -> int:
-    """One file: head(number of rows), the column `body` of all rows in order with `between` between two, tail. The number of rows."""
-    path = _local(path)
-    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    A row's body is the column `body` or the given one, or what `pack` makes of the columns; it is made when rows are in order.
+    """
+    path, spark = _local(path), rows.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    stored = cut(sorted_.select(F.spark_partition_id().alias("part"), F.coalesce("body", F.lit(b"") if rows.schema["body"].dataType.typeName() == "binary" else F.lit("")).alias("body")))
-    sizes = sorted(map(tuple, stored.groupBy("part").agg(F.count("*"), F.sum(F.octet_length("body"))).collect()))  # one row for each range
-    count = sum(n for _, n, _ in sizes)
-    begin = head(count)
-    starts, want, at = {}, {}, len(begin)
-    for i, (part, n, size) in enumerate(sizes):
-        starts[part], want[part] = at, size + len(between) * (n - (i == 0))
-        at += want[part]
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    temporary = f"{os.path.dirname(path) or '.'}/.{uuid.uuid4().hex}"
+    source = sorted_.select(F.spark_partition_id().alias("_part"), *(columns if pack else [(F.col("body") if body is None else body).alias("body")]))
+    folder = os.path.dirname(path) or "."
+    scratch = f"{folder}/.{uuid.uuid4().hex}"
+    os.makedirs(scratch)
     try:
+        made = sorted(map(tuple, source.mapInArrow(_ranged(between, pack, scratch), "part int, name string, rows long, size long").collect()))  # one row for each range
+        count = sum(n for _, _, n, _ in made)
+        begin = head(count)
+        parts, want, at = [], {}, len(begin)
+        for i, (_, name, _, size) in enumerate(made):
+            parts.append((name, at))
+            want[i] = size + (len(between) if i else 0)
+            at += want[i]
+        temporary = f"{scratch}/whole"
         with open(temporary, "wb") as f:
             f.write(begin)
             f.truncate(at)
             f.seek(at)
             f.write(tail)
-        if sizes:
-            written = stored.mapInArrow(_body(between, sizes[0][0], starts, temporary), "part int, written long")
-            got = {r.part: r.written for r in written.groupBy("part").agg(F.sum("written").alias("written")).collect()}
-            if got != want:
+        if made:
+            written = spark.range(0, len(made), 1, len(made)).mapInArrow(_placed(parts, between, temporary), "part long, written long")
+            if {r.part: r.written for r in written.collect()} != want:
                 raise OSError(f"{path}: ranges have other sizes than planned")
         os.replace(temporary, path)
     finally:
-        if os.path.exists(temporary):
-            os.remove(temporary)
+        shutil.rmtree(scratch, ignore_errors=True)
     return count
 
 
-def _bodies(rows: DataFrame, order: Sequence[str], columns: Sequence[str], pack: Packing) -> DataFrame:
-    """rows with the column `body`, packed from the columns; the order stays beside it."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = next(_packed(pack)(iter([batch.select(list(columns))])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), whole.column(0)], [*order, "body"])
-
-    source = rows.select(*dict.fromkeys([*order, *columns]))
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in order)
-    return source.mapInArrow(work, f"{kinds}, body binary")
-
-
 # -- clouds --------------------------------------------------------------------------------
 
 
@@ -141,10 +145,11 @@ def write_ply(points: DataFrame, path: str, order: Sequence[str] = ("seq",), bin
         return "\n".join(lines).encode()
 
     if binary:
-        return write_whole(_bodies(points, order, [n for n, _, _ in fields], _records(fields)), order, path, head)
+        names = [n for n, _, _ in fields]
+        return write_whole(points.select(*dict.fromkeys([*order, *names])), order, path, head, columns=names, pack=_records(fields))
     number = lambda name, k: F.coalesce(F.col(name).cast("int" if k == "uchar" else "double"), F.lit(0))
     text = F.format_string(" ".join("%d" if k == "uchar" else "%.4f" for _, k, _ in fields) + "\n", *(number(name, k) for name, k, _ in fields))
-    return write_whole(points.select(*order, text.alias("body")), order, path, head)
+    return write_whole(points.select(*dict.fromkeys([*order, *(name for name, _, _ in fields)])), order, path, head, body=text)
 
 
 # -- grids ---------------------------------------------------------------------------------
@@ -221,7 +226,7 @@ def write_npy(rows: DataFrame, path: str, order: Sequence[str], columns: Sequenc
     def pack(batch: pa.RecordBatch) -> bytes:
         return np.stack([c.fill_null(0).to_numpy(zero_copy_only=False).astype(kind) for c in batch.columns], axis=1).tobytes()
 
-    return write_whole(_bodies(rows, order, columns, pack), order, path, head)
+    return write_whole(rows.select(*dict.fromkeys([*order, *columns])), order, path, head, columns=columns, pack=pack)
 
 
 def write_document(frames: DataFrame, path: str, head: dict, order: Sequence[str] = ("frame",), key: str = "frames") -> int:

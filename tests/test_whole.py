@@ -104,3 +104,40 @@ def test_a_task_that_fails_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="ZeroDivision"):
         whole.write_whole(spark.range(100).select("id", bad("id").alias("body")), ["id"], str(tmp_path / "f"))
     assert os.listdir(tmp_path) == []
+
+
+def test_clouds_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """No task holds a file, whatever its kind; numbers of points go on over ranges."""
+    monkeypatch.setattr(files, "RANGE", 1000)
+    df = spark.createDataFrame(cloud(2000), POINTS).repartition(3)
+    for binary in (False, True):
+        path = str(tmp_path / f"{binary}.ply")
+        whole.write_ply(df, path, binary=binary)
+        got = files.read_ply(spark, path).withColumn("task", F.spark_partition_id())
+        assert max(r["count"] for r in got.groupBy("task").count().collect()) < 2000
+    got = files.read_ply(spark, str(tmp_path)).collect()
+    for name in ("False", "True"):
+        own = sorted((r for r in got if r.path.endswith(f"/{name}.ply")), key=lambda r: r.seq)
+        assert [(r.seq, r.red, r.green, r.blue) for r in own] == [(i, *c[4:]) for i, c in enumerate(cloud(2000))]
+        assert np.allclose([(r.x, r.y, r.z) for r in own], [c[1:4] for c in cloud(2000)], atol=1e-4)
+
+
+def test_a_cloud_that_only_spark_can_open(spark, tmp_path):
+    df = spark.createDataFrame(cloud(20), POINTS)
+    spark.conf.set("fs.viewfs.mounttable.elsewhere.link./in", f"file://{tmp_path}")
+    for binary in (False, True):
+        whole.write_ply(df, str(tmp_path / "c.ply"), binary=binary)
+        got = files.read_ply(spark, "viewfs://elsewhere/in/c.ply").orderBy("seq").collect()
+        assert [(r.seq, r.red, r.green) for r in got] == [(i, c[4], c[5]) for i, c in enumerate(cloud(20))]
+
+
+def test_bodies_are_made_once_in_order(spark, tmp_path):
+    """Not once more for the cuts of the order, which read all rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def pack(batch):
+        made.add(batch.num_rows)
+        return b"".join(i.to_bytes(2, "big") for i in batch.column("id").to_pylist())
+
+    assert whole.write_whole(spark.range(999, -1, -1, 5), ["id"], str(tmp_path / "f"), columns=["id"], pack=pack, between=b"") == 1000
+    assert (tmp_path / "f").read_bytes() == b"".join(i.to_bytes(2, "big") for i in range(1000)) and made.value == 1000
