@@ -122,6 +122,22 @@ def test_clouds_are_read_in_ranges(spark, tmp_path, monkeypatch):
         assert np.allclose([(r.x, r.y, r.z) for r in own], [c[1:4] for c in cloud(2000)], atol=1e-4)
 
 
+def test_odd_lines_over_ranges(spark, tmp_path, monkeypatch):
+    """Blank lines, other spaces and ends of lines, more on a line than is named, lines behind the last point."""
+    head = "ply\r\nformat ascii 1.0\r\nelement vertex {}\r\nproperty float z\nproperty double y\nproperty float x\nend_header\r\n"
+    lines = [("1 2 3", "", " 4\t5  6 \r", "7 8 9 more", "1e3 nan -inf", "\r", "0.1 2.5 3")[i % 7] for i in range(300)]
+    want = [line.split()[:3] for line in lines[:250] if line.strip()]
+    (tmp_path / "o d.ply").write_text(head.format(250) + "\n".join(lines), newline="")
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(files, "RANGE", size)
+        got = files.read_ply(spark, str(tmp_path)).orderBy("seq").collect()
+        assert [r.seq for r in got] == list(range(len(want)))
+        assert np.array_equal([(r.z, r.y, r.x) for r in got], np.array(want, float), equal_nan=True)
+    (tmp_path / "o d.ply").write_bytes(head.format(2).replace("ascii", "binary_little_endian").encode() + bytes(31))
+    with pytest.raises(Exception, match="2 points of 16 bytes are announced"):
+        files.read_ply(spark, str(tmp_path)).count()
+
+
 def test_a_cloud_that_only_spark_can_open(spark, tmp_path):
     df = spark.createDataFrame(cloud(20), POINTS)
     spark.conf.set("fs.viewfs.mounttable.elsewhere.link./in", f"file://{tmp_path}")
