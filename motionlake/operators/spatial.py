@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell
-from ..functions.frames import finite
-from ..storage import cut
+from .neighbours import nearest_k
 
 
 def voxel_first(points: DataFrame, size: float = 0.04) -> DataFrame:
@@ -99,26 +98,15 @@ def far_from(candidates: DataFrame, poses: DataFrame, least: float = 0.5, axes:
 
 
 def nearest_distance(points: DataFrame, cloud: DataFrame, size: float, id_: str = "seq") -> DataFrame:
-    """points with the distance to the cloud's nearest point.
+    """points with the distance to the cloud's nearest point, found by the cells of `nearest_k`.
 
-    Cells of `size` are joined with their neighbours, which settles points nearer than
-    `size`; the rest is tried again with cells of twice the size until none is left.
-    Points without finite coordinates, and all points if the cloud has none, get null.
+    These follow the cloud, however crowded it is; `size` is the width of the grid that was
+    searched before and changes nothing. Points without finite coordinates, and all points if
+    the cloud has none, get null.
     """
-    whole = finite(*"xyz")
-    ref = cut(cloud.select("x", "y", "z").filter(whole).distinct())
-    away = points if ref.isEmpty() else points.filter(~whole)
-    found = away.withColumn("distance", F.lit(None).cast("double"))
-    left = points.limit(0) if ref.isEmpty() else points.filter(whole)
-    while not left.isEmpty():
-        p = _cells(ref, "xyz", size, True).select(F.col("x").alias("_px"), F.col("y").alias("_py"), F.col("z").alias("_pz"), "_x", "_y", "_z")
-        c = _cells(left, "xyz", size, False)
-        d2 = sum((F.col(a) - F.col(f"_p{a}")) * (F.col(a) - F.col(f"_p{a}")) for a in "xyz")
-        best = cut(c.join(p, ["_x", "_y", "_z"]).groupBy(id_).agg(F.sqrt(F.min(d2)).alias("distance")).filter(F.col("distance") <= size))
-        found = found.unionByName(left.join(best, id_).select(*found.columns))
-        left = cut(left.join(best.select(id_), id_, "left_anti"))
-        size *= 2
-    return found
+    there = cloud.select("x", "y", "z").distinct().withColumn("_at", F.monotonically_increasing_id())
+    found = nearest_k(points.select(id_, "x", "y", "z"), there, 1, id_, "_at").select(id_, "distance")
+    return points.join(found, id_, "left")
 
 
 def patch_depth(pixels: DataFrame, depth: DataFrame, near: float, far: float, reach: int = 2, key: Sequence[str] = ("frame",)) -> DataFrame:

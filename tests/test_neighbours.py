@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from motionlake import proxies as P
 from motionlake.operators import neighbours as N
+from motionlake.plans.queries import QUERIES
 
 SCHEMA = "id long, x double, y double, z double"
 
@@ -59,3 +61,32 @@ def test_odd_points(spark):
     cloud = spark.createDataFrame([(7, 3.0, 4.0, 0.0), (8, None, 1.0, 1.0)], SCHEMA)
     assert [tuple(r) for r in N.nearest_k(points, cloud, 3).collect()] == [(1, 1, 7, 5.0)]
     assert N.nearest_k(points, cloud.limit(0)).count() == 0 and N.nearest_k(points.limit(0), cloud).count() == 0
+
+
+def most_joined(spark, since):
+    """The most rows that a join has given in the executions from `since` on."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for i in range(since, store.executionsCount()):
+        run = store.executionsList().apply(i)
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize("name", ["nearest_point"])
+def test_crowded_points_are_not_all_compared(spark, monkeypatch, name):
+    """All poses within a few centimetres, so within one cell of any grid as wide as the distances."""
+    rng = np.random.default_rng(5)
+    where = np.round(rng.random((4000, 3)) / 10, 5)
+    poses = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(where)], SCHEMA).repartition(4)
+    messages = spark.range(4000).selectExpr("id", f"if(id % 2 = 0, '{P.LEFT}', 'other') AS topic")
+    monkeypatch.setattr(P, "poses", lambda *_: poses)
+    monkeypatch.setattr(P, "messages", lambda *_: messages)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.id: r.distance for r in QUERIES[name](spark, "").collect()}
+    d = np.sqrt(((where[1::2, None] - where[None, ::2]) ** 2).sum(axis=2).min(axis=1))
+    assert sorted(got) == list(range(1, 4000, 2)) and np.allclose([got[i] for i in sorted(got)], d, atol=1e-6)
+    assert most_joined(spark, since) <= 4000 * 4
