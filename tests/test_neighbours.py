@@ -76,7 +76,7 @@ def most_joined(spark, since):
     return most
 
 
-@pytest.mark.parametrize("name", ["nearest_point"])
+@pytest.mark.parametrize("name", ["nearest_point", "nearest_point_all"])
 def test_crowded_points_are_not_all_compared(spark, monkeypatch, name):
     """All poses within a few centimetres, so within one cell of any grid as wide as the distances."""
     rng = np.random.default_rng(5)
