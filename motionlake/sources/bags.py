@@ -7,7 +7,9 @@
 
 Filters on topic, id, us and ns reach the files: a range of time is read through the index
 on time, anything else by ranges of row numbers, and a file is cut into as many partitions
-as it has SPLIT rows. Files are opened by path, so all machines must share the folder.
+as it has SPLIT rows. Files that are too small to hold so many are not opened for that, and
+a partition takes GROUP bytes of them. Files are opened by path, so all machines must share
+the folder.
 
 A write puts each recording into a file of its own under a temporary name, commits rows in
 batches and makes the index when all are in. Only when every task has ended are the files
@@ -16,6 +18,7 @@ renamed; where one fails, all that the write made is removed.
 
 from __future__ import annotations
 
+import functools
 import glob
 import os
 import sqlite3
@@ -24,6 +27,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from contextlib import closing
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,10 @@ SUFFIX = ".db3"
 #: Rows of a partition, and rows of a commit.
 SPLIT = 1_000_000
 BATCH = 500
+#: Bytes of small files of a partition; the least bytes of a row; rows and bytes of what is handed to Spark at a time.
+GROUP = 1 << 23
+ROW = 9
+READ_ROWS, READ_BYTES = 1 << 13, 1 << 22
 LOW, HIGH = -(2**63), 2**63 - 1
 TABLES = {
     "messages": "bag string, id long, topic string, type string, us long, data binary, ns long, format string, qos string",
@@ -105,6 +113,10 @@ class Wanted:
         cut = lambda r: (max(r[0], low), min(r[1], high))
         return Wanted(cut(self.ns), self.id, self.topics) if name != "id" else Wanted(self.ns, cut(self.id), self.topics)
 
+    @property
+    def nothing(self) -> bool:
+        return self.topics == frozenset() or self.ns[0] > self.ns[1] or self.id[0] > self.id[1]
+
     def condition(self) -> tuple[str, list]:
         """SQL over messages m and topics t."""
         parts, values = ["1"], []
@@ -129,9 +141,35 @@ class Part(InputPartition):
     wanted: Wanted = field(default_factory=Wanted)
 
 
+@dataclass
+class Group(InputPartition):
+    """Small files that are read one after another."""
+
+    paths: list[str]
+    wanted: Wanted = field(default_factory=Wanted)
+
+
+def grouped(sizes: Sequence[tuple[str, int]], wanted: Wanted) -> list[Group]:
+    """Partitions of about GROUP bytes of whole files."""
+    out, room = [], 0
+    for path, size in sizes:
+        if not out or size > room:
+            out.append(Group([], wanted))
+            room = GROUP
+        out[-1].paths.append(path)
+        room -= size
+    return out
+
+
+def _size(path: str) -> int:
+    """Bytes of a file and of what is still to be written into it."""
+    log = f"{path}-wal"
+    return os.path.getsize(path) + (os.path.getsize(log) if os.path.exists(log) else 0)
+
+
 def planned(path: str, wanted: Wanted, split: int) -> list[Part]:
     """Partitions of a file: by time where the filters bound it and there is an index, else by row number."""
-    if wanted.topics == frozenset() or wanted.ns[0] > wanted.ns[1] or wanted.id[0] > wanted.id[1]:
+    if wanted.nothing:
         return []
     with opened(path) as db:
         timed = wanted.ns != (LOW, HIGH) and any(
@@ -160,6 +198,52 @@ def messages(part: Part) -> Iterator[tuple]:
         )
 
 
+def _batch(path: str, topics: dict[int, tuple], rows: list[tuple]) -> pa.RecordBatch:
+    """(id, topic_id, ns, data) as a batch of messages."""
+    ids, kinds, ns, data = zip(*rows)
+    known = sorted(topics)
+    at = pa.array(np.searchsorted(known, kinds))
+    topic, type_, format_, qos = (pa.array([topics[t][i] for t in known], pa.string()).take(at) for i in range(4))
+    nanos = np.array(ns, np.int64)
+    columns = [pa.repeat(pa.scalar(path, pa.string()), len(rows)), pa.array(ids, pa.int64()), topic, type_, pa.array(nanos // 1000), pa.array(data, pa.binary()), pa.array(nanos), format_, qos]
+    return pa.RecordBatch.from_arrays(columns, ["bag", "id", "topic", "type", "us", "data", "ns", "format", "qos"])
+
+
+def _read_batches(parts: Iterable[Part]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        condition, values = part.wanted.condition()
+        with opened(part.path) as db:
+            topics = {i: more for i, *more in db.execute("SELECT id, name, type, serialization_format, offered_qos_profiles FROM topics")}
+            found = db.execute(f"SELECT m.id, t.id, m.timestamp, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE {condition} ORDER BY m.timestamp, m.id", values)
+            rows, size = [], 0
+            while more := found.fetchmany(256):
+                rows += more
+                size += sum(len(r[3] or b"") for r in more)
+                if len(rows) >= READ_ROWS or size >= READ_BYTES:
+                    yield _batch(part.path, topics, rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(part.path, topics, rows)
+
+
+def batches(parts: Iterable[Part]) -> Iterator[pa.RecordBatch]:
+    """The rows of partitions as Arrow batches, those of small files together."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for b in _read_batches(parts):
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= READ_ROWS or size >= READ_BYTES:
+            yield whole()
+            held, rows, size = [], 0, 0
+    if held:
+        yield whole()
+
+
 def _others(table: str, path: str) -> Iterator[tuple]:
     with opened(path) as db:
         if table == "files":
@@ -188,14 +272,28 @@ class Reader(DataSourceReader):
                 self.wanted = narrowed
 
     def partitions(self) -> Sequence[InputPartition]:
+        sizes = [(p, _size(p)) for p in self.paths]
         if self.table != "messages":
-            return [Part(p) for p in self.paths]
-        return [part for p in self.paths for part in planned(p, self.wanted, self.split)]
+            return grouped(sizes, self.wanted)
+        if self.wanted.nothing:
+            return []
+        small = grouped([(p, size) for p, size in sizes if size <= self.split * ROW], self.wanted)
+        return small + [part for p, size in sizes if size > self.split * ROW for part in planned(p, self.wanted, self.split)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        if partition is None:  # what Spark asks for where there are no partitions
-            return iter(())
-        return messages(partition) if self.table == "messages" else _others(self.table, partition.path)
+    def parts(self, partition: Part | Group | None) -> Iterator[Part]:
+        if partition is not None:  # it is where there are no partitions
+            yield from (Part(p, partition.wanted) for p in partition.paths) if isinstance(partition, Group) else [partition]
+
+    def read(self, partition: Part | Group | None) -> Iterator[tuple]:
+        for part in self.parts(partition):
+            yield from messages(part) if self.table == "messages" else _others(self.table, part.path)
+
+
+class BatchReader(Reader):
+    """The same; messages come as Arrow batches."""
+
+    def read(self, partition: Part | Group | None) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        return batches(self.parts(partition)) if self.table == "messages" else super().read(partition)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -233,6 +331,15 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+@functools.cache
+def _empty() -> bytes:
+    """A recording without rows."""
+    with closing(sqlite3.connect(":memory:")) as db:
+        for line in DDL:
+            db.execute(line)
+        return db.serialize()
+
+
 class _Recording:
     """One file that is being written."""
 
@@ -240,11 +347,11 @@ class _Recording:
         self.topics: dict[str, int] = {}
         self.rows: list[tuple] = []
         self.path = temporary
+        with open(temporary, "wb") as f:
+            f.write(_empty())
         self.db = sqlite3.connect(temporary)
         self.db.execute("PRAGMA synchronous = OFF")  # nobody sees the file before it is whole and on disk
         self.db.execute("PRAGMA journal_mode = MEMORY")
-        for line in DDL:
-            self.db.execute(line)
 
     def topic(self, name: str, kind: str | None, format_: str | None, qos: str | None) -> int:
         if name not in self.topics:
@@ -252,25 +359,28 @@ class _Recording:
             self.db.execute("INSERT INTO topics VALUES (?, ?, ?, ?, ?)", (self.topics[name], name, kind or "raw", format_ or "cdr", qos or ""))
         return self.topics[name]
 
-    def add(self, row: dict, batch: int) -> None:
+    def add(self, row: dict) -> None:
+        """Anything but a message."""
         if row["kind"] == "schema":
             self.db.execute("INSERT OR REPLACE INTO schema VALUES (?, ?)", (row["version"], row["value"] or ""))
         elif row["kind"] == "metadata":
             self.db.execute("INSERT INTO metadata (metadata_version, metadata) VALUES (?, ?)", (row["version"], row["value"] or ""))
         else:
-            topic = self.topic(row["topic"], row["type"], row["format"], row["qos"])
-            if row["kind"] == "message":
-                self.rows.append((topic, row["ns"], row["data"] or b""))
-                if len(self.rows) >= batch:
-                    self.flush()
-
-    def flush(self) -> None:
-        self.db.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", self.rows)
+            self.topic(row["topic"], row["type"], row["format"], row["qos"])
+
+    def add_messages(self, topics: list[int], ns: list[int], data: list[bytes], batch: int) -> None:
+        self.rows.extend(zip(topics, ns, data))
+        whole = len(self.rows) // batch * batch
+        for i in range(0, whole, batch):
+            self.put(self.rows[i : i + batch])
+        self.rows = self.rows[whole:]
+
+    def put(self, rows: list[tuple]) -> None:
+        self.db.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", rows)
         self.db.commit()
-        self.rows = []
 
     def done(self) -> None:
-        self.flush()
+        self.put(self.rows)
         self.db.execute(INDEX)
         self.db.commit()
         self.db.close()
@@ -278,6 +388,12 @@ class _Recording:
             os.fsync(f.fileno())
 
 
+def _codes(column: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+    """The place of each text among the distinct ones, and these."""
+    d = column.cast(pa.string()).dictionary_encode(null_encoding="encode")
+    return d.indices.to_numpy(), d.dictionary.to_pylist()
+
+
 class Writer(DataSourceArrowWriter):
     """Rows of ROWS, sorted by bag, into one file for each bag; see recording_rows."""
 
@@ -292,14 +408,27 @@ class Writer(DataSourceArrowWriter):
         now, at = None, None
         try:
             for batch in iterator:
-                for row in batch.to_pylist():
-                    if now is None or row["bag"] != at:
+                (bag, bags), (kind, kinds), (topic, topics) = (_codes(batch.column(c)) for c in ("bag", "kind", "topic"))
+                ns, data = batch.column("ns"), batch.column("data").cast(pa.binary()).fill_null(b"").to_numpy(zero_copy_only=False)
+                new = np.flatnonzero((np.diff(bag) != 0) | (np.diff(kind) != 0)) + 1
+                for first, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows] if batch.num_rows else []):
+                    if now is None or bags[bag[first]] != at:
                         if now is not None:
                             now.done()
-                        at, temporary = row["bag"], f"{self.folder}/{self.mark}-{uuid.uuid4().hex}"
+                        at, temporary = bags[bag[first]], f"{self.folder}/{self.mark}-{uuid.uuid4().hex}"
                         made.append((temporary, f"{self.folder}/{'null' if at is None else at}{SUFFIX}"))
                         now = _Recording(temporary)
-                    now.add(row, self.batch)
+                    if kinds[kind[first]] != "message":
+                        for row in batch.slice(first, end - first).to_pylist():
+                            now.add(row)
+                        continue
+                    _, places = np.unique(topic[first:end], return_index=True)
+                    ids = np.zeros(len(topics), np.int64)
+                    for place in sorted(places.tolist()):  # in the order in which they come
+                        code = topic[first + place]
+                        ids[code] = now.topics.get(topics[code]) or now.topic(topics[code], *(batch.column(c)[first + place].as_py() for c in ("type", "format", "qos")))
+                    times = ns.slice(first, end - first)
+                    now.add_messages(ids[topic[first:end]].tolist(), times.to_pylist() if times.null_count else times.to_numpy().tolist(), data[first:end].tolist(), self.batch)
             if now is not None:
                 now.done()
         except BaseException:
@@ -344,7 +473,7 @@ class RecordingSource(DataSource):
         return TABLES[self._table()]
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return Reader(dict(self.options), self._table())
+        return BatchReader(dict(self.options), self._table())
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
         return StreamReader(dict(self.options))

@@ -166,3 +166,40 @@ def test_odd_recordings(spark, tmp_path):
     assert sorted((r.us, r.topic, bytes(r.data)) for r in load(spark, str(tmp_path / "o")).collect()) == [(-5, "t", b""), (-5, "u", b""), (5, "t", b"x")]
     assert R.write_recordings(spark.createDataFrame([], SCHEMA), str(tmp_path / "none")).count() == 0
     assert load(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_small_recordings_share_partitions(spark, tmp_path, monkeypatch):
+    """Planning opens none of them, and there is no task for each."""
+    rows = [(f"b{k}", i, ("left", "imu", "left")[i % 3], 1000 * (i - 1), step(i)) for k in range(40) for i in range(3)]
+    R.write_recordings(spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    with monkeypatch.context() as m:
+        m.setattr(B, "opened", None)
+        parts = B.Reader({"path": str(tmp_path)}, "messages").partitions()
+    assert len(parts) == 1 and len(parts[0].paths) == 40
+    assert load(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    want = sorted((f"{tmp_path}/{b}.db3", i + 1, topic, "raw", us, us * 1000, data) for b, i, topic, us, data in rows)
+    assert sorted((r.bag, r.id, r.topic, r.type, r.us, r.ns, bytes(r.data)) for r in load(spark, str(tmp_path)).collect()) == want
+    got = load(spark, str(tmp_path)).filter("us < 0 AND topic = 'left'").collect()
+    assert sorted(r.bag for r in got) == sorted({w[0] for w in want}) and {r.us for r in got} == {-1000}
+    monkeypatch.setattr(B, "GROUP", 5 * os.path.getsize(want[0][0]))
+    reader = B.Reader({"path": str(tmp_path)}, "messages")
+    assert len(reader.partitions()) == 8 and len([r for p in reader.partitions() for r in reader.read(p)]) == 120
+
+
+def test_batches_are_the_rows(tmp_path):
+    """Topics in the order of their first message, over batches of the sink and of the reader."""
+    import pyarrow as pa
+
+    row = {"kind": "message", "type": None, "format": None, "qos": "q", "version": None, "value": None}
+    rows = [row | {"bag": b, "id": i, "topic": t, "ns": n, "data": d} for b, i, t, n, d in (("a", 1, "z", -1001, b"1"), ("a", 2, "y", 5, None), ("a", 3, "z", 7, b""), (None, 4, "x", 9, b"\x00"))]
+    writer = B.Writer({"path": str(tmp_path), "batch": "2"}, True)
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist(rows[:2]), pa.RecordBatch.from_pylist(rows[2:])]))])
+    plain, packed = B.Reader({"path": str(tmp_path)}, "messages"), B.BatchReader({"path": str(tmp_path)}, "messages")
+    (part,) = plain.partitions()
+    got = list(plain.read(part))
+    assert [tuple(r.values()) for b in packed.read(part) for r in b.to_pylist()] == got
+    assert [(os.path.basename(r[0]), r[1], r[2], r[3], r[4], r[5], r[6], r[8]) for r in got] == [
+        ("a.db3", 1, "z", "raw", -2, b"1", -1001, "q"), ("a.db3", 2, "y", "raw", 0, b"", 5, "q"), ("a.db3", 3, "z", "raw", 0, b"", 7, "q"), ("null.db3", 1, "x", "raw", 0, b"\x00", 9, "q"),
+    ]
+    with B.opened(f"{tmp_path}/a.db3") as db:
+        assert db.execute("SELECT id, name FROM topics ORDER BY id").fetchall() == [(1, "z"), (2, "y")]
