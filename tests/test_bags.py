@@ -203,3 +203,12 @@ def test_batches_are_the_rows(tmp_path):
     ]
     with B.opened(f"{tmp_path}/a.db3") as db:
         assert db.execute("SELECT id, name FROM topics ORDER BY id").fetchall() == [(1, "z"), (2, "y")]
+
+
+def test_tables_of_small_recordings_share_partitions(spark, tmp_path):
+    rows = [(f"b{k}", i, "left", 1000 * i, b"") for k in range(40) for i in range(2)]
+    R.write_recordings(spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    for table, n in (("topics", 40), ("files", 40), ("schema", 0)):
+        got = load(spark, str(tmp_path), table=table)
+        assert got.rdd.getNumPartitions() == 1 and got.count() == n
+    assert {(r.messages, r.first_us, r.last_us) for r in load(spark, str(tmp_path), table="files").collect()} == {(2, 0, 1000)}
