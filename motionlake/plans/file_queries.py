@@ -35,7 +35,7 @@ def _there_and_back(spark: SparkSession, name: str, read: Callable[[str], DataFr
 
 def _name() -> Column:
     """The recording's number, from the path of its file."""
-    return F.regexp_extract("bag", r"([^/]*)\.db3$", 1).cast("long")
+    return B.stem(F.col("bag")).cast("long")
 
 
 def _written(spark: SparkSession, sf_dir: str, folder: str) -> None:

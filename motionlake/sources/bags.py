@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
@@ -488,6 +488,12 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def stem(path: Column) -> Column:
+    """A recording's name, from the path of its file; empty for other files."""
+    last = F.substring_index(path, "/", -1)
+    return F.when(last.endswith(SUFFIX), F.substring(last, F.lit(1), F.length(last) - len(SUFFIX))).when(last.isNotNull(), "")
+
+
 def recording_rows(messages: DataFrame, topics: DataFrame | None = None, schema: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """What the sink takes, each bag in one task: its schema, metadata and topics, then its messages by time.
 
@@ -522,7 +528,7 @@ def write_recordings(
     rows = recording_rows(messages, topics, schema, metadata)
     rows.write.format("recording").option("batch", batch).mode("overwrite" if overwrite else "append").save(folder)
     files = spark.read.format("recording").option("table", "files").load(folder)
-    name = F.regexp_extract("path", rf"([^/]*){SUFFIX}$", 1)
+    name = stem(F.col("path"))
     bags = messages.select(F.col("bag").cast("string").alias("_bag")).distinct()
     own = files.withColumn("bag", F.when(name != "null", name)).join(F.broadcast(bags), F.col("bag").eqNullSafe(F.col("_bag")), "left_semi")
     return own.withColumn("bag", F.col("bag").try_cast(kind))
@@ -535,7 +541,7 @@ def copied(spark: SparkSession, source: str, folder: str, messages: DataFrame |
     """
     register(spark)
     read = lambda table: spark.read.format("recording").option("table", table).load(source)
-    named = bag or (lambda path: F.regexp_extract(path, rf"([^/]*){SUFFIX}$", 1))
+    named = bag or stem
     moved = lambda df: df.withColumn("bag", named(F.col("bag")))
     own = moved(read("messages") if messages is None else messages)
     return write_recordings(own, folder, topics=moved(read("topics")), schema=moved(read("schema")), metadata=moved(read("metadata")))

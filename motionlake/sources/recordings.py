@@ -84,8 +84,9 @@ def patch_recordings(spark: SparkSession, path: str, topics: Sequence[str], fold
     Files are written beside the old ones and take their place when all are ready.
     """
     register(spark)
-    mended = patched(spark.read.format("recording").load(path), topics, mark)
-    count = mended.filter("changed").count()
+    read = lambda: spark.read.format("recording").load(path)  # noqa: E731  Spark keeps the filters of a loaded table for its later uses
+    mended = patched(read(), topics, mark)
+    count = patched(read().filter(F.col("topic").isin(*topics)), topics, mark).filter("changed").count()
     if count or folder:
         copied(spark, path, folder or path, mended)
     return count

@@ -1,6 +1,7 @@
 """Recordings as a source with pushed filters, as a stream with its own offsets, and as a two-phase sink."""
 
 import os
+import re
 import sqlite3
 
 import pytest
@@ -212,3 +213,23 @@ def test_tables_of_small_recordings_share_partitions(spark, tmp_path):
         got = load(spark, str(tmp_path), table=table)
         assert got.rdd.getNumPartitions() == 1 and got.count() == n
     assert {(r.messages, r.first_us, r.last_us) for r in load(spark, str(tmp_path), table="files").collect()} == {(2, 0, 1000)}
+
+
+def test_names_of_recordings_take_one_look(spark):
+    """A search that tries each place of a path takes minutes for these, and took most of the time of a copy."""
+    import time
+
+    paths = ["/a/b.c/12.db3", "x.db3", "/a/.db3", "/a.db3/b", "/a/x.db3.txt", "/a/db3", "", None]
+    got = spark.createDataFrame([(p,) for p in paths], "path string").select(B.stem(F.col("path"))).collect()
+    assert [r[0] for r in got] == ["12", "x", "", "", "", "", "", None]
+    began = time.monotonic()
+    assert spark.range(40).select(B.stem(F.concat(F.repeat(F.lit("a"), F.lit(100_000)), F.col("id").cast("string"))).alias("n")).filter("n <> ''").count() == 0
+    assert time.monotonic() - began < 20
+
+
+def test_mending_counts_by_reading_only_the_topics(spark, folder, monkeypatch):
+    asked = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "count", lambda self, f=frame.count: asked.append(self._jdf.queryExecution().optimizedPlan().toString()) or f(self))
+    assert R.patch_recordings(spark, folder, ["left"]) == 2000 - 667 + 4
+    assert len(asked) == 1 and re.search(r"topic#\d+ = left", asked[0])
